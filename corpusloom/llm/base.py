@@ -66,10 +66,10 @@ def partitions(spark: SparkSession) -> int:
 def slices(batches, column: str, limit: int = 8 << 20):
     """Cuts Arrow batches so that the texts of each piece take about limit bytes at most, or the piece is one row."""
     import numpy as np
-    import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
         group = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, token_files
+from pyspark.sql import functions as F
+
+from . import chat, chunks, language, packing, sharding, token_files
 from .base import table
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 2048)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("\\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 24)
 
@@ -20,5 +32,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_segments(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_sharding, op7_token_files)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_packing, op5_chat, op6_sharding, op7_token_files, op10_language)}
 ORACLES: dict[str, str] = {}
