@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, chunks, language, packing, sharding, token_files
+from . import chat, chunks, language, mixing, packing, quality, sharding, token_files
 from .base import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus budget, spread as evenly over the sources as taking no document over twice on average allows."""
+    return mixing.schedule(table(spark, sf_dir, "documents"), max_epochs=2.0)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 2048)
 
@@ -36,5 +45,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_packing, op5_chat, op6_sharding, op7_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op10_language)}
 ORACLES: dict[str, str] = {}
