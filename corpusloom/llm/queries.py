@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, chunks, language, mixing, packing, quality, sharding, token_files
+from . import chat, chunks, language, mixing, packing, quality, sharding, simhash, token_files
 from .base import table
 
 
@@ -41,9 +41,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_segments(table(spark, sf_dir, "documents")))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op10_language)}
 ORACLES: dict[str, str] = {}
