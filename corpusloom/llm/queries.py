@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from . import chat, chunks, language, mixing, packing, quality, sharding, simhash, token_files
+from . import chat, chunks, language, mixing, packing, quality, sharding, simhash, substrings, token_files
 from .base import table
 
 
@@ -45,9 +44,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"), window=35)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language)}
 ORACLES: dict[str, str] = {}

@@ -225,3 +225,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     rows = stored(fingerprints(docs, shingle), "simhash")
     out = groups(rows, distance)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_free(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group, with its own columns."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "near-free-rows")
+    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text"), shingle), "simhash")
+    named = groups(found, distance).select(F.col("doc_id").alias("_row"), "group")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.col("_row").alias("row"))
+    best = rows.select("_row", order.alias("o")).join(named, "_row").groupBy("group").agg(F.min("o").alias("o"))
+    return rows.join(best.select(F.col("o.row").alias("_row")), "_row", "left_semi").select("_doc.*")
