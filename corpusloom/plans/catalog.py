@@ -1,4 +1,279 @@
 """Named queries over the supplied tables and their SQL counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.functions.words import FUNCTION_WORDS, MARKERS
+from corpusloom.operators import evaluate, generate, prepare, retrieve, split
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rough(c: str = "text"):
+    """Texts with spaces before commas, and on even doc_ids doubled spaces, so that normalizing has work."""
+    spaced = F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(", "), F.lit(" , "))
+    return F.when(F.col("doc_id") % 2 == 0, F.replace(spaced, F.lit(" "), F.lit("  "))).otherwise(spaced)
+
+
+ROUGH = "CASE WHEN doc_id % 2 = 0 THEN replace(replace(coalesce(text, ''), ', ', ' , '), ' ', '  ') ELSE replace(coalesce(text, ''), ', ', ' , ') END"
+S = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NONBLANK = f"regexp_matches(text, '[^{S[1:]}')"
+MASKED = r"regexp_replace(text, '[^\x00-\x7F]', 'z', 'g')"
+HITS = rf"len(regexp_extract_all({MASKED}, '\b(?:{'|'.join(MARKERS)})\b'))"
+
+
+def normal_sql(c: str) -> str:
+    c = f"translate(nfc_normalize({c}), '“”‘’', '\"\"''''')"
+    c = rf"regexp_replace({c}, '\r\n?|\n', ' ', 'g')"
+    for pattern, to in ((f"{S}+([,.;:!?])", r"\1"), (rf"\({S}+", "("), (rf"{S}+\)", ")"), (f"{S}+", " ")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"trim({c})"
+
+
+def key_sql(c: str) -> str:
+    c = f"replace(lower(nfc_normalize({c})), 'ß', 'ss')"
+    return rf"trim(regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_{S[1:-1]}]', ' ', 'g'), '{S}+', ' ', 'g'))"
+
+
+FEATURED = f"""
+WITH w AS (SELECT *, regexp_extract_all(lower(text), '[a-z'']+') AS w,
+  list_filter(list_transform(regexp_split_to_array(text, '[.!?]+{S}+'), lambda s: len(regexp_extract_all(lower(s), '[a-z'']+'))), lambda x: x > 0) AS l,
+  {HITS} AS hits FROM documents WHERE text IS NOT NULL AND {NONBLANK}),
+f AS (SELECT doc_id, source, lang,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_filter(w, lambda x: NOT list_contains([{", ".join("'" + x + "'" for x in FUNCTION_WORDS)}], x))) / len(w)::DOUBLE END AS lex_density,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / len(w)::DOUBLE END AS ttr,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE len(list_distinct(w)) / sqrt(len(w)) END AS root_ttr,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE list_avg(l) END AS sent_len_mean,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE list_var_pop(l) END AS sent_len_var,
+  CASE WHEN len(w) = 0 THEN 0.0 ELSE hits / len(w)::DOUBLE END AS marker_rate FROM w)"""
+
+MEANS = ", ".join(f"avg({f}) AS {f}_mean, coalesce(stddev_samp({f}), 0.0) AS {f}_sd" for f in T.FEATURES)
+ROUNDED = ", ".join(f"round({f}_mean, 4) AS {f}_mean, round({f}_sd, 4) AS {f}_sd" for f in T.FEATURES)
+CENTER = ", ".join(f"avg({f}) AS {f}_mean, greatest(coalesce(stddev_samp({f}), 0.0), 1e-9) AS {f}_std" for f in T.FEATURES)
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(f"{FEATURED}, r AS (SELECT source, count(*) AS n, {MEANS} FROM f GROUP BY source) SELECT source, n, {ROUNDED} FROM r")
+def stylometric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.report(evaluate.featured(table(spark, sf_dir, "documents")), "source"))
+
+
+@query(f"{FEATURED} SELECT doc_id, {', '.join(f'round({f}, 6) AS {f}' for f in T.FEATURES)} FROM f")
+def stylometric_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.featured(table(spark, sf_dir, "documents")).select("doc_id", *T.FEATURES), 6)
+
+
+@query(f"{FEATURED} SELECT count(*) AS n_segments, {', '.join(f'round(avg({f}), 4) AS {f}_mean, round(greatest(coalesce(stddev_samp({f}), 0.0), 1e-9), 4) AS {f}_std' for f in T.FEATURES)} FROM f WHERE lang = 'en'")
+def register_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return rounded(evaluate.centroid(evaluate.featured(docs)))
+
+
+@query(
+    f"{FEATURED}, r AS (SELECT source, {MEANS} FROM f GROUP BY source), c AS (SELECT {CENTER} FROM f WHERE lang = 'en') SELECT source, round(sqrt("
+    + " + ".join(f"pow((r.{f}_mean - c.{f}_mean) / c.{f}_std, 2)" for f in T.FEATURES)
+    + "), 4) AS stylo_dist FROM r, c"
+)
+def register_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.featured(table(spark, sf_dir, "documents"))
+    out = evaluate.with_distance(evaluate.report(rows, "source"), evaluate.centroid(rows.where("lang = 'en'")))
+    return rounded(out.select("source", "stylo_dist"))
+
+
+@query(f"SELECT source, count(*) AS n, round(avg({HITS}), 6) AS marker_rate FROM documents WHERE text IS NOT NULL AND {NONBLANK} GROUP BY source")
+def marker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.marker_rate(table(spark, sf_dir, "documents"), "source"), 6)
+
+
+@query(f"SELECT doc_id, sha256({normal_sql(ROUGH)}) AS text_sha256 FROM documents")
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(rough(), is_source=False), 256).alias("text_sha256"))
+
+
+@query(f"SELECT doc_id, sha256({key_sql(ROUGH)}) AS key_sha256 FROM documents")
+def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_key(rough()), 256).alias("key_sha256"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, {normal_sql("text")} AS t, {normal_sql("left(text, 40)")} AS s FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, CASE WHEN t = s THEN 'SourceEqualsTarget' END, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) < 100 THEN 'LowLatinScriptCount' END, CASE WHEN contains(t, chr(65533)) OR contains(s, chr(65533)) THEN 'EncodingErrorChar' END], lambda x: x IS NOT NULL) AS reasons FROM p),
+d AS (SELECT *, row_number() OVER (PARTITION BY len(reasons) = 0, t, s ORDER BY doc_id) AS k FROM r)
+SELECT doc_id, CASE WHEN len(reasons) = 0 AND k > 1 THEN 'Duplicate' ELSE array_to_string(reasons, ';') END AS reasons FROM d"""
+)
+def validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The head of each document beside its text, as a pair; no Arabic script is asked for, as these tables have none."""
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("source_text"), F.col("text").alias("target_text"))
+    return prepare.prepare(pairs, min_arabic=0, min_latin=100).select(F.col("record").alias("doc_id"), F.array_join("reasons", ";").alias("reasons"))
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT coalesce(nullif(source, ''), '<unknown>') AS work, count(*) AS n FROM documents GROUP BY 1),
+o AS (SELECT work, n, row_number() OVER (ORDER BY work = '<unknown>' DESC, n DESC, work) AS k FROM w), t AS (SELECT sum(n)::DOUBLE AS total FROM w),
+f(k, work, n, split, a, b, c) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT
+UNION ALL SELECT k, work, n, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'val' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END
+FROM (SELECT o.k, o.work, o.n, f.a, f.b, f.c, CASE WHEN o.work = '<unknown>' THEN 'train' WHEN f.c - total * 0.1::DOUBLE <= least(f.a - total * 0.8::DOUBLE, f.b - total * 0.1::DOUBLE) THEN 'test' WHEN f.a - total * 0.8::DOUBLE <= f.b - total * 0.1::DOUBLE THEN 'train' ELSE 'val' END AS split FROM f JOIN o ON o.k = f.k + 1, t))
+SELECT work, n, split, k - 1 AS work_rank FROM f WHERE k > 0"""
+)
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.assign_groups(table(spark, sf_dir, "documents"), "source")
+
+
+SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
+
+
+def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by text and by their first 60 characters, in splits by the last digit of doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLIT).alias("split"), F.substring("text", 1, 60).alias("head"), "text")
+    return split.keyed(docs, "head", "text").select("doc_id", "split", F.sha2("input_key", 256).alias("input_key"), F.sha2("output_key", 256).alias("output_key"))
+
+
+@query(
+    f"""WITH k AS (SELECT {SPLIT} AS split, {key_sql("left(text, 60)")} AS i, {key_sql("text")} AS o FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT split, 'input' AS side, count(DISTINCT i) AS n FROM k WHERE split <> 'train' AND i IN (SELECT i FROM k WHERE split = 'train') GROUP BY split
+UNION ALL SELECT split, 'output', count(DISTINCT o) FROM k WHERE split <> 'train' AND o IN (SELECT o FROM k WHERE split = 'train') GROUP BY split"""
+)
+def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.audit(keyed_documents(spark, sf_dir))
+
+
+@query()
+def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A greedy scan: beyond SQL, the tests compare it with a loop."""
+    return split.drop_seen(keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
+
+
+@query(
+    f"SELECT split, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS ratio FROM (SELECT {SPLIT} AS split FROM documents) GROUP BY split"
+)
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.split_counts(table(spark, sf_dir, "documents").select(F.expr(SPLIT).alias("split")))
+
+
+def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    index = table(spark, sf_dir, "embeddings")
+    return retrieve.cosine_topk(index.where("vec_id % 20 = 0"), index, k, "vec_id", "vec_id")
+
+
+NEAR = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS row_id, list_cosine_similarity(q.v, i.v) AS score FROM e q, e i WHERE q.vec_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s)"""
+
+
+@query(f"{NEAR} SELECT query_id, row_id, rank, round(score, 4) AS score FROM t WHERE rank <= 5")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(neighbours(spark, sf_dir, 5))
+
+
+@query()
+def margin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours ranked by cosine over the mean neighbour cosine of both sides; the rows' own means are over the queries."""
+    index = table(spark, sf_dir, "embeddings")
+    queries = index.where("vec_id % 20 = 0")
+    forward, backward = (retrieve.cosine_topk(a, b, 8, "vec_id", "vec_id") for a, b in ((queries, index), (index, queries)))
+    scored = retrieve.margin_scores(forward, backward)
+    order = Window.partitionBy("query_id").orderBy(F.col("margin").desc(), "row_id")
+    return rounded(scored.withColumn("rank", F.row_number().over(order).cast("long")))
+
+
+TEXTS = "x AS (SELECT vec_id, 'row ' || vec_id AS input, 'label ' || label AS output FROM embeddings)"
+
+
+@query(
+    f"""{NEAR}, {TEXTS}, g AS (SELECT query_id, string_agg('Source: ' || x.input || chr(10) || 'English: ' || x.output || chr(10), chr(10) ORDER BY rank DESC) AS b FROM t JOIN x ON x.vec_id = row_id WHERE rank <= 4 GROUP BY query_id)
+SELECT query_id, 'Here are example translations in the required style:' || chr(10) || chr(10) || b || chr(10) || 'Now translate the following text into English in the same style:' || chr(10) || chr(10) || 'Source: ' || x.input || chr(10) || 'English:' AS prompt FROM g JOIN x ON x.vec_id = query_id"""
+)
+def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("row "), F.col("vec_id")).alias("input"), F.concat(F.lit("label "), F.col("label")).alias("output"))
+    found = neighbours(spark, sf_dir, 4).join(texts.withColumnRenamed("vec_id", "row_id"), "row_id")
+    own = F.sort_array(F.collect_list(F.struct("rank", "input", "output")))
+    found = found.groupBy("query_id").agg(own.alias("exemplars"))
+    out = found.join(texts.select(F.col("vec_id").alias("query_id"), "input"), "query_id")
+    return out.select("query_id", retrieve.few_shot_prompt(F.col("input"), F.col("exemplars")).alias("prompt"))
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant turn behind them."""
+    turns = table(spark, sf_dir, "conversations")
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    turns = turns.withColumns({"next_role": F.lead("role").over(after), "output": F.lead("text").over(after)})
+    return turns.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("input"), "output", F.concat(F.lit("c"), F.col("conv_id") % 3).alias("condition"))
+
+
+PAIRS = """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS output FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT conv_id, turn, text AS input, output, 'c' || (conv_id % 3) AS condition FROM n WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+@query(f"{PAIRS} SELECT conv_id, turn, 'Translate the following text into English:' || chr(10) || chr(10) || input AS prompt FROM p")
+def zero_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).select("conv_id", "turn", retrieve.zero_shot_prompt(F.col("input")).alias("prompt"))
+
+
+@query()
+def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prompts = pairs(spark, sf_dir).select("conv_id", "turn", retrieve.zero_shot_prompt(F.coalesce("input", F.lit(""))).alias("prompt"))
+    return generate.answered(prompts, "echo").drop("latency_s")
+
+
+@query(
+    f"""{PAIRS}, h AS (SELECT condition, row_number() OVER () AS seg, regexp_replace(coalesce(input, ''), '{S}', '', 'g') AS h, regexp_replace(coalesce(output, ''), '{S}', '', 'g') AS r FROM p),
+o AS (SELECT unnest(range(1, 7)) AS n),
+g AS (SELECT condition, seg, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT *, unnest(range(1, length(h) - n + 2)) AS i FROM h, o WHERE length(h) >= n)
+UNION ALL SELECT condition, seg, n, substr(r, i, n), 0, 1 FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM h, o WHERE length(r) >= n)),
+m AS (SELECT condition, n, least(sum(a), sum(b)) AS m, sum(a) AS a, sum(b) AS b FROM g GROUP BY condition, seg, n, g),
+s AS (SELECT condition, n, sum(m) / sum(a) AS p, sum(m) / sum(b) AS r FROM m GROUP BY condition, n HAVING sum(a) > 0 AND sum(b) > 0),
+z AS (SELECT condition, avg(p) AS p, avg(r) AS r FROM s GROUP BY condition)
+SELECT condition, round(CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) ELSE 0.0 END, 4) AS chrf FROM z"""
+)
+def corpus_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.chrf(pairs(spark, sf_dir), "condition", "input", "output"))
+
+
+@query()
+def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer's patterns look around each symbol; the tests hold scores worked out by hand."""
+    return rounded(evaluate.bleu(pairs(spark, sf_dir), "condition", "input", "output"))
+
+
+@query(
+    f"""WITH r AS (SELECT lang, len(regexp_extract_all(text, '[^{S[1:]}+')) AS words, len(regexp_extract_all(text, '[A-Za-z0-9]{{1,4}}|[^A-Za-z0-9 \\t\\n\\r]')) AS tokens FROM documents WHERE text IS NOT NULL AND {NONBLANK}),
+k AS (SELECT *, tokens / words AS ratio, row_number() OVER (PARTITION BY lang ORDER BY tokens / words) - 1 AS k, count(*) OVER (PARTITION BY lang) AS of FROM r)
+SELECT lang, count(*) AS n, sum(words)::BIGINT AS words, sum(tokens)::BIGINT AS tokens, round(sum(tokens) / sum(words), 6) AS fertility_corpus, round(avg(ratio), 6) AS fertility_mean, round(median(ratio), 6) AS fertility_median,
+round(max(CASE WHEN k = floor(0.9::DOUBLE * (of - 1)) THEN ratio END), 6) AS fertility_p90, round(max(ratio), 6) AS fertility_max,
+CASE WHEN sum(tokens) / sum(words) < 2.5 THEN 'LOCK IT' WHEN sum(tokens) / sum(words) < 4.0 THEN 'BORDERLINE' ELSE 'CATASTROPHIC' END AS verdict FROM k GROUP BY lang"""
+)
+def fertility_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.fertility(table(spark, sf_dir, "documents"), "lang")
+    return rounded(out.withColumn("verdict", evaluate.fertility_verdict(F.col("fertility_corpus"))), 6)
+
+
+@query(
+    f"""{PAIRS}, u AS (SELECT condition, CASE conv_id % 4 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'gpt-4.1' ELSE 'other' END AS model, length(coalesce(input, '')) AS i, length(coalesce(output, '')) AS o FROM p),
+m(model, a, b) AS (VALUES ('gpt-4o-mini', 0.15, 0.6), ('gpt-4o', 2.5, 10.0), ('gpt-4.1', 2.0, 8.0))
+SELECT condition, u.model, count(*) AS calls, sum(i)::BIGINT AS prompt_tokens, sum(o)::BIGINT AS completion_tokens, round((sum(i) * coalesce(max(a), 0)::DOUBLE + sum(o) * coalesce(max(b), 0)::DOUBLE) / 1e6, 4) AS cost_usd FROM u LEFT JOIN m ON m.model = u.model GROUP BY condition, u.model"""
+)
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.expr("CASE conv_id % 4 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'gpt-4.1' ELSE 'other' END")
+    size = lambda c: F.length(F.coalesce(c, F.lit(""))).cast("long")
+    return evaluate.usage(pairs(spark, sf_dir).select("condition", model.alias("model"), size("input").alias("prompt_tokens"), size("output").alias("completion_tokens")))
