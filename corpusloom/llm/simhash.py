@@ -12,7 +12,7 @@ included (fewer words than a shingle: all of them; none: fingerprint zero). A bi
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a fingerprint; the id
 of a component is the least doc_id in it, null if it has none; near_free keeps the row with the least doc_id (nulls last, then
-text) of each group and all columns, whatever their names; an empty table gives no row.
+a hash of the text) of each group and all columns, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -229,9 +229,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def near_free(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, with its own columns."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "near-free-rows")
-    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text"), shingle), "simhash")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), "near-free-rows")
+    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), shingle), "simhash")
     named = groups(found, distance).select(F.col("doc_id").alias("_row"), "group")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"), F.col("_row").alias("row"))
+    own = F.col("_doc.doc_id").cast("long")
+    order = F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64("_doc.text").alias("h"), F.col("_row").alias("row"))
     best = rows.select("_row", order.alias("o")).join(named, "_row").groupBy("group").agg(F.min("o").alias("o"))
     return rows.join(best.select(F.col("o.row").alias("_row")), "_row", "left_semi").select("_doc.*")

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .base import slices, stored, text_of
 from .fm_index import FMIndex, repeated_windows
@@ -217,16 +218,17 @@ def without(text: str, spans: list[dict]) -> str:
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents with their own columns, their texts without repeated windows."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), text_of().alias("text"), whole), "substring-rows")
-    spans = repeated_spans(rows.select("row", "text"), window)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole), "substring-rows")
+    spans = repeated_spans(rows.select("row", text_of("_doc.text").alias("text")), window)
 
     def run(batches):
         for batch in slices(batches, "text"):
-            texts = [without(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "_new"])
+            texts = [without(t, s) if s else None for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_new"])
 
-    spans = stored(spans, "document-spans")
-    changed = rows.select("row", "text").join(spans, "row").mapInArrow(run, "row long, _new string")
-    out = rows.select("row", "_doc").join(changed, "row", "left").where("_new IS NULL OR _new <> ''")
+    found = rows.join(spans, "row", "left")
+    schema = StructType([rows.schema["_doc"], StructField("_new", StringType())])
+    changed = found.select(text_of("_doc.text").alias("text"), "spans", "_doc").mapInArrow(run, schema)
+    out = changed.where("_new IS NULL OR _new <> ''")
     columns = {"text": F.coalesce("_new", F.col("_doc.text")), "n_chars": F.when(F.col("_new").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*(columns[c].alias(c) if c in columns else F.col(f"_doc.`{c}`") for c in docs.columns))
