@@ -63,7 +63,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches, column: str, limit: int = 8 << 20):
+def slices(batches, column: str, limit: int = 2 << 20):
     """Cuts Arrow batches so that the texts of each piece take about limit bytes at most, or the piece is one row."""
     import numpy as np
     import pyarrow.compute as pc

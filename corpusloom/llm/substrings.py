@@ -30,7 +30,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .base import slices, stored, text_of
 from .fm_index import FMIndex, repeated_windows
 
-GRAM, HOT_SEGMENTS, SHARD_WORDS, SEED = 8, 2000, 1_000_000, 5
+GRAM, HOT_SEGMENTS, SHARD_WORDS, SEED = 8, 2000, 500_000, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct pieces whose ids a worker keeps (about 300 bytes each); beyond it the memory is emptied and filled anew.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 400_000
 
 #: Letters that stand alone in normal form C, and punctuation behind them.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
