@@ -66,3 +66,24 @@ def digest(conversations: DataFrame) -> DataFrame:
     loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
     rows = rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+#: What op5 returns, in DuckDB SQL: the lengths of the template follow from its constants.
+DIGEST_SQL = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(k)
+), turns AS (
+  SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+  SELECT *, length(replace(replace(text, '\\', '\\b'), '<', '\\l'))
+    + CASE WHEN before = role THEN {len(NEXT)} ELSE {len(BEGIN) + 1} + length(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), chr(10), '\\n'))
+      + CASE WHEN place > 1 THEN {len(END)} ELSE 0 END END AS written
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{TRAINED}'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = '{TRAINED}'), '')) AS loss_sha256,
+  (sum(written) + {len(END)})::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

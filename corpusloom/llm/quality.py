@@ -125,3 +125,44 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
     rows = stored(measured(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")]), "quality")
     return judged(rows).where("kept").select("_doc.*")
+
+
+def verdicts_sql() -> str:
+    """What `verdicts` returns, in DuckDB SQL."""
+    share = {"symbol_share": "n_symbols * 1000 // greatest(n_words, 1)", "dup_line_share": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeat_share": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 100 // greatest(n_words, 1)"}
+    least = " ".join(f"WHEN '{m}' THEN {spread}" for m, (spread, _) in RULES.items())
+    within = " AND ".join(f"{m} <= max(high) FILTER (metric = '{m}')" + (f" AND {m} >= max(low) FILTER (metric = '{m}')" if low else "") for m, (_, low) in RULES.items())
+    quartiles = lambda keys: ", ".join([*keys, "metric", *(f"min(bucket) FILTER (4 * upto >= {k} * total) AS q{k}" for k in (1, 3)), "max(total) AS n"])
+    levels = ""
+    for level, keys in {"own": ["lang", "source"], "lang": ["lang"], "whole": []}.items():
+        by = ", ".join([*keys, "metric"])
+        levels += f"""by_{level} AS (SELECT {quartiles(keys)} FROM (
+  SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}),
+"""
+    pick = lambda q: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{q} WHEN l.n >= {LEAST_ROWS} THEN l.{q} ELSE a.{q} END AS {q}"
+    metrics = ", ".join(f"{sql} AS {m}" for m, sql in share.items())
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS j, unnest(list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS g FROM d WHERE len(w) >= {WINDOW}
+), starts AS (SELECT r, j FROM (SELECT r, j, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, sum(least({WINDOW}, coalesce(after - j, {WINDOW}))) AS n FROM (SELECT r, j, lead(j) OVER (PARTITION BY r ORDER BY j) AS after FROM starts) GROUP BY r),
+base AS (
+  SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN covered USING (r)
+), rows AS MATERIALIZED (SELECT *, {metrics}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
+sketch AS (
+  SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n
+  FROM (UNPIVOT (SELECT lang, source, {", ".join(RULES)} FROM rows) ON {", ".join(RULES)} INTO NAME metric VALUE v) GROUP BY ALL
+), {levels}fences AS (
+  SELECT lang, source, metric, q1 - {FENCE} * spread AS low, q3 + {FENCE} * spread AS high FROM (
+    SELECT lang, source, metric, q1, q3, greatest(q3 - q1, CASE metric {least} END) AS spread FROM (
+      SELECT o.lang, o.source, metric, {pick("q1")}, {pick("q3")} FROM by_own o JOIN by_lang l USING (lang, metric) JOIN by_whole a USING (metric)))
+)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND {within} AS kept
+FROM rows JOIN fences USING (lang, source) GROUP BY r, doc_id, {", ".join(BASE)}, base_failed, {", ".join(RULES)}
+"""

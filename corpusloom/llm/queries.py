@@ -53,4 +53,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_quality": quality.verdicts_sql(), "op5_chat": chat.DIGEST_SQL, "op9_substrings": substrings.deduplicated_sql(35)}

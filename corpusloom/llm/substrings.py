@@ -232,3 +232,20 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     out = changed.where("_new IS NULL OR _new <> ''")
     columns = {"text": F.coalesce("_new", F.col("_doc.text")), "n_chars": F.when(F.col("_new").isNull(), F.col("_doc.n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*(columns[c].alias(c) if c in columns else F.col(f"_doc.`{c}`") for c in docs.columns))
+
+
+def deduplicated_sql(window: int) -> str:
+    """What `deduplicated` returns, in DuckDB SQL: every window as a string, counted over all documents."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, unnest(range(1, len(w) - {window - 2})) AS j, unnest(list_transform(range(1, len(w) - {window - 2}), lambda i: array_to_string(w[i:i + {window - 1}], ' '))) AS g
+  FROM d WHERE len(w) >= {window}
+), starts AS (SELECT r, j FROM (SELECT r, j, count(*) OVER (PARTITION BY g) AS n FROM windows) WHERE n > 1),
+places AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+marked AS (
+  SELECT r, j, word, count(starts.j) OVER (PARTITION BY r ORDER BY places.j ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) = 0 AS stays
+  FROM places LEFT JOIN starts USING (r, j)
+), kept AS (SELECT r, count(*) FILTER (NOT stays) AS gone, string_agg(word, ' ' ORDER BY j) FILTER (stays) AS text FROM marked GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
