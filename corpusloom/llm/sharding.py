@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .base import joined_small, stored, text_of
 
@@ -68,12 +69,14 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """Writes whole rows under path, in a folder shard=k for each shard."""
+    """Writes whole rows under path, in a folder shard=k for each shard; a column shard of the rows gives way to that."""
 
     def number(batches):
         for batch in batches:
-            yield batch.append_column("shard", pa.array(jump_hash(np.asarray(batch.column("_key")).view(np.uint64), shards).astype(np.int32)))
+            keys = np.asarray(batch.column("key")).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(jump_hash(keys, shards).astype(np.int32))], ["doc", "shard"])
 
-    keyed = docs.drop("shard").withColumn("_key", key_of())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    keyed.mapInArrow(number, f"{fields}, shard int").drop("_key").write.partitionBy("shard").parquet(path)
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), key_of().alias("key"))
+    schema = StructType([keyed.schema["doc"], StructField("shard", IntegerType())])
+    keyed.mapInArrow(number, schema).select("doc.*", "shard").write.partitionBy("shard").parquet(path)
