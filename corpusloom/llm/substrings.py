@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import slices, stored, text_of
+from .base import BROADCAST_ROWS, slices, stored, text_of
 from .fm_index import FMIndex, repeated_windows
 
-GRAM, HOT_SEGMENTS, SHARD_WORDS, SEED = 8, 2000, 500_000, 5
+GRAM, HOT_SEGMENTS, SHARD_WORDS, SALTS, SEED = 8, 2000, 500_000, 64, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -168,8 +168,16 @@ def matched(distinct: DataFrame, window: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """row, spans array<struct<a, b>>: words a to b - 1 are in repeated windows; rows: stored (row, text)."""
     found = stored(occurrences(rows, window), "segments")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > HOT_SEGMENTS).alias("hot"))
-    some = found.join(anchors, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("found"))
+    anchors = stored(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > HOT_SEGMENTS).alias("hot")), "anchors")
+    hot = anchors.where("hot")
+    # Segments of hot anchors take no part in the join on anchors, which would bring each one's to a single task.
+    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = found.join(F.broadcast(hot), "anchor", "left")
+    else:
+        salt = F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int").alias("salt")
+        marked = found.select("*", salt).join(hot.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["anchor", "salt"], "left").drop("salt")
+    cold = marked.where("hot IS NULL").join(anchors.where("NOT hot").select("anchor"), "anchor", "left_semi").withColumn("hot", F.lit(False))
+    some = marked.where("hot").unionByName(cold).groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("found"))
     cuts = stored(cut_out(rows.join(some, "row"), window), "segment-words")
     # One row a segment and task goes to the shuffle.
     distinct = cuts.groupBy("digest", "shard_key").agg(F.count("*").alias("n"), F.first("words").alias("words"))

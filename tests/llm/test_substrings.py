@@ -48,8 +48,9 @@ def test_windows_of_an_index_are_those_counted():
 
 
 def test_removed_words_are_those_of_brute_force(spark, monkeypatch):
-    for seed, hot in ((1, 2000), (2, 3)):
+    for seed, hot, few in ((1, 2000, 20_000), (2, 3, 20_000), (3, 3, 0)):
         monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+        monkeypatch.setattr(substrings, "BROADCAST_ROWS", few)
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], SCHEMA)
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.deduplicated(docs).collect()}
