@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, packing, quality, simhash, substrings
+from corpusloom.llm import likeness, mixing, packing, quality, substrings
 from corpusloom.llm.base import scratch_root
 
 
@@ -15,7 +15,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_free(docs, shingle=5)
+    return likeness.like_free(docs, shingle=5)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Fingerprints, the FM-index and packing are beyond SQL; the tests compare the stages with brute force.
+#: Shingle likeness, the FM-index and packing are beyond SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

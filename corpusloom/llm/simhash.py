@@ -37,19 +37,25 @@ _UPPER = bytes(range(65, 91))
 _LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str, shingle: int) -> list[int]:
+    """XXH64 of each shingle of the text, repeats included; none if it has no word."""
     words = text.encode().translate(_LOWERED).split()
     if not words:
-        return 0
+        return []
     n = len(words) - shingle + 1
     digest = xxhash.xxh64_intdigest
     if n <= 1:
-        hashes = [digest(b" ".join(words), SEED)]
-    else:
-        whole = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = (ends - [len(w) + 1 for w in words]).tolist()
-        hashes = [digest(whole[a:b], SEED) for a, b in zip(starts[:n], (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [digest(b" ".join(words), SEED)]
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    return [digest(whole[a:b], SEED) for a, b in zip(starts[:n], (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
+        return 0
     data = np.array(hashes, np.uint64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(data), 1 << 14):
@@ -227,12 +233,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_free(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """One document of each group, with its own columns."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), "near-free-rows")
-    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), shingle), "simhash")
-    named = groups(found, distance).select(F.col("doc_id").alias("_row"), "group")
+def numbered(docs: DataFrame) -> DataFrame:
+    """_row, _doc (all columns) of each row, stored."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), "near-free-rows")
+
+
+def first_of_groups(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The document with the least doc_id of each group; rows as `numbered` stores them, named: _row, group."""
     own = F.col("_doc.doc_id").cast("long")
     order = F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64("_doc.text").alias("h"), F.col("_row").alias("row"))
     best = rows.select("_row", order.alias("o")).join(named, "_row").groupBy("group").agg(F.min("o").alias("o"))
     return rows.join(best.select(F.col("o.row").alias("_row")), "_row", "left_semi").select("_doc.*")
+
+
+def near_free(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group, with its own columns."""
+    rows = numbered(docs)
+    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), shingle), "simhash")
+    return first_of_groups(rows, groups(found, distance).select(F.col("doc_id").alias("_row"), "group"))
