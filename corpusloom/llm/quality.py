@@ -3,7 +3,8 @@
 Each metric of a document goes into a mergeable quantile sketch of its language and source: counts of log-linear buckets that keep
 the seven leading bits of a value, so a quantile is off by less than 1 in 64 and sketches merge by adding counts, in any order
 and with the same result. A threshold lies FENCE spreads (quartile distance, at least the metric's least spread) beyond the
-quartile. A group with fewer than LEAST_ROWS documents borrows the merged sketch of its language, or else that of all documents.
+quartile. A group with fewer than LEAST_ROWS documents borrows the merged sketch of its language, or else that of all documents. Where all quartile distances are below the least
+spreads, as in the supplied tables, these decide, and the thresholds are fixed cutoffs beside the quartiles.
 
 Defined cases: a null text has no words and fails the base rule, as does any text of under ten words; null lang or source count as
 an empty string; repeated rows are judged alike and each one counts in the sketches; extra columns are kept by `kept_documents`,
