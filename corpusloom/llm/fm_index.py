@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Suffixes are sorted by so many leading symbols; no pattern may be longer.
+#: Suffixes are sorted by so many leading symbols at least, and by as many as the longest pattern has.
 DEPTH = 64
 
 
@@ -62,10 +62,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """text: symbols below sigma; 0 separates its parts and is in no pattern."""
+    """text: symbols below sigma; 0 separates its parts and is in no pattern. No pattern may be longer than `longest`."""
 
-    def __init__(self, text: np.ndarray, sigma: int):
-        order = suffix_order(text)
+    def __init__(self, text: np.ndarray, sigma: int, longest: int = DEPTH):
+        order = suffix_order(text, max(DEPTH, 1 << (longest - 1).bit_length()))
+        self.longest = max(DEPTH, longest)
         self.n = len(text)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:sigma]
         self.wavelet = WaveletMatrix(text[order - 1], sigma)
@@ -84,6 +85,8 @@ def repeated_windows(index: FMIndex, text: np.ndarray, starts: np.ndarray, count
     Every row is searched backwards from a window's last symbol until its matches are fewer than two. Where that happens inside the
     window, no window that holds those symbols repeats either, so the next one tried begins behind them.
     """
+    if window > index.longest:
+        raise ValueError(f"the suffixes are not sorted by the {window} symbols of a window")
     row = np.flatnonzero(counts > 0)
     begin = np.zeros(len(row), np.int64)
     at = begin + window - 1

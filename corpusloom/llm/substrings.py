@@ -147,7 +147,7 @@ def matched(distinct: DataFrame, window: int) -> DataFrame:
         inside[starts + sizes] = False
         known, symbols = np.unique(hashes, return_inverse=True)
         text[inside] = symbols + 1
-        index = FMIndex(text, len(known) + 1)
+        index = FMIndex(text, len(known) + 1, window)
         count = sizes - window + 1
         row, at = repeated_windows(index, text, starts, np.where(copies > 1, 0, count), window)
         many = np.flatnonzero(copies > 1)  # all their windows are elsewhere too
