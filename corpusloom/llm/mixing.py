@@ -103,7 +103,13 @@ def plan(rows: DataFrame, max_epochs: float, entropy: float | None, budget: floa
     inside = inside.groupBy("_source", "_block", "room", draw("_h").alias("draw")).agg(F.sum("_tokens").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("_source").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
     cutoff = inside.withColumn("upto", upto).where("upto <= room").groupBy("_source", "_block").agg(F.max("draw").alias("cutoff"))
-    return sources, stored(sums.join(cutoff, ["_source", "_block"], "left").select("_source", "_block", "whole", "taken", "cutoff"), "mix-copies")
+    # The place of each block in every epoch that its source enters; the order of the last one is that of the sums above.
+    entered = sums.select("_source", "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"))
+    order = Window.partitionBy("_source", "epoch").orderBy(F.xxhash64("_source", "_block", "epoch", F.lit(SEED)), "_block")
+    entered = entered.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    places = entered.groupBy("_source", "_block").agg(F.sort_array(F.collect_list(F.struct("epoch", "position"))).alias("places"))
+    blocks = sums.join(cutoff, ["_source", "_block"], "left").join(places, ["_source", "_block"])
+    return sources, stored(blocks.select("_source", "_block", "whole", "taken", "cutoff", "places"), "mix-copies")
 
 
 def draw(h: str) -> Column:
@@ -114,18 +120,20 @@ def with_copies(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataF
     out = joined_small(rows, sources.select("_source", "n_blocks", "total", "weight", "quota"), ["_source"]).withColumn("_block", F.pmod("_h", "n_blocks"))
     out = joined_small(out, blocks, ["_source", "_block"])
     more = F.col("taken") | F.coalesce(draw("_h") <= F.col("cutoff"), F.lit(False))
-    return out.withColumn("copies", (F.col("whole") + F.when(more & (F.col("total") > 0), 1).otherwise(0)).cast("int"))
+    out = out.withColumn("copies", (F.col("whole") + F.when(more & (F.col("total") > 0), 1).otherwise(0)).cast("int"))
+    return out.withColumn("places", F.slice("places", F.lit(1), F.col("copies")))
 
 
 def schedule(docs: DataFrame, max_epochs: float = 4.0, entropy: float | None = None, budget: float | None = None, keep_all: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """doc_id, source, n_tokens, block, weight, copies of each row: how often the mixture takes it."""
+    """doc_id, source, n_tokens, block, weight, copies of each row, how often the mixture takes it; places, the epoch and the block's
+    position in it for each copy; draw, by which the rows of a block are ordered. A source's order is by epoch, position, draw."""
     rows = stored(keyed(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "mix")
     out = with_copies(rows, *plan(rows, max_epochs, entropy, budget, keep_all, block_tokens))
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), "weight", "copies")
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), "weight", "copies", "places", draw("_h").alias("draw"))
 
 
 def mixed_documents(docs: DataFrame, max_epochs: float = 4.0, entropy: float | None = None, budget: float | None = None, keep_all: bool = True, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents with their own columns, each as often as the mixture takes it."""
+    """The documents with their own columns, each as often as the mixture takes it, in no particular order (see schedule)."""
     small = stored(keyed(docs, []), "mix")
     sources, blocks = plan(small, max_epochs, entropy, budget, keep_all, block_tokens)
     rows = keyed(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")])
