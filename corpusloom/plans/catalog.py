@@ -48,6 +48,11 @@ def normal_sql(c: str) -> str:
     return f"trim({c})"
 
 
+def source_sql(c: str) -> str:
+    c = rf"regexp_replace(translate(nfc_normalize({c}), 'يكـ', 'یک'), '\r\n?|\n', ' ', 'g')"
+    return f"trim(regexp_replace({c}, '{S}+', ' ', 'g'))"
+
+
 def key_sql(c: str) -> str:
     c = f"replace(lower(nfc_normalize({c})), 'ß', 'ss')"
     return rf"trim(regexp_replace(regexp_replace({c}, '[^\p{{L}}\p{{N}}_{S[1:-1]}]', ' ', 'g'), '{S}+', ' ', 'g'))"
@@ -111,6 +116,15 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(rough(), is_source=False), 256).alias("text_sha256"))
 
 
+#: Letters that source-mode normalization maps or removes, in place of three that the tables have.
+LETTERS = ("ykq", "يكـ")
+
+
+@query(f"SELECT doc_id, sha256({source_sql(f"translate({ROUGH}, '{LETTERS[0]}', '{LETTERS[1]}')")}) AS text_sha256 FROM documents")
+def normalized_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(F.translate(rough(), *LETTERS), is_source=True), 256).alias("text_sha256"))
+
+
 @query(f"SELECT doc_id, sha256({key_sql(ROUGH)}) AS key_sha256 FROM documents")
 def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_key(rough()), 256).alias("key_sha256"))
@@ -164,6 +178,28 @@ def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.drop_seen(keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
 
 
+def word_keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the first and the last word of the whole text's match key, in the same splits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLIT).alias("split"), T.normalize_key(F.col("text")).alias("key"))
+    word = lambda k: F.substring_index("key", " ", k)
+    return docs.select("doc_id", "split", word(1).alias("input_key"), word(-1).alias("output_key"))
+
+
+@query(
+    f"""WITH w AS (SELECT {SPLIT} AS split, string_split({key_sql("coalesce(text, '')")}, ' ') AS w FROM documents), k AS (SELECT split, w[1] AS i, w[-1] AS o FROM w)
+SELECT split, 'input' AS side, count(DISTINCT i) AS n FROM k WHERE split <> 'train' AND i IN (SELECT i FROM k WHERE split = 'train') GROUP BY split
+UNION ALL SELECT split, 'output', count(DISTINCT o) FROM k WHERE split <> 'train' AND o IN (SELECT o FROM k WHERE split = 'train') GROUP BY split"""
+)
+def leakage_audit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.audit(word_keyed_documents(spark, sf_dir))
+
+
+@query()
+def cross_boundary_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cross_boundary_dedup, by keys of the whole text."""
+    return split.drop_seen(word_keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
+
+
 @query(
     f"SELECT split, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS ratio FROM (SELECT {SPLIT} AS split FROM documents) GROUP BY split"
 )
@@ -225,6 +261,18 @@ PAIRS = """WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER
 p AS (SELECT conv_id, turn, text AS input, output, 'c' || (conv_id % 3) AS condition FROM n WHERE role = 'user' AND next_role = 'assistant')"""
 
 
+@query(
+    f"""{PAIRS}, q AS (SELECT conv_id, turn, {source_sql(f"translate(coalesce(input, ''), '{LETTERS[0]}', '{LETTERS[1]}')")} AS s, {normal_sql("coalesce(output, '')")} AS t FROM p),
+r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, CASE WHEN t = s THEN 'SourceEqualsTarget' END, CASE WHEN len(regexp_extract_all(s, '{T.ARABIC}')) < 5 THEN 'LowArabicScriptCount' END, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) < 100 THEN 'LowLatinScriptCount' END, CASE WHEN contains(t, chr(65533)) OR contains(s, chr(65533)) THEN 'EncodingErrorChar' END], lambda x: x IS NOT NULL) AS reasons FROM q),
+d AS (SELECT *, row_number() OVER (PARTITION BY len(reasons) = 0, t, s ORDER BY conv_id, turn) AS k FROM r)
+SELECT conv_id, turn, CASE WHEN len(reasons) = 0 AND k > 1 THEN 'Duplicate' ELSE array_to_string(reasons, ';') END AS reasons FROM d"""
+)
+def validated_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns, with letters of Arabic script put in, beside the whole answers, as pairs."""
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", F.struct("conv_id", "turn").alias("record"), F.translate("input", *LETTERS).alias("source_text"), F.col("output").alias("target_text"))
+    return prepare.prepare(rows, min_arabic=5, min_latin=100).select("conv_id", "turn", F.array_join("reasons", ";").alias("reasons"))
+
+
 @query(f"{PAIRS} SELECT conv_id, turn, 'Translate the following text into English:' || chr(10) || chr(10) || input AS prompt FROM p")
 def zero_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", retrieve.zero_shot_prompt(F.col("input")).alias("prompt"))
