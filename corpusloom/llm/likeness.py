@@ -3,7 +3,8 @@
 Each set of shingles is summed up by BANDS keys of WIDTH minima each; two sets at similarity J share a key with probability
 1 - (1 - J**WIDTH)**BANDS, which is 1 - 4e-6 at 0.8 and more above. Sets that share a key are compared exactly, in two rounds: first
 each with the least one of its key, then, where a key's sets are not yet all connected, those outside the least one's component
-with all the others of the key. Pairs inside a component need no comparison, so a large group of copies costs few pairs.
+with all the others of the key. Pairs inside a component need no comparison; but rows that share keys and stay apart, as near copies
+somewhat below 0.8 do, are compared pair by pair, which grows with the square of their number.
 
 Shingles are those of the fingerprints (see simhash), told apart by their 64-bit XXH64, repeats left out. A SimHash at four or fewer
 differing bits finds a small part of the pairs at 0.8 to 0.9 only, so it is not used here.
