@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -22,15 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of this machine only where none is set, as in local tests."""
+    """The shared folder of the session; a folder of this machine only where none is set and Spark runs in this process alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             root = tempfile.mkdtemp(prefix="corpusloom-")
-            spark.sparkContext.setCheckpointDir(root)
+            context.setCheckpointDir(root)
+        else:
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     return root.rstrip("/")
 
 
@@ -41,14 +45,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def joined_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left semi join of stored tables whose keys may be very uneven; right says in m how many rows of left a key has.
+
+    Keys with more rows than a partition's share are fewer than there are partitions: their rows of right are broadcast, and only
+    the others are shuffled.
+    """
+    share = max(1, left.count() // partitions(left.sparkSession))
+    hot = right.where(F.col("m") > share)
+    cold = left.join(F.broadcast(hot.select(*on).distinct()), on, "left_anti").join(right.where(F.col("m") <= share), on, how)
+    return left.join(F.broadcast(hot), on, how).unionByName(cold)
+
+
 def joined_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Joins with a stored table that is expected to be small: broadcast behind a count of it, else a shuffled join."""
     n = small.limit(BROADCAST_ROWS + 1).count()
@@ -59,6 +84,17 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def row_keys(docs: DataFrame, *also: str) -> list[Column]:
+    """k1, k2: hashes of the text, and of doc_id, text and the columns `also` (nulls count as empty). By these 128 bits a row is found
+    again when the table is read anew, so that no copy of it has to be written; repeated rows share them."""
+    others = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", *also) if c in docs.columns]
+    return [F.xxhash64(text_of()).alias("k1"), F.xxhash64(F.lit(71), *others, text_of()).alias("k2")]
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

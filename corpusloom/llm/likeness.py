@@ -1,16 +1,20 @@
 """Near-duplicates by likeness: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, and what they connect.
 
 Each set of shingles is summed up by BANDS keys of WIDTH minima each; two sets at similarity J share a key with probability
-1 - (1 - J**WIDTH)**BANDS, which is 1 - 4e-6 at 0.8 and more above. Sets that share a key are compared exactly, in two rounds: first
-each with the least one of its key, then, where a key's sets are not yet all connected, those outside the least one's component
-with all the others of the key. Pairs inside a component need no comparison; but rows that share keys and stay apart, as near copies
-somewhat below 0.8 do, are compared pair by pair, which grows with the square of their number.
+1 - (1 - J**WIDTH)**BANDS, which is 1 - 4e-6 at 0.8 and more above. Sets that share a key are compared exactly, in two rounds. First
+each one is compared with the least one of its key, a pair a set and key. Sets that stay outside of that one's component are loose:
+they and all others of their keys make clusters (what keys with loose sets connect), and within a cluster every loose set is
+compared with all sets, as near copies somewhat below 0.8 need it. No pair is written for that: a cluster is dealt to parts of about
+PART_SHINGLES, each pair of parts is a task, which counts common shingles by a matrix product (frequent ones) and by lists of
+the sets that hold one (rare ones), and returns its links as stars. The work of that round still grows with the square of a
+cluster's size, at a few operations a pair; no set is dropped from it.
 
 Shingles are those of the fingerprints (see simhash), told apart by their 64-bit XXH64, repeats left out. A SimHash at four or fewer
 differing bits finds a small part of the pairs at 0.8 to 0.9 only, so it is not used here.
 
 Defined cases: null and empty texts have an empty set, and equal sets are always together; a text with fewer words than a shingle has
-one of all its words; which document of a group stays is as in simhash.near_free; an empty table gives no row.
+one of all its words, and a very long one a set of all its shingles; which document of a group stays is as in simhash.near_free; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .base import joined_small, slices, stored
+from .base import discard, joined_hot, joined_small, partitions, row_keys, slices, stored, text_of
 from .components import labels
-from .simhash import first_of_groups, numbered, shingle_hashes
+from .simhash import Sets, found_again, place_of, shingle_hashes
 from .substrings import mixed
 
 BANDS, WIDTH, SEED = 24, 4, 11
@@ -31,6 +36,8 @@ BANDS, WIDTH, SEED = 24, 4, 11
 LEAST, OF = 4, 5
 #: Shingles that are multiplied at once.
 PIECE = 1 << 12
+#: Shingles of a part of a cluster, entries of the matrices a task holds at a time, and the sets that hold a frequent shingle.
+PART_SHINGLES, ENTRIES, FREQUENT = 1 << 20, 1 << 22, 48
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * WIDTH, dtype=np.uint64) | np.uint64(1)
 
@@ -53,16 +60,17 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """_row, digest and size of the set, keys array<long> of each of rows (_row, text)."""
+    """place (as it is), d1 and d2 (128 bits of a digest) and size of the set, keys array<long> of each of rows (place, text)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             sets = [shingle_set(x, shingle) for x in batch.column("text").to_pylist()]
-            digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            columns = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
             keys = [band_keys(s).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(digests), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["_row", "digest", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), *columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["place", "d1", "d2", "size", "keys"])
 
-    return rows.mapInArrow(run, "_row long, digest long, size int, keys array<long>")
+    fields = [StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))]
+    return rows.select("place", "text").mapInArrow(run, StructType([rows.schema["place"], *fields]))
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -73,7 +81,7 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
             sets = [shingle_set(x, shingle).view(np.int64) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    return rows.mapInArrow(run, "id long, shingles array<long>")
+    return rows.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -83,45 +91,140 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(OF * F.col("common") >= LEAST * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
+def common_shingles(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray):
+    """Yields, for some rows of a at a time, the first of them and the numbers of shingles each has in common with every set of b;
+    a and b: the shingles of all sets in a row."""
+    n = len(b_sizes)
+    by = np.argsort(b, kind="stable")
+    known, first, count = np.unique(b[by], return_index=True, return_counts=True)
+    holder = np.repeat(np.arange(n), b_sizes)[by]
+    at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+    held = known[at] == a
+    row = np.repeat(np.arange(len(a_sizes)), a_sizes)
+    often = np.flatnonzero(count >= FREQUENT)
+    column = np.full(len(known), -1)
+    column[often] = np.arange(len(often))
+    edges = np.concatenate([[0], np.cumsum(a_sizes)])
+    step = max(1, ENTRIES // max(1, n))
+    for k in range(0, len(a_sizes), step):
+        own = slice(edges[k], edges[min(k + step, len(a_sizes))])
+        rows, code = row[own][held[own]] - k, at[own][held[own]]
+        height = min(step, len(a_sizes) - k)
+        rare = column[code] < 0
+        size = count[code[rare]]
+        out = np.zeros(height * n, np.float32)
+        ends = np.cumsum(size)
+        for part in np.split(np.arange(len(size)), np.searchsorted(ends, np.arange(ENTRIES, ends[-1], ENTRIES))) if len(size) else []:
+            held_by = holder[np.repeat(first[code[rare][part]] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(size[part].sum())]
+            out += np.bincount(np.repeat(rows[rare][part], size[part]) * n + held_by, minlength=len(out))
+        out = out.reshape(height, n)
+        wide = max(1, ENTRIES // max(n, height))
+        for c in range(0, len(often), wide):
+            left, right = np.zeros((height, min(wide, len(often) - c)), np.float32), np.zeros((min(wide, len(often) - c), n), np.float32)
+            mine = (column[code] >= c) & (column[code] < c + wide)
+            left[rows[mine], column[code[mine]] - c] = 1
+            some = often[c : c + wide]
+            place = np.repeat(first[some] - (np.cumsum(count[some]) - count[some]), count[some]) + np.arange(count[some].sum())
+            right[np.repeat(np.arange(len(some)), count[some]), holder[place]] = 1
+            out += left @ right
+        yield k, out
+
+
+def links_within(members: DataFrame) -> DataFrame:
+    """(u, v): stars that connect the sets of each cluster as its similar pairs with a loose set do; members: cluster, parts, id,
+    loose, shingles."""
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "loose", "shingles")
+
+    def compare(batches):
+        batches = list(batches)  # some pairs of parts of about PART_SHINGLES each
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        cluster, p, q, own, ids, loose = (np.asarray(table[c]) for c in ("cluster", "p", "q", "own", "id", "loose"))
+        order = np.lexsort((ids, own, q, p, cluster))
+        task = np.stack([cluster, p, q])[:, order]
+        edges = np.flatnonzero(np.concatenate([[True], (task[:, 1:] != task[:, :-1]).any(0), [True]]))
+        for x, y in zip(edges, edges[1:], strict=False):
+            at = order[x:y]
+            sets = table["shingles"].take(pa.array(at)).combine_chunks()
+            sets = pa.concat_arrays(sets.chunks) if isinstance(sets, pa.ChunkedArray) else sets
+            sizes, values = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            here = np.arange(len(at))
+            one, two = (here[own[at] == part[at[0]]] for part in (p, q))
+            free = loose[at]
+            jobs = [(one[free[one]], two)] + ([(one[~free[one]], two[free[two]])] if p[at[0]] != q[at[0]] else [])
+            joined = Sets(len(at))
+            pick = lambda w: values[np.repeat(bounds[w] - (np.cumsum(sizes[w]) - sizes[w]), sizes[w]) + np.arange(sizes[w].sum())]  # noqa: B023, E731
+            for a, b in jobs:
+                if not len(a) or not len(b):
+                    continue
+                for k, common in common_shingles(pick(a), sizes[a], pick(b), sizes[b]):
+                    total = sizes[a][k : k + len(common), None] + sizes[b][None]
+                    i, j = np.nonzero(OF * common >= LEAST * (total - common))
+                    joined.link(a[k + i], b[j])
+            linked = np.flatnonzero(joined.root != here)
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[linked]]), pa.array(ids[at[joined.root[linked]]])], ["u", "v"])
+
+    dealt = rows.repartition(partitions(members.sparkSession), "cluster", "p", "q")
+    return dealt.mapInArrow(compare, "u long, v long")
+
+
 def fitting(pairs: DataFrame) -> DataFrame:
     """Distinct (u, v) of pairs with columns m and n, the sizes of the sets: those that can be at the least similarity at all."""
     return pairs.where(OF * F.least("m", "n") >= LEAST * F.greatest("m", "n")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def groups(rows: DataFrame, shingle: int) -> DataFrame:
-    """_row, group (the same for all its rows) of stored rows (_row, text)."""
-    marks = stored(sketches(rows, shingle), "likeness")
-    distinct = stored(marks.groupBy("digest").agg(F.min("_row").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "shingle-sets")
+def first_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """k1, k2 of the first row of each group of docs (doc_id, text), stored."""
+    marks = sketches(docs.select(place_of(docs).alias("place"), text_of().alias("text")), shingle)
+    distinct = marks.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "place", "size", "keys"), "shingle-sets")
     entries = distinct.select("id", "size", F.explode("keys").alias("key"))
-    keys = entries.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("of")).where("of > 1")
-    keys = stored(keys.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size"), "of"), "shared-keys")
-    members = stored(joined_small(entries, keys, ["key"]), "key-members")
-
-    needed = stored(members.select(F.col("id").alias("_row")).distinct(), "shared-sets")
-    some = joined_small(rows, needed, ["_row"], "left_semi").select(F.col("_row").alias("id"), "text")
-    sets = stored(shingle_sets(some, shingle), "compared-sets")
+    keys = entries.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+    keys = stored(keys.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size"), "m"), "shared-keys")
+    members = stored(joined_hot(entries, keys, ["key"]), "key-members")
 
     first = fitting(members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v"), F.col("size").alias("m"), F.col("hub_size").alias("n")))
+    first = stored(first, "first-pairs")
+    texts = docs.select(text_of().alias("text"), *row_keys(docs))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        places = joined_small(distinct.select("id", "place.k1", "place.k2"), ids, ["id"], "left_semi")
+        return shingle_sets(texts.join(places, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), shingle)
+
+    sets = stored(sets_of(stored(first.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "paired")), "compared-sets")
     near = stored(alike(first, sets), "alike")
+    discard(sets, first)
     found = labels(near)
 
     # What is left to compare: sets outside the component of their key's least one, with the others of the key.
     named = found.select(F.col("u").alias("id"), F.col("v").alias("group"))
-    placed = members.where("of > 2").join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    placed = members.where("m > 2").join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
     placed = placed.join(named.select(F.col("id").alias("hub"), F.col("group").alias("hub_group")), "hub", "left").withColumn("loose", F.col("group") != F.coalesce("hub_group", "hub"))
-    placed = stored(placed.select("key", "id", "size", "group", "hub", "loose"), "placed-members")
-    one = placed.where("loose").select("key", F.col("id").alias("u"), F.col("size").alias("m"), F.col("group").alias("group_u"))
-    two = placed.where("id != hub").select("key", F.col("id").alias("v"), F.col("size").alias("n"), F.col("group").alias("group_v"))
-    rest = stored(fitting(one.join(two, "key").where("group_u != group_v")), "rest")
-    if rest.limit(1).count():
-        found = labels(near.unionByName(alike(rest, sets)))
-    named = distinct.select("digest", "id").join(found.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left")
-    named = stored(named.select("digest", F.coalesce("group", "id").alias("group")), "groups")
-    return marks.select("_row", "digest").join(named, "digest").select("_row", "group")
+    placed = stored(placed.select("key", "id", "size", "hub", "m", "loose"), "placed-members")
+    discard(members, keys)
+    open_keys = stored(placed.where("loose").groupBy("key").agg(F.max("m").alias("m")), "open-keys")
+    some = joined_hot(placed.drop("m"), open_keys, ["key"], "left_semi").groupBy("id").agg(F.max("loose").alias("loose"), F.max("size").cast("long").alias("size"), F.collect_set("hub").alias("hubs"))
+    some = stored(some, "loose-members")
+    if some.limit(1).count():
+        ties = some.select(F.col("id").alias("u"), F.explode("hubs").alias("v")).where("u != v").distinct()
+        clusters = labels(ties)
+        own = some.join(clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")), "id", "left").select("id", "loose", "size", F.coalesce("cluster", "id").alias("cluster"))
+        parts = stored(own.groupBy("cluster").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("int").alias("parts"), F.count("*").alias("m")), "clusters")
+        dealt = joined_small(own, parts.select("cluster", "parts"), ["cluster"])
+        links = links_within(dealt.join(sets_of(some.select("id")), "id"))
+        found = labels(found.unionByName(stored(links, "cluster-links")))
+    named = distinct.select("place", "id").join(found.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left")
+    best = named.groupBy(F.coalesce("group", "id").alias("group")).agg(F.min("place").alias("place"))
+    best = stored(best.select("place.k1", "place.k2"), "first-of-groups")
+    discard(distinct, placed, some)
+    return best
 
 
 def like_free(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each group, with its own columns."""
-    rows = numbered(docs)
-    named = groups(rows.select("_row", F.coalesce(F.col("_doc.text").cast("string"), F.lit("")).alias("text")), shingle)
-    return first_of_groups(rows, named)
+    return found_again(docs, first_rows(docs, shingle))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACE, joined_small, stored, text_of
+from .base import SPACE, discard, joined_small, row_keys, stored, text_of, whole_row
 
 LEAST_ROWS, FENCE, WINDOW = 200, 3, 5
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -123,9 +123,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    rows = stored(measured(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")]), "quality")
-    return judged(rows).where("kept").select("_doc.*")
+    """The documents that pass, with their own columns; what is rejected is looked up by the rows' keys in a second reading."""
+    rows = stored(measured(docs, row_keys(docs, "lang", "source")), "quality")
+    rejected = stored(judged(rows).where("not kept").select("k1", "k2").distinct(), "rejected")
+    discard(rows)
+    whole = docs.select(whole_row(docs), *row_keys(docs, "lang", "source"))
+    return joined_small(whole, rejected, ["k1", "k2"], "left_anti").select("_doc.*")
 
 
 def verdicts_sql() -> str:

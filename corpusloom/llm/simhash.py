@@ -11,8 +11,9 @@ Fingerprint: text with A-Z lowered, words between ASCII white space, shingles of
 included (fewer words than a shingle: all of them; none: fingerprint zero). A bit is set if it is so in over half the XXH64 hashes.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a fingerprint; the id
-of a component is the least doc_id in it, null if it has none; near_free keeps the row with the least doc_id (nulls last, then
-a hash of the text) of each group and all columns, whatever their names; an empty table gives no row.
+of a component is the least doc_id in it, null if it has none; a very long text has one fingerprint of all its shingles; near_free keeps the row
+with the least doc_id (nulls last, then a hash of the text) of each group and all columns, whatever their names; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import joined_small, partitions, slices, stored, text_of
+from .base import discard, joined_small, partitions, row_keys, slices, stored, text_of, whole_row
 from .components import labels
 
 SHINGLE, DISTANCE, SEED, NODE_ROWS = 4, 4, 42, 1 << 17
@@ -64,15 +66,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long, the 64 bits) of each row."""
+    """doc_id (as it is), fp (long, the 64 bits) of each row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             fp = np.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", text_of().alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("fp", LongType())]))
 
 
 def cut(n: int, distance: int) -> list[tuple[int, int]]:
@@ -228,26 +230,27 @@ def groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row."""
-    rows = stored(fingerprints(docs, shingle), "simhash")
+    rows = stored(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "simhash")
     out = groups(rows, distance)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """_row, _doc (all columns) of each row, stored."""
-    return stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")), "near-free-rows")
+def place_of(docs: DataFrame) -> Column:
+    """A struct by which rows are ordered, and found again by their keys: doc_id with nulls last, then the text's hash."""
+    own = F.col("doc_id").cast("long")
+    k1, k2 = row_keys(docs)
+    return F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), k1, k2)
 
 
-def first_of_groups(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each group; rows as `numbered` stores them, named: _row, group."""
-    own = F.col("_doc.doc_id").cast("long")
-    order = F.struct(own.isNull().alias("none"), F.coalesce(own, F.lit(0)).alias("id"), F.xxhash64("_doc.text").alias("h"), F.col("_row").alias("row"))
-    best = rows.select("_row", order.alias("o")).join(named, "_row").groupBy("group").agg(F.min("o").alias("o"))
-    return rows.join(best.select(F.col("o.row").alias("_row")), "_row", "left_semi").select("_doc.*")
+def found_again(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of docs with the keys of best (k1, k2), one of each, with their own columns."""
+    rows = docs.select(whole_row(docs), *row_keys(docs)).join(best, ["k1", "k2"], "left_semi")
+    return rows.dropDuplicates(["k1", "k2"]).select("_doc.*")  # dealt and sorted by the join
 
 
 def near_free(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, with its own columns."""
-    rows = numbered(docs)
-    found = stored(fingerprints(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), shingle), "simhash")
-    return first_of_groups(rows, groups(found, distance).select(F.col("doc_id").alias("_row"), "group"))
+    found = stored(fingerprints(docs.select(place_of(docs).alias("doc_id"), "text"), shingle), "simhash")
+    best = stored(groups(found, distance).select("component_id.k1", "component_id.k2").distinct(), "first-of-groups")
+    discard(found)
+    return found_again(docs, best)

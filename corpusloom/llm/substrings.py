@@ -1,17 +1,21 @@
-"""Substring dedup: words in windows that occur more than once in the corpus, found by an FM-index per shard.
+"""Substring dedup: words in windows that occur more than once in the corpus, found by a compressed FM-index per shard.
 
 A window of `window` words is led by its anchor: the GRAM words in it with the least hash, the first of them at a tie. Equal windows
 have equal anchors, so only windows of an anchor that occurs twice or more can repeat. Neighbouring windows with one anchor make a
-segment; the anchor's hash decides on its shard. An anchor of over HOT_SEGMENTS segments is too much for one shard: its windows
-become segments of their own, dealt by a hash of their words. Equal segments are put together, with their number, before they are
-shuffled. A shard indexes its segments (a wavelet matrix of packed bits over the Burrows-Wheeler transform) and streams each one
-through a backward search whose matching statistics tell the windows that occur twice or more. The spans go back to the documents.
-
-Words are what stands between ASCII white space, told apart by their 64-bit XXH64.
-
-Defined cases: null and empty texts have no word and lose none; a text shorter than a window keeps all; repeated rows lose all their
-windows, as each is elsewhere too; `without_repeats` keeps all columns, whatever their names, sets text (and n_chars, if there
-is one) of the rows that lose words, and drops a row only if no word of its text is left; an empty table gives no row.
+segment; the anchor's hash decides on its shard. Equal segments (of one anchor, told apart by 64 more bits of a hash of their words)
+are counted, and one of each is cut out of its text and sent to its shard. There the index (a wavelet tree shaped by a prefix code,
+over the Burrows-Wheeler transform of the segments, each place weighted by the segment's count) gives the matching statistics of
+every segment by backward search; where a match of `window` words counts twice or more, the window repeats. The spans go back to all
+documents that have the segment. An anchor with over CROWD different segments would be too much for one shard: its segments are taken
+apart into windows, those whose hash of 128 bits occurs once are left out, and each of the others becomes a segment of its own.
+
+Words are what stands between ASCII white space; the index compares the words themselves. A row is known by two 64-bit hashes, of
+its text and of its doc_id and text, so no copy of the documents is written: each step reads the table again.
+
+Defined cases: null and empty texts have no word and lose none; a text shorter than a window keeps all, and a very long one is
+cut at all its repeated windows like any other; repeated rows lose all their windows, as each is elsewhere too; `without_repeats`
+keeps all columns, whatever their names, sets text (and n_chars, if there is one) of the rows that lose words, and drops a row only if
+no word of its text is left; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -27,11 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import BROADCAST_ROWS, slices, stored, text_of
+from .base import BROADCAST_ROWS, discard, joined_hot, joined_small, row_keys, slices, stored, text_of, whole_row
 from .fm_index import FMIndex, repeated_windows
 
-GRAM, HOT_SEGMENTS, SHARD_WORDS, SALTS, SEED = 8, 2000, 500_000, 64, 5
+GRAM, SHARD_BYTES, CROWD, SEED = 8, 3 << 20, 1 << 14, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+#: Odd multipliers of the polynomial hashes of words in a row, and what undoes them.
+_BASES = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)]
+_BACK = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -40,12 +50,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(XXH64 of all words in a row, bounds of each text's words)."""
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes of all words in a row, bounds of each text's words, the word of each code)."""
     pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     coded = pieces.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    table = np.fromiter((xxhash.xxh64_intdigest(w.encode(), SEED) for w in words), np.uint64, len(words))
     code = coded.indices.to_numpy(zero_copy_only=False)
     bounds = pieces.offsets.to_numpy(zero_copy_only=False)
     bounds = bounds - bounds[0]
@@ -53,7 +62,29 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         real = code != words.index("")
         bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
         code = code[real]
-    return table[code], bounds
+    return code, bounds, words
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of all words in a row, bounds of each text's words)."""
+    code, bounds, words = word_codes(texts)
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode(), SEED) for w in words), np.uint64, len(words))[code], bounds
+
+
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and the byte behind the end, of all words in a row, in their own text."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    first = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]])[: len(space)] | edge[:-1]))
+    last = np.flatnonzero(~space & (np.concatenate([space[1:], [True]])[: len(space)] | edge[1:]))
+    own = ends[np.searchsorted(ends, first, side="right") - 1]
+    return first - own, last + 1 - own
 
 
 def segments(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +96,7 @@ def segments(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     h = np.zeros(n - gram + 1, np.uint64)
     for k in range(gram):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)]
+        h = h * _BASES[0] + words[k : k + len(h)]
     h = mixed(h)
     place, size = np.arange(len(h)), 1
     while size < width:
@@ -83,107 +114,136 @@ def segments(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.nda
     return text[first], first - bounds[text[first]], count, h[place[first]]
 
 
-def occurrences(rows: DataFrame, window: int) -> DataFrame:
-    """row, start, n (windows), anchor of each segment of rows (row, text)."""
+def digests(words: np.ndarray, first: np.ndarray, n: np.ndarray, kind: int) -> np.ndarray:
+    """A hash of each run of n words from `first` on, which does not depend on what stands around it."""
+    base, back = _BASES[kind], _BACK[kind]
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), base)]))
+    undo = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words), back)]))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words ^ base) * powers[:-1], dtype=np.uint64)])
+    return mixed((sums[first + n] - sums[first]) * undo[first] + n.astype(np.uint64) * _BASES[1 - kind])
+
+
+def occurrences(texts: DataFrame, window: int) -> DataFrame:
+    """k1, k2, start (word), place (first byte and number of bytes), anchor, digest of each segment of texts (k1, k2, text)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             words, bounds = word_hashes(batch.column("text"))
+            begin, end = word_places(batch.column("text"))
             text, start, n, anchor = segments(words, bounds, window)
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64))], ["row", "start", "n", "anchor"])
+            first, size = bounds[text] + start, n + window - 1
+            row = pa.array(text)
+            place = begin[first] << 32 | end[first + size - 1] - begin[first]
+            columns = [batch.column("k1").take(row), batch.column("k2").take(row), pa.array(start.astype(np.int32)), pa.array(place), pa.array(anchor.view(np.int64)), pa.array(digests(words, first, size, 0).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "start", "place", "anchor", "digest"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, start int, n int, anchor long")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, start int, place long, anchor long, digest long")
 
 
-def cut_out(candidates: DataFrame, window: int) -> DataFrame:
-    """digest, shard_key, row, start, words of the segments `found` of rows (row, text, found array<struct<start, n, anchor, hot>>)."""
+def cut_out(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """Adds words, the bytes of each of the segments `some` (anchor, digest, m, k1, k2, place), cut from its text."""
+    keys = stored(some.select("k1", "k2").distinct(), "cut-texts")
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # no other text is shuffled then
+        texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    per = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "m", "place")).alias("found"))  # of one text
+    rows = texts.join(per, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # repeated rows; dealt and sorted by the join
 
     def run(batches):
         for batch in slices(batches, "text"):
-            hashes, bounds = word_hashes(batch.column("text"))
-            rows, first = batch.column("row").to_numpy(), bounds.tolist()
             found = batch.column("found")
-            per = np.diff(found.offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
             fields = found.flatten()
-            start, n, anchor, hot = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            text = np.repeat(np.arange(len(rows)), per)
-            each = np.where(hot, n, 1)  # windows of their own
-            text, anchor, hot = np.repeat(text, each), np.repeat(anchor, each), np.repeat(hot, each)
-            start = np.repeat(start, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            n = np.where(hot, 1, np.repeat(n, each))
-            raw = memoryview(np.ascontiguousarray(hashes)).cast("B") if len(hashes) else b""
-            digest = xxhash.xxh3_64_intdigest
-            for a in range(0, len(text), 20_000):
+            place = fields.field(3).to_numpy(zero_copy_only=False)
+            texts = [memoryview(x.encode()) for x in batch.column("text").to_pylist()]
+            for a in range(0, len(row), 20_000):
                 own = slice(a, a + 20_000)
-                begin = bounds[text[own]] + start[own]
-                cuts = [bytes(raw[8 * x : 8 * y]) for x, y in zip(begin.tolist(), (begin + n[own] + window - 1).tolist(), strict=True)]
-                digests = np.fromiter(map(digest, cuts), np.uint64, len(cuts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests), pa.array(np.where(hot[own], digests, anchor[own])), pa.array(rows[text[own]]), pa.array(start[own].astype(np.int32)), pa.array(cuts, pa.binary())],
-                    ["digest", "shard_key", "row", "start", "words"],
-                )
+                cuts = [bytes(texts[r][p >> 32 : (p >> 32) + (p & 0xFFFFFFFF)]) for r, p in zip(row[own].tolist(), place[own].tolist(), strict=True)]
+                at = pa.array(row[own])
+                columns = [fields.field(k)[own] for k in range(3)] + [batch.column("k1").take(at), batch.column("k2").take(at), fields.field(3)[own], pa.array(cuts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "m", "k1", "k2", "place", "words"])
+
+    return rows.select("k1", "k2", "text", "found").mapInArrow(run, "anchor long, digest long, m long, k1 long, k2 long, place long, words binary")
 
-    return candidates.select("row", "text", "found").mapInArrow(run, "digest long, shard_key long, row long, start int, words binary")
 
+def windows_of(cuts: DataFrame, window: int) -> DataFrame:
+    """w1, w2 (hashes of the words) and at (first word in the segment) of each window of cut segments, with its own place."""
 
-def matched(distinct: DataFrame, window: int) -> DataFrame:
-    """digest, spans array<struct<a, b>> (words of the segment) of the segments (digest, shard_key, n, words) with repeated windows."""
-    total = distinct.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    shards = max(1, -(-total // (8 * SHARD_WORDS)))
+    def run(batches):
+        for batch in slices(batches, "words"):
+            texts = batch.column("words").cast(pa.string())
+            words, bounds = word_hashes(texts)
+            begin, end = word_places(texts)
+            count = np.diff(bounds) - window + 1
+            row = np.repeat(np.arange(len(count)), count)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            first, size = bounds[row] + at, np.full(len(row), window)
+            own = pa.array(row)
+            place = batch.column("place").to_numpy()[row]
+            place = (place >> 32) + begin[first] << 32 | end[first + window - 1] - begin[first]
+            columns = [batch.column(c).take(own) for c in ("anchor", "digest", "m", "k1", "k2")]
+            columns += [pa.array(place), pa.array(at.astype(np.int32)), *(pa.array(digests(words, first, size, k).view(np.int64)) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "m", "k1", "k2", "place", "at", "w1", "w2"])
+
+    return cuts.mapInArrow(run, "anchor long, digest long, m long, k1 long, k2 long, place long, at int, w1 long, w2 long")
+
+
+def matched(cuts: DataFrame, shards: int, window: int) -> DataFrame:
+    """anchor, digest, m, a, b: words a to b - 1 of a cut segment are in repeated windows."""
 
     def run(batches):
-        batches = list(batches)  # a shard: about SHARD_WORDS words
+        batches = list(batches)  # a shard: about SHARD_BYTES
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        digest, copies = table["digest"].to_numpy(), table["n"].to_numpy()
-        column = table["words"].combine_chunks()
-        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-        hashes = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
-        sizes = np.asarray(pc.binary_length(column)).astype(np.int64) // 8
-        starts = np.cumsum(sizes + 1) - (sizes + 1)
-        text = np.zeros(int((sizes + 1).sum()), np.int64)
+        anchor, digest = (table[c].to_numpy() for c in ("anchor", "digest"))
+        order = np.lexsort((digest, anchor))
+        once = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (digest[order][1:] != digest[order][:-1])])
+        table = table.take(pa.array(order[once]))
+        column = table["words"].cast(pa.large_string()).combine_chunks()
+        code, bounds, words = word_codes(pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column)
+        sizes, copies = np.diff(bounds), table["m"].to_numpy()
+        starts = bounds[:-1] + np.arange(len(sizes))
+        text, weights = np.zeros(len(code) + len(sizes), np.int64), np.repeat(copies, sizes + 1)
         inside = np.ones(len(text), bool)
         inside[starts + sizes] = False
-        known, symbols = np.unique(hashes, return_inverse=True)
-        text[inside] = symbols + 1
-        index = FMIndex(text, len(known) + 1, window)
-        count = sizes - window + 1
-        row, at = repeated_windows(index, text, starts, np.where(copies > 1, 0, count), window)
-        many = np.flatnonzero(copies > 1)  # all their windows are elsewhere too
-        order = np.lexsort((at, row))
-        row, at = row[order], at[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)])[: len(row)]
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(row)) - 1 if len(head) else head
-        out = np.concatenate([many, row[head]])
-        a = np.concatenate([np.zeros(len(many), np.int64), at[head]])
-        b = np.concatenate([sizes[many], at[tail] + window])
-        yield pa.RecordBatch.from_arrays([pa.array(digest[out]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["digest", "a", "b"])
-
-    dealt = distinct.repartition(shards, "shard_key")
-    return dealt.mapInArrow(run, "digest long, a int, b int")
-
-
-def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
-    """row, spans array<struct<a, b>>: words a to b - 1 are in repeated windows; rows: stored (row, text)."""
-    found = stored(occurrences(rows, window), "segments")
-    anchors = stored(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor", (F.col("m") > HOT_SEGMENTS).alias("hot")), "anchors")
-    hot = anchors.where("hot")
-    # Segments of hot anchors take no part in the join on anchors, which would bring each one's to a single task.
-    if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        marked = found.join(F.broadcast(hot), "anchor", "left")
-    else:
-        salt = F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int").alias("salt")
-        marked = found.select("*", salt).join(hot.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["anchor", "salt"], "left").drop("salt")
-    cold = marked.where("hot IS NULL").join(anchors.where("NOT hot").select("anchor"), "anchor", "left_semi").withColumn("hot", F.lit(False))
-    some = marked.where("hot").unionByName(cold).groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("found"))
-    cuts = stored(cut_out(rows.join(some, "row"), window), "segment-words")
-    # One row a segment and task goes to the shuffle.
-    distinct = cuts.groupBy("digest", "shard_key").agg(F.count("*").alias("n"), F.first("words").alias("words"))
-    spans = stored(matched(stored(distinct, "distinct-segments"), window), "segment-spans")
-    back = cuts.select("row", "start", "digest").join(spans, "digest")
-    return back.groupBy("row").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+        text[inside] = code + 1
+        row, at = repeated_windows(FMIndex(text, len(words) + 1, window, weights), starts, sizes, window)
+        head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + window)])[: len(row)])
+        tail = np.append(head[1:], len(row))[: len(head)] - 1
+        out = table.select(["anchor", "digest", "m"]).take(pa.array(row[head]))
+        out = out.append_column("a", pa.array(at[head].astype(np.int32))).append_column("b", pa.array((at[tail] + window).astype(np.int32)))
+        yield from out.to_batches()
+
+    return cuts.select("anchor", "digest", "m", "words").repartition(shards, "anchor").mapInArrow(run, "anchor long, digest long, m long, a int, b int")
+
+
+def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
+    """k1, k2, spans array<struct<a, b>>: words a to b - 1 of a text are in repeated windows; texts: k1, k2, text."""
+    found = stored(occurrences(texts, window), "segments")
+    anchors = stored(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "anchors")
+    seen = stored(joined_hot(found, anchors, ["anchor"], "left_semi"), "repeated-anchors")
+    discard(found, anchors)
+    distinct = seen.groupBy("anchor", "digest").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+    distinct = stored(distinct.select("anchor", "digest", "m", "at.*"), "distinct-segments")
+    few, crowd = distinct, stored(distinct.groupBy("anchor").agg(F.count("*").alias("of")).where(F.col("of") > CROWD).select("anchor"), "crowded-anchors")
+    crowded = crowd.limit(1).count() > 0
+    if crowded:
+        many = stored(windows_of(cut_out(texts, joined_small(distinct, crowd, ["anchor"], "left_semi")), window), "crowded-windows")
+        again = many.groupBy(F.col("w1").alias("anchor"), F.col("w2").alias("digest")).agg(F.sum("m").alias("m"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+        again = stored(again.where("m > 1").select("anchor", "digest", "m", "at.*"), "repeated-windows")
+        few = joined_small(distinct, crowd, ["anchor"], "left_anti").unionByName(again)
+    shards = max(1, -(-(few.agg(F.sum(F.col("place").bitwiseAND(0xFFFFFFFF))).first()[0] or 0) // SHARD_BYTES))
+    spans = stored(matched(cut_out(texts, few), shards, window), "segment-spans")
+    if crowded:
+        whole = many.select("anchor", "digest", "m", "at", "w1", "w2").join(spans.select(F.col("anchor").alias("w1"), F.col("digest").alias("w2")), ["w1", "w2"], "left_semi")
+        whole = whole.select("anchor", "digest", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+        own = whole.join(distinct.select("anchor", "digest", "m"), ["anchor", "digest"]).select("anchor", "digest", "m", "a", "b")
+        spans = stored(spans.join(again.select("anchor", "digest"), ["anchor", "digest"], "left_anti").unionByName(own), "all-spans")
+    back = joined_hot(seen.select("k1", "k2", "start", "anchor", "digest"), spans, ["anchor", "digest"])
+    back = back.groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    out = stored(back, "text-spans")
+    discard(seen, distinct, crowd, *((many, again) if crowded else ()))
+    return out
 
 
 def removed_words(spans: list[dict], n: int) -> np.ndarray:
@@ -195,21 +255,21 @@ def removed_words(spans: list[dict], n: int) -> np.ndarray:
 
 def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), "substring-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *row_keys(docs))
 
     def run(batches):
         for batch in slices(batches, "text"):
-            n, removed, digests = [], [], []
+            n, removed, hashes = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = text.encode().split()
                 gone = removed_words(spans or [], len(words))
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
                 n.append(len(words))
                 removed.append(len(words) - len(kept))
-                digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+                hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = rows.join(repeated_spans(rows, window), "row", "left").select("doc_id", "text", "spans")
+    out = rows.join(repeated_spans(rows.select("k1", "k2", "text"), window), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -225,16 +285,15 @@ def without(text: str, spans: list[dict]) -> str:
 
 def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """The documents with their own columns, their texts without repeated windows."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), whole), "substring-rows")
-    spans = repeated_spans(rows.select("row", text_of("_doc.text").alias("text")), window)
+    rows = docs.select(whole_row(docs), text_of().alias("text"), *row_keys(docs))
+    spans = repeated_spans(rows.select("k1", "k2", "text"), window)
 
     def run(batches):
         for batch in slices(batches, "text"):
             texts = [without(t, s) if s else None for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_new"])
 
-    found = rows.join(spans, "row", "left")
+    found = rows.drop("text").join(spans, ["k1", "k2"], "left")
     schema = StructType([rows.schema["_doc"], StructField("_new", StringType())])
     changed = found.select(text_of("_doc.text").alias("text"), "spans", "_doc").mapInArrow(run, schema)
     out = changed.where("_new IS NULL OR _new <> ''")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -81,3 +83,28 @@ def test_near_dedup_stage_drops_copies_at_a_similarity_of_0_8(spark):
     assert 0.8 <= jaccard(rows[0][1], rows[2][1]) < 0.85
     stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     assert {x["doc_id"] for x in stage(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == {7, 304}
+
+
+def test_common_shingles_are_those_counted(monkeypatch):
+    r = np.random.default_rng(6)
+    for entries, frequent in ((1 << 22, 48), (40, 3), (40, 1000)):
+        monkeypatch.setattr(likeness, "ENTRIES", entries)
+        monkeypatch.setattr(likeness, "FREQUENT", frequent)
+        a, b = ([r.choice(60, r.integers(0, 30), replace=False).astype(np.int64) for _ in range(n)] for n in (17, 23))
+        sizes = [np.array([len(s) for s in x]) for x in (a, b)]
+        got = np.concatenate([common for _, common in likeness.common_shingles(np.concatenate(a), sizes[0], np.concatenate(b), sizes[1])])
+        assert (got == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_loose_sets_are_compared_in_parts(spark, monkeypatch):
+    r = random.Random(12)
+    words = prose(r, 150)
+    texts = [" ".join(words)]
+    for _ in range(30):  # most are below 0.8 to the first, some are near each other
+        texts.append(" ".join(changed(r, words, 150, r.choice((2, 4, 5, 6, 7)))))
+        texts.append(" ".join(changed(r, texts[-1].split(), 150, 1)))
+    rows = list(enumerate(texts))
+    for shingles in (1 << 20, 900):
+        monkeypatch.setattr(likeness, "PART_SHINGLES", shingles)
+        got = {x["doc_id"] for x in likeness.like_free(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == kept_by_loops(rows) and len(got) > 3

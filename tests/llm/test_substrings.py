@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from corpusloom.llm import substrings
+from corpusloom.llm import base, substrings
 from corpusloom.llm.fm_index import FMIndex, repeated_windows
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
@@ -40,16 +40,17 @@ def test_windows_of_an_index_are_those_counted():
     r = np.random.default_rng(1)
     text = r.integers(1, 4, 400)
     text[[100, 250, 399]] = 0
-    index = FMIndex(text, 4)
+    index = FMIndex(text, 4, 6)
     starts, ends = np.array([0, 101, 251]), np.array([100, 250, 399])
     seen = Counter(tuple(text[i : i + 6]) for a, b in zip(starts, ends) for i in range(a, b - 5))
-    row, at = repeated_windows(index, text, starts, ends - starts - 5, 6)
+    row, at = repeated_windows(index, starts, ends - starts, 6)
     assert set(zip(row.tolist(), at.tolist())) == {(k, i) for k, (a, b) in enumerate(zip(starts, ends)) for i in range(b - a - 5) if seen[tuple(text[a + i : a + i + 6])] > 1}
 
 
 def test_removed_words_are_those_of_brute_force(spark, monkeypatch):
-    for seed, hot, few in ((1, 2000, 20_000), (2, 3, 20_000), (3, 3, 0)):
-        monkeypatch.setattr(substrings, "HOT_SEGMENTS", hot)
+    for seed, crowd, few in ((1, 1 << 14, 20_000), (2, 1, 20_000), (3, 1, 0)):
+        monkeypatch.setattr(substrings, "CROWD", crowd)
+        monkeypatch.setattr(base, "BROADCAST_ROWS", few)
         monkeypatch.setattr(substrings, "BROADCAST_ROWS", few)
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], SCHEMA)
