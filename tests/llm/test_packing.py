@@ -21,12 +21,14 @@ def scanned(lengths, capacity):
     return sorted(rooms)
 
 
-def test_segment_tree_packs_as_a_scan_does():
+def test_plan_packs_as_a_scan_does():
     r = random.Random(3)
     for capacity in (1, 7, 64, 100):
         for n in (0, 1, 50, 300):
-            lengths = np.array([r.randint(1, capacity) for _ in range(n)], np.int64)
-            bins, offsets, count = packing.best_fit_decreasing(lengths, capacity)
+            lengths = np.array([r.randint(1, r.choice((3, capacity))) if capacity > 3 else r.randint(1, capacity) for _ in range(n)], np.int64)
+            plan, count = packing.best_fit_plan(np.bincount(lengths, minlength=capacity + 1), capacity)
+            number = np.array([(lengths[:i] == x).sum() for i, x in enumerate(lengths.tolist())], np.int64)
+            bins, offsets = packing.placed(plan, lengths, number)
             used = np.bincount(bins, lengths, minlength=count) if n else np.zeros(0)
             assert sorted((capacity - used).astype(int).tolist()) == scanned(lengths.tolist(), capacity)
             for k in range(count):
@@ -35,6 +37,13 @@ def test_segment_tree_packs_as_a_scan_does():
                 assert (offsets[at] == np.cumsum(lengths[at]) - lengths[at]).all()
 
 
+def test_plan_does_not_grow_with_the_table():
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 50, 257)
+    small, large = (packing.best_fit_plan(counts * k, 256)[0] for k in (1, 10**9))
+    assert len(large) <= 2 * len(small) + 256
+
+
 def check(docs, rows, capacity):
     coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
@@ -56,14 +65,13 @@ def check(docs, rows, capacity):
     return len(places)
 
 
-def test_odd_documents_are_packed_whole(odd_docs, monkeypatch):
+def test_odd_documents_are_packed_whole(odd_docs):
     check(odd_docs, packing.pack(odd_docs).collect(), 2048)
-    monkeypatch.setattr(packing, "GROUP_PIECES", 5)
     check(odd_docs, packing.pack(odd_docs, 64).collect(), 64)
     assert packing.pack(odd_docs.limit(0)).count() == 0
 
 
 def test_table_is_packed_tightly(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = packing.pack(docs).collect()
-    assert check(docs, rows, 2048) <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 1
+    rows = packing.pack(docs.repartition(7)).collect()
+    assert check(docs, rows, 2048) == len(scanned([r["length"] for r in rows], 2048))
