@@ -2,15 +2,16 @@
 
 A source with token share p gets weight p**a, normalised. The exponent a is bisected in [0, 1] to the flattest mixture that meets
 the repetition limit or, if given, to the steepest one that still has the target entropy (the repetition limit goes first). The
-documents of a source are dealt by hash to blocks of about `block_tokens` tokens. An epoch of a source is a permutation of its
-blocks by hash; its budget takes whole epochs and then a part of one more: blocks in that epoch's order, and within the last block
-documents in hash order until the budget is met, so it is missed by less than one document.
+documents of a source are dealt by hash to blocks of about `block_tokens` tokens, LEAST_BLOCKS of them at least, so that small
+sources are permuted as well. An epoch of a source is a permutation of its blocks by hash; its budget takes whole epochs and then a
+part of one more: blocks in that epoch's order, and within the last block documents in hash order until the budget is met, so it is
+missed by less than one document, or one group of repeated rows, which are taken alike.
 
 Tokens are words between ASCII white space. Without a budget, it is the least with which no source goes short of one whole epoch
 (`keep_all`), or else the number of tokens of the corpus.
 
 Defined cases: a null source is a source of its own, named by an empty string; null and empty texts have no token, and like sources
-without any token they are taken once an epoch; repeated rows are taken alike; extra columns are kept by `mixed_documents`,
+without any token they are taken once an epoch; a very long text makes its block as long; repeated rows are taken alike; extra columns are kept by `mixed_documents`,
 whatever their names; an empty table gives no row.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .base import WORD, joined_small, stored, text_of
 
-SEED, BLOCK_TOKENS, MOST_BLOCKS = 17, 1 << 20, 1 << 16
+SEED, BLOCK_TOKENS, LEAST_BLOCKS = 17, 1 << 20, 64
 #: Halvings of the exponent's interval a pass: each evaluates all midpoints that they could meet, in one aggregation of the totals.
 HALVINGS, PASSES = 5, 4
 
@@ -88,13 +89,13 @@ def plan(rows: DataFrame, max_epochs: float, entropy: float | None, budget: floa
         z = totals.where("total > 0").agg(F.sum(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(exponent)))).first()[0]
     weight = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(float(max(tokens, 1))), F.lit(exponent)) / F.lit(z)).otherwise(0.0)
     quota = F.round(weight * F.lit(size)).cast("long")
-    blocks = F.least(F.greatest(F.ceil(F.col("total") / F.lit(block_tokens)), F.lit(1)), F.lit(MOST_BLOCKS)).cast("long")
+    blocks = F.greatest(F.ceil(F.col("total") / F.lit(block_tokens)), F.lit(LEAST_BLOCKS)).cast("long")
     sources = totals.select("_source", "total", weight.alias("weight"), F.when(F.col("total") > 0, quota).otherwise(0).alias("quota"), blocks.alias("n_blocks"))
     whole = F.when(F.col("total") > 0, F.floor(F.col("quota") / F.col("total"))).otherwise(1)
     sources = sources.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("quota") - F.col("whole") * F.col("total"))
     sources = stored(sources, "mix-sources")
     dealt = joined_small(rows, sources, ["_source"]).withColumn("_block", F.pmod("_h", "n_blocks"))
-    order = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "_block", "whole", F.lit(SEED)), "_block")  # at most MOST_BLOCKS rows
+    order = Window.partitionBy("_source").orderBy(F.xxhash64("_source", "_block", "whole", F.lit(SEED)), "_block")  # a row a block
     sums = dealt.groupBy("_source", "_block").agg(F.sum("_tokens").alias("n"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     sums = stored(sums.select("_source", "_block", "whole", (F.col("before") + F.col("n") <= F.col("rest")).alias("taken"), (F.col("rest") - F.col("before")).alias("room")), "mix-blocks")
