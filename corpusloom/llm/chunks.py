@@ -3,12 +3,13 @@
 The gear hash of a position is the sum of the table values of the last 32 bytes, each shifted by its distance. A chunk ends where
 its masked bits are zero: with a harder mask before the normal size and an easier one behind it. No position is looked at within
 the first MIN bytes of a chunk, so a hash never sees bytes before its chunk, equal texts give equal chunks, and bounds fall into
-step again behind an edit. A fingerprint is the sorted set of (XXH64 digest cut to 32 bits, length) of its chunks; likeness is the
+step again behind an edit. A fingerprint is the sorted set of (XXH64 digest, length) of its chunks; likeness is the
 share of a text's chunk length whose chunks the other text has too (its containment).
 
 Defined cases: null texts are empty and have the empty fingerprint; the likeness of two empty fingerprints is 1, of an empty to
-any other 0; documents follow each other by doc_id (nulls first), then text; other columns are ignored; a table of one document is
-followed by itself; an empty table gives no row.
+any other 0; documents follow each other by doc_id, then text, those without doc_id first, by a hash of their texts, and the rows of
+one doc_id or one text without it meet in one task; a very long text is chunked whole; other columns are ignored; a table of one
+document is followed by itself; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -76,19 +77,19 @@ def fingerprints(texts: list[bytes]) -> list[dict[int, int]]:
         a, found = 0, {}
         for end in own:
             b = end - base
-            found[digest(text[a:b]) & 0xFFFFFFFF] = b - a
+            found[digest(text[a:b])] = b - a
             a = b
         out.append(found)
     return out
 
 
 def coded(fingerprint: dict[int, int]) -> str:
-    """Ten hex digits a chunk: eight of the digest, two of the length."""
-    return "".join(f"{d:08x}{n:02x}" for d, n in sorted(fingerprint.items()))
+    """Eighteen hex digits a chunk: sixteen of the digest, two of the length."""
+    return "".join(f"{d:016x}{n:02x}" for d, n in sorted(fingerprint.items()))
 
 
 def decoded(fingerprint: str) -> dict[int, int]:
-    return {int(fingerprint[k : k + 8], 16): int(fingerprint[k + 8 : k + 10], 16) for k in range(0, len(fingerprint), 10)}
+    return {int(fingerprint[k : k + 16], 16): int(fingerprint[k + 16 : k + 18], 16) for k in range(0, len(fingerprint), 18)}
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
@@ -108,13 +109,15 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     place = F.lit(0)
     if cuts:
         place = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id")))
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(place))
-    heads = docs.groupBy("bucket").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text", "doc_id")).alias("head"))
+    # Rows without doc_id go to 64 buckets below the others, in the order of their hashes.
+    own = F.xxhash64("text")
+    docs = docs.withColumn("at", F.coalesce("doc_id", own)).withColumn("bucket", F.when(F.col("doc_id").isNull(), F.shiftright(own, 58).cast("int") - 96).otherwise(place))
+    heads = docs.groupBy("bucket").agg(F.min(F.struct("at", "text", "doc_id")).alias("head"))
     order = Window.orderBy("bucket")  # one row a bucket
     heads = heads.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())))
-    heads = heads.select(F.col("before").alias("bucket"), F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.lit(1).alias("head"))
+    heads = heads.select(F.col("before").alias("bucket"), F.col("head.doc_id").alias("doc_id"), F.col("head.text").alias("text"), F.col("head.at").alias("at"), F.lit(1).alias("head"))
     rows = docs.withColumn("head", F.lit(0)).unionByName(heads)
-    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "head", "doc_id", "text")
+    return rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "head", "at", "text").drop("at")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
