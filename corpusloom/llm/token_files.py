@@ -8,7 +8,8 @@ Segment bytes, little-endian: magic, n_ids, n_symbols, n_blocks (u32 each after
 u32[]; per block ids u32, words u32, crc u32; then per block LANES states u64 and its words u32[].
 
 Defined cases: a null or empty text has the end id only; rows without doc_id come first; rows with the same doc_id follow each
-other in order of their texts; other columns are ignored; an empty table gives no segment.
+other in order of a hash of their texts, and may go to several shards; a very long text makes a long segment; repeated rows are
+written as often as they come; other columns are ignored; an empty table gives no segment.
 """
 
 from __future__ import annotations
@@ -155,7 +156,8 @@ def write_segments(docs: DataFrame, tokenizer_path: str | None = None, end_id: i
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
     return stored(rows.mapInArrow(shard, SEGMENTS), label)
 
 
