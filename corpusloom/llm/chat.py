@@ -2,11 +2,12 @@
 
 Template, for each run of turns of one role: `<turn>` role, a line feed, the texts with `<next/>` between them, `</turn>`, a line
 feed. Roles and texts never hold a `<` of their own: a backslash is written `\\b`, `<` is written `\\l`, and in roles a line feed
-is written `\\n`, so that both can be read back exactly. The loss mask is a list of segments, in order, that add up to the
-output; exactly the texts of assistant turns are marked in it.
+is written `\\n`, so that both can be read back exactly. The loss mask is a list of spans of the output (first code point, number of
+them), in order: exactly the texts of assistant turns, cut from the output and unescaped, are trained on.
 
 Defined cases: null roles and texts count as empty; rows without conv_id make one conversation; rows are ordered by turn (nulls
-first), role, text, and repeated rows are turns of their own; other columns are ignored; an empty table gives no row.
+first), role, text, and repeated rows are turns of their own; a conversation is one string, so all its turns meet in one row, however
+many and long they are; other columns are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 BEGIN, NEXT, END = "<turn>", "<next/>", "</turn>\n"
 TRAINED = "assistant"
+#: Turns whose lengths are added up at a time.
+RUN = 128
 
 
 def escaped(c: Column, line_feed: bool = False) -> Column:
@@ -28,23 +31,42 @@ def unescaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
+def running(lengths: Column, start: Column) -> Column:
+    """What has been added up before each of the lengths; in one pass, but with a copy of the result for each, so for few of them."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(lengths, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+
+
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted string, segments array<struct<text, loss>> of each conversation."""
+    """conv_id, formatted string, mask array<struct<start, length>> (bytes of formatted, from 0) of each conversation."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
-    def segments(t: Column, i: Column) -> Column:
+    def part(t: Column, i: Column) -> Column:
         """What a turn adds: the bounds before it, and its text."""
         first = (i == 0) | (F.get("turns", i - 1)["role"] != t["role"])
         head = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(BEGIN), escaped(t["role"], True), F.lit("\n"))
-        return F.array(
-            F.struct(F.when(first, head).otherwise(F.lit(NEXT)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escaped(t["text"]).alias("text"), (t["role"] == TRAINED).alias("loss")),
-        )
+        return F.struct(F.when(first, head).otherwise(F.lit(NEXT)).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == TRAINED).alias("loss"))
+
+    rows = rows.select("conv_id", F.transform("turns", part).alias("parts"))
+    sized = F.transform("parts", lambda p: F.struct(F.octet_length(p["head"]).alias("head"), F.octet_length(p["body"]).alias("body"), p["loss"].alias("loss")))
+    text = F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"])), ""), F.lit(END))
+    rows = rows.select("conv_id", text.alias("formatted"), sized.alias("sizes"))
+    rows = rows.select("*", F.transform("sizes", lambda p: (p["head"] + p["body"]).cast("long")).alias("lengths"), F.sequence(F.lit(0), F.size("sizes") - 1, F.lit(RUN)).alias("runs"))
+    own = lambda at: F.slice("lengths", at + 1, F.lit(RUN))
+    sums = F.transform("runs", lambda at: F.aggregate(own(at), F.lit(0).cast("long"), lambda n, x: n + x))
+    rows = rows.select("*", running(sums, F.lit(0).cast("long")).alias("begins"))
+    starts = F.flatten(F.zip_with("runs", "begins", lambda at, begin: running(own(at), begin)))
+    spans = F.zip_with("sizes", starts, lambda p, at: F.struct((at + p["head"]).alias("start"), p["body"].alias("length"), p["loss"].alias("loss")))
+    mask = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["length"]))
+    return rows.select("conv_id", "formatted", mask.alias("mask"))
+
 
-    parts = F.concat(F.flatten(F.transform("turns", segments)), F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))))
-    rows = rows.select("conv_id", parts.alias("segments"))
-    return rows.select("conv_id", F.array_join("segments.text", "").alias("formatted"), "segments")
+def under_mask() -> Column:
+    """The text of the spans of the mask, cut from the output and unescaped, nothing between."""
+    held = F.array(F.struct(F.col("formatted").cast("binary").alias("bytes"), F.col("mask").alias("mask")))  # taken out of the row once
+    cut = F.transform(held, lambda h: F.transform(h["mask"], lambda s: unescaped(F.substring(h["bytes"], (s["start"] + 1).cast("int"), s["length"]).cast("string"))))
+    return F.array_join(F.get(cut, F.lit(0)), "")
 
 
 def read_back(formatted_rows: DataFrame) -> DataFrame:
@@ -63,8 +85,7 @@ def read_back(formatted_rows: DataFrame) -> DataFrame:
 def digest(conversations: DataFrame) -> DataFrame:
     rows = read_back(formatted(conversations))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
-    rows = rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    rows = rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), under_mask().alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
