@@ -2,17 +2,18 @@
 
 A text is lowered, all but its letters become single spaces, and its byte n-grams (word bounds included) are hashed into BUCKETS
 embeddings, whose mean goes through a linear softmax. As the layers are linear, prediction adds up one row of logits an n-gram.
-The classifier is fitted on a sample of at most `sample_rows` labelled rows (of texts up to SAMPLE_BYTES), as even over languages
-as the rows allow; a fifth of it is held back to set the softmax temperature and the least score at which a prediction is accepted.
+The classifier is fitted on a sample of at most `sample_rows` labelled rows, as even over languages as the rows allow, whatever the
+length of their texts: the n-grams of a whole text are counted where it lies, and only the counts go to the driver. A fifth of the sample is held back to set the softmax temperature and the least score at which a prediction is accepted.
 
 Defined cases: a null text or one without a letter is `und` with score 0 and is not accepted; a row without doc_id is never learned
 from and counts as held out; rows without lang are not learned from; without any labelled row all predictions are `und`; other
-columns are ignored; an empty table gives no row.
+columns are ignored; repeated rows are predicted alike, and a tie goes to the first language by name; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .base import slices
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 17, 16, (2, 3, 4)
-SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS, RATE, SEED = 4000, 100_000, 4, 0.5, 11
+SAMPLE_ROWS, EPOCHS, RATE, SEED = 4000, 4, 0.5, 11
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -66,20 +67,21 @@ class Classifier:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(texts: list[bytes], labels: list[str]) -> Classifier:
-    """Trains on non-empty normal texts."""
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's n-grams, sorted, and how many fall into each."""
+    data = np.frombuffer(text, np.uint8)
+    grams = np.concatenate([ngram_buckets(data, k)[: max(0, len(data) - k + 1)] for k in ORDERS])
+    return np.unique(grams, return_counts=True)
+
+
+def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Classifier:
+    """Trains on the shares of texts that are not empty."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     random = np.random.default_rng(SEED)
-    embedding = random.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
+    embedding = random.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weights, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
-    found = []
-    for x in texts:
-        data = np.frombuffer(x, np.uint8)
-        grams = np.concatenate([ngram_buckets(data, k)[: max(0, len(data) - k + 1)] for k in ORDERS])
-        bucket, n = np.unique(grams, return_counts=True)
-        found.append((bucket, n / max(1, len(grams))))
-    order = random.permutation(len(texts))
+    order = random.permutation(len(found))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
     steps = EPOCHS * len(train)
     for step in range(steps):
@@ -97,13 +99,11 @@ def fit(texts: list[bytes], labels: list[str]) -> Classifier:
         bias -= rate * p
     model = Classifier(languages, (embedding @ weights).astype(np.float32), bias, 1.0, 0.0)
     if len(held):
-        z = np.log(np.maximum(model.scores([texts[i] for i in held]), 1e-30))
-        losses = {}
-        for temperature in np.geomspace(0.05, 5, 41):
-            s = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-            losses[temperature] = -np.log(np.maximum(s[np.arange(len(held)), y[held]] / s.sum(1), 1e-12)).mean()
-        model.temperature = min(losses, key=losses.get)
-        s = model.scores([texts[i] for i in held])
+        z = np.stack([found[i][1] @ model.logits[found[i][0]] for i in held]) + bias
+        softmax = lambda t: (e := np.exp((z - z.max(1, keepdims=True)) / t)) / e.sum(1, keepdims=True)
+        own = np.arange(len(held)), y[held]
+        model.temperature = min(np.geomspace(0.05, 5, 41), key=lambda t: -np.log(np.maximum(softmax(t)[own], 1e-12)).mean())
+        s = softmax(model.temperature)
         right = s.max(1)[s.argmax(1) == y[held]]
         model.least = float(np.quantile(right, 0.01)) if len(right) else 1.0
     return model
@@ -114,8 +114,9 @@ def held_out() -> F.Column:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most `rows` labelled rows, chosen by a hash of their doc_id, at a rate that evens out the languages."""
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    """lang and grams (packed counts of BUCKETS buckets at most) of at most `rows` labelled rows, chosen by a hash of their doc_id, at a
+    rate that evens out the languages."""
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = known.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return []
@@ -124,12 +125,25 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.1 * rows / len(counts) / r["count"]))).otherwise(rate)
     draw = F.xxhash64("doc_id", F.lit(SEED))
     drawn = known.where((F.shiftrightunsigned(draw, 11) / F.lit(float(1 << 53))) < rate)
-    return drawn.select("text", "lang", draw.alias("draw")).orderBy(F.shiftrightunsigned("draw", 3) % 1_000_003, "draw", "text", "lang").limit(rows).collect()
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            for text, lang, draw in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "draw")), strict=True):
+                if x := normal(text):
+                    bucket, n = counted(x)
+                    packed = zlib.compress(np.concatenate([np.diff(bucket, prepend=0), n]).astype("<u4").tobytes(), 3)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((lang, pa.string()), (draw, pa.int64()), (packed, pa.binary()))], ["lang", "draw", "grams"])
+
+    found = drawn.select("text", "lang", draw.alias("draw")).mapInArrow(run, "lang string, draw long, grams binary")
+    return found.orderBy(F.shiftrightunsigned("draw", 3) % 1_000_003, "draw", "lang", "grams").limit(rows).collect()
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier | None:
-    pairs = [(x, r["lang"]) for r in sample(docs, rows) if (x := normal(r["text"]))]
-    return fit(*map(list, zip(*pairs, strict=True))) if pairs else None
+    found, grams = sample(docs, rows), []
+    for r in found:
+        bucket, n = np.frombuffer(zlib.decompress(r["grams"]), "<u4").astype(np.int64).reshape(2, -1)
+        grams.append((np.cumsum(bucket), n / max(1, n.sum())))
+    return fit(grams, [r["lang"] for r in found]) if found else None
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
