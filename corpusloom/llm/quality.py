@@ -3,11 +3,12 @@
 Each metric of a document goes into a mergeable quantile sketch of its language and source: counts of log-linear buckets that keep
 the seven leading bits of a value, so a quantile is off by less than 1 in 64 and sketches merge by adding counts, in any order
 and with the same result. A threshold lies FENCE spreads (quartile distance, at least the metric's least spread) beyond the
-quartile. A group with fewer than LEAST_ROWS documents borrows the merged sketch of its language, or else that of all documents. Where all quartile distances are below the least
-spreads, as in the supplied tables, these decide, and the thresholds are fixed cutoffs beside the quartiles.
+quartile. The quartiles of a group are drawn to those of its language, and these to those of all documents, as if PRIOR documents more
+had the latter; so a large group has its own, a small one nearly its language's, and no size is a switch. Where all quartile distances
+are below the least spreads, as in the supplied tables, these decide, and the thresholds are fixed cutoffs beside the quartiles.
 
 Defined cases: a null text has no words and fails the base rule, as does any text of under ten words; null lang or source count as
-an empty string; repeated rows are judged alike and each one counts in the sketches; extra columns are kept by `kept_documents`,
+an empty string; a very long text is measured whole; repeated rows are judged alike and each one counts in the sketches; extra columns are kept by `kept_documents`,
 whatever their names; an empty table gives no row. Five-word windows are compared by 64-bit hashes within one text.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .base import SPACE, discard, joined_small, row_keys, stored, text_of, whole_row
 
-LEAST_ROWS, FENCE, WINDOW = 200, 3, 5
+PRIOR, FENCE, WINDOW = 50, 3, 5
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 #: Metric: least spread, and whether low values are fenced as well. Shares are in thousandths, word length in hundredths of a character.
@@ -95,8 +96,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("of"), F.col("bucket")))
         tables[level] = merged.groupBy(*keys, "metric").agg(quartile(1).alias(f"{level}_q1"), quartile(3).alias(f"{level}_q3"), F.max("of").alias(f"{level}_n"))
     out = tables["own"].join(tables["lang"], ["_lang", "metric"]).join(tables["all"], ["metric"])
-    pick = lambda q: F.when(F.col("own_n") >= LEAST_ROWS, F.col(f"own_{q}")).when(F.col("lang_n") >= LEAST_ROWS, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    out = out.select("_lang", "_source", "metric", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    drawn = lambda n, q, to: F.call_function("div", n * q + PRIOR * to, n + PRIOR)
+    of_lang = lambda q: drawn(F.col("lang_n"), F.col(f"lang_{q}"), F.col(f"all_{q}"))
+    out = out.select("_lang", "_source", "metric", *(drawn(F.col("own_n"), F.col(f"own_{q}"), of_lang(q)).alias(q) for q in ("q1", "q3")))
     own = lambda m, c: F.max(F.when(F.col("metric") == m, c))
     columns = []
     for m, (least, _) in RULES.items():
@@ -143,7 +145,7 @@ def verdicts_sql() -> str:
         levels += f"""by_{level} AS (SELECT {quartiles(keys)} FROM (
   SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}),
 """
-    pick = lambda q: f"CASE WHEN o.n >= {LEAST_ROWS} THEN o.{q} WHEN l.n >= {LEAST_ROWS} THEN l.{q} ELSE a.{q} END AS {q}"
+    pick = lambda q: f"(o.n * o.{q} + {PRIOR} * ((l.n * l.{q} + {PRIOR} * a.{q}) // (l.n + {PRIOR}))) // (o.n + {PRIOR}) AS {q}"
     metrics = ", ".join(f"{sql} AS {m}" for m, sql in share.items())
     return f"""
 WITH d AS MATERIALIZED (

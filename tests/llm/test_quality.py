@@ -31,3 +31,12 @@ def test_odd_rows(odd_docs):
     assert got.count() == odd_docs.count() and got.where("kept is null").count() == 0
     assert quality.kept_documents(odd_docs).schema.names == odd_docs.columns
     assert quality.verdicts(odd_docs.limit(0)).count() == 0 and quality.kept_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_thresholds_of_a_source_are_drawn_to_those_of_its_language(spark):
+    rows = [("en", "large", "word_length", 400, 10_000), ("en", "large", "word_length", 500, 10_000), ("en", "small", "word_length", 900, 5), ("fr", "other", "word_length", 700, 20_000)]
+    got = {r["_source"]: r["word_length_low"] for r in quality.thresholds(spark.createDataFrame(rows, "_lang string, _source string, metric string, bucket long, n long")).collect()}
+    low = lambda q1, q3: q1 - quality.FENCE * max(100, q3 - q1)
+    assert abs(got["large"] - low(400, 500)) <= 2 and abs(got["other"] - low(700, 700)) <= 2
+    small = low(*((5 * 900 + quality.PRIOR * q) // (5 + quality.PRIOR) for q in (400, 500)))
+    assert abs(got["small"] - small) <= 8
