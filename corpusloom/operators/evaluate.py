@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from corpusloom.functions import text as T
 
@@ -52,8 +57,8 @@ def with_distance(reports: DataFrame, center: DataFrame) -> DataFrame:
 
 
 def marker_rate(rows: DataFrame, by: str, column: str = "text") -> DataFrame:
-    """Hits a segment; blank segments do not count."""
-    return rows.where(~T.is_blank(F.col(column))).groupBy(by).agg(F.count("*").alias("n"), F.avg(T.marker_hits(F.col(column))).alias("marker_rate"))
+    """by, n, marker_rate: hits a segment; null and blank segments count as segments without hits."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.avg(T.marker_hits(F.coalesce(F.col(column), F.lit("")))).alias("marker_rate"))
 
 
 def tokens_13a(c: Column) -> Column:
@@ -67,21 +72,62 @@ def tokens_13a(c: Column) -> Column:
     return F.filter(F.split(c, f"{T.WS}+", -1), lambda x: x != "")
 
 
-def _matches(rows: DataFrame, by: str, hyp: Column, ref: Column, orders: int) -> DataFrame:
-    """by, n, matched, hyp_total, ref_total for arrays of units: both sides' n-grams meet in one aggregation."""
-    rows = rows.select(F.col(by), F.monotonically_increasing_id().alias("_seg"), hyp.alias("_h"), ref.alias("_r"))
-
-    def grams_of(c: str, is_hyp: int) -> Column:
-        def order(n: int) -> Column:
-            places = F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
-            made = F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(c, i, F.lit(n)), " ").alias("g"), F.lit(is_hyp).alias("h")))
-            return F.filter(made, lambda _: F.size(c) >= n)
+def shared_ngrams(hyp: tuple[np.ndarray, np.ndarray], ref: tuple[np.ndarray, np.ndarray], orders: int) -> np.ndarray:
+    """For segment and order 1 to orders: n-grams in common (each as often as the side that has it less often), of the hypothesis, of the
+    reference. A side is (codes of its units, below 2**31, in a row; bounds of the segments)."""
+    codes = np.concatenate([hyp[0], ref[0]]).astype(np.int64)
+    n = len(hyp[1]) - 1
+    sizes = np.concatenate([np.diff(hyp[1]), np.diff(ref[1])])
+    segment = np.repeat(np.concatenate([np.arange(n)] * 2), sizes)
+    is_ref = np.arange(len(codes)) >= len(hyp[0])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # units from here to the end of the segment
+    out = np.zeros((n, orders, 3), np.int64)
+    at, gram = np.arange(len(codes)), codes
+    for order in range(1, orders + 1):
+        if order > 1:  # an n-gram is the shorter one before its last unit, and that unit
+            at = np.flatnonzero(left >= order)
+            gram = known[at] << 31 | codes[at + order - 1]
+        number = np.unique(gram, return_inverse=True)[1]
+        known = np.zeros(len(codes), np.int64)
+        known[at] = number
+        count = []
+        for k in (False, True):
+            mine = at[is_ref[at] == k]
+            keys, times = np.unique(segment[mine] * (len(codes) + 1) + known[mine], return_counts=True)
+            count.append((keys, times))
+            out[:, order - 1, 1 + k] = np.bincount(segment[mine], minlength=n)
+        both, x, y = np.intersect1d(count[0][0], count[1][0], assume_unique=True, return_indices=True)
+        np.add.at(out[:, order - 1, 0], both // (len(codes) + 1), np.minimum(count[0][1][x], count[1][1][y]))
+    return out
 
-        return F.concat(*(order(n) for n in range(1, orders + 1)))
 
-    grams = rows.select(by, "_seg", F.explode(F.concat(grams_of("_h", 1), grams_of("_r", 0))).alias("p")).select(by, "_seg", "p.*")
-    grams = grams.groupBy(by, "_seg", "n", "g").agg(F.sum("h").alias("a"), F.sum(1 - F.col("h")).alias("b"))
-    return grams.groupBy(by, "n").agg(F.sum(F.least("a", "b")).alias("matched"), F.sum("a").alias("hyp_total"), F.sum("b").alias("ref_total"))
+def _matches(rows: DataFrame, by: str, hyp: Column, ref: Column, orders: int) -> DataFrame:
+    """by, n, matched, hyp_total, ref_total of strings or arrays of strings. All n-grams of a segment stay in its row; what is shuffled
+    are three sums an order."""
+    rows = rows.select(F.col(by).alias("_by"), hyp.alias("_h"), ref.alias("_r"))
+
+    def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if pa.types.is_string(column.type):
+            texts = [x.encode("utf-32-le") for x in column.to_pylist()]
+            return np.frombuffer(b"".join(texts), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in texts])]).astype(np.int64)
+        return column.flatten(), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                batch = whole.slice(k, 256)
+                sides = [units(batch.column(c)) for c in ("_h", "_r")]
+                if not isinstance(sides[0][0], np.ndarray):
+                    coded = pa.concat_arrays([s[0] for s in sides]).dictionary_encode().indices.to_numpy()
+                    sides = [(coded[: len(sides[0][0])], sides[0][1]), (coded[len(sides[0][0]) :], sides[1][1])]
+                got = shared_ngrams(*sides, orders).reshape(-1, 3)
+                own = pa.array(np.repeat(np.arange(batch.num_rows), orders))
+                n = pa.array(np.tile(np.arange(1, orders + 1, dtype=np.int32), batch.num_rows))
+                yield pa.RecordBatch.from_arrays([batch.column("_by").take(own), n, *(pa.array(got[:, c].copy()) for c in range(3))], ["_by", "n", "matched", "hyp_total", "ref_total"])
+
+    schema = StructType([rows.schema["_by"], StructField("n", IntegerType()), *(StructField(c, LongType()) for c in ("matched", "hyp_total", "ref_total"))])
+    sums = [F.sum(c).alias(c) for c in ("matched", "hyp_total", "ref_total")]
+    return rows.mapInArrow(run, schema).groupBy(F.col("_by").alias(by), "n").agg(*sums)
 
 
 def bleu(rows: DataFrame, by: str, hyp: str, ref: str) -> DataFrame:
@@ -100,12 +146,19 @@ def bleu(rows: DataFrame, by: str, hyp: str, ref: str) -> DataFrame:
 
 def chrf(rows: DataFrame, by: str, hyp: str, ref: str) -> DataFrame:
     """by, chrf: corpus score over character orders 1 to 6 without white space, beta 2."""
-    chars = lambda c: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), T.WS, ""), ""), lambda x: x != "")
-    got = _matches(rows, by, chars(hyp), chars(ref), 6).where("hyp_total > 0 AND ref_total > 0")
-    got = got.groupBy(by).agg(F.avg(F.col("matched") / F.col("hyp_total")).alias("p"), F.avg(F.col("matched") / F.col("ref_total")).alias("r"))
+    chars = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), T.WS, "")
+    got = _matches(rows, by, chars(hyp), chars(ref), 6)
+    some = (F.col("hyp_total") > 0) & (F.col("ref_total") > 0)
+    got = got.groupBy(by).agg(F.avg(F.when(some, F.col("matched") / F.col("hyp_total"))).alias("p"), F.avg(F.when(some, F.col("matched") / F.col("ref_total"))).alias("r"))
     return got.select(by, F.when(F.col("p") + F.col("r") > 0, 500 * F.col("p") * F.col("r") / (4 * F.col("p") + F.col("r"))).otherwise(0.0).alias("chrf"))
 
 
+def scores(rows: DataFrame, by: str, hyp: str, ref: str) -> DataFrame:
+    """by, n, bleu, chrf, and the marker rates of the hypotheses and of the references: the row an evaluation reports for a condition."""
+    rates = [marker_rate(rows, by, c).withColumnRenamed("marker_rate", f"{side}_marker_rate") for side, c in (("hyp", hyp), ("ref", ref))]
+    return rates[0].join(rates[1].drop("n"), by).join(bleu(rows, by, hyp, ref), by).join(chrf(rows, by, hyp, ref), by).select(by, "n", "bleu", "chrf", "hyp_marker_rate", "ref_marker_rate")
+
+
 def fertility(rows: DataFrame, by: str, column: str = "text", tokens: Column | None = None) -> DataFrame:
     """Tokens a word by group: of all, and mean, median, p90 (lower nearest rank) and greatest of the texts; texts without words do
     not count. The rank is taken from counts of equal values, so that no group is collected."""
@@ -113,7 +166,12 @@ def fertility(rows: DataFrame, by: str, column: str = "text", tokens: Column | N
     rows = rows.where(~T.is_blank(c)).select(by, T.word_count(c).cast("long").alias("words"), (T.token_count(c) if tokens is None else tokens).cast("long").alias("tokens"))
     rows = rows.withColumn("ratio", F.col("tokens") / F.col("words"))
     values = rows.groupBy(by, "ratio").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
-    values = values.withColumns({"upto": F.sum("n").over(Window.partitionBy(by).orderBy("ratio")), "of": F.sum("n").over(Window.partitionBy(by))})
+    # Ranks are counted in steps of the ratio first, so that no task sorts all the values of a group.
+    values = values.withColumn("step", F.floor(F.col("ratio") * 64))
+    steps = values.groupBy(by, "step").agg(F.sum("n").alias("of_step"))
+    group = Window.partitionBy(by)
+    steps = steps.select(by, "step", (F.sum("of_step").over(group.orderBy("step")) - F.col("of_step")).alias("before"), F.sum("of_step").over(group).alias("of"))
+    values = values.join(steps, [by, "step"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(by, "step").orderBy("ratio")))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("ratio")))
     of = F.col("of")
     return values.groupBy(by).agg(

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 #: Provider name to a factory of clients: options -> (system, user) -> (answer or None, prompt tokens, completion tokens).
 CLIENTS: dict[str, Callable] = {}
@@ -57,21 +60,63 @@ def embedded(rows: DataFrame, column: str, make: Callable[[], Callable] = hashin
     return rows.withColumn("embedding", run(F.col(column)))
 
 
-def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5, **options) -> DataFrame:
-    """Adds prediction (empty where the model gave none), prompt_tokens, completion_tokens, latency_s to rows with a prompt.
+def token_counts(column: Column, make: Callable[[], Callable[[list[str]], list[int]]]) -> Column:
+    """Tokens of each text by a plugged-in tokenizer, without special ones; make is called once a task, and gives a function from texts
+    to their numbers of tokens."""
 
-    A task that is run again calls again: partition the rows and write them as they come to keep that small.
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts = make()
+        for texts in batches:
+            yield pd.Series(counts([t or "" for t in texts]), dtype="int64")
+
+    return run(column)
+
+
+def library_tokenizer(path: str) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """For token_counts: a vocabulary file of the tokenizers library."""
+
+    def make() -> Callable[[list[str]], list[int]]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        return lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    return make
+
+
+def call_key(row_prompt: str, system: str, provider: str) -> str:
+    """The same for the same call, so that a provider can tell a call that is made again when a task is run again."""
+    return hashlib.blake2b("\x1f".join((provider, system, row_prompt)).encode(), digest_size=16).hexdigest()
+
+
+#: One client per worker process, provider and options.
+_clients: dict = {}
+
+
+def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5, concurrency: int | None = None, batch_calls: int = 8, **options) -> DataFrame:
+    """Adds prediction (empty where the model gave none), prompt_tokens, completion_tokens, latency_s to rows with a prompt (null:
+    empty).
+
+    A worker keeps one client and makes batch_calls calls at a time; `concurrency` bounds the tasks that call at once. A client that has
+    an attribute `idempotent` gets the call's key as a third argument, so a call made again by a lost task is not paid twice.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    if concurrency:
+        rows = rows.repartition(concurrency)
+    fields = [*rows.schema.fields, StructField("prediction", StringType()), StructField("prompt_tokens", LongType()), StructField("completion_tokens", LongType()), StructField("latency_s", DoubleType())]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client_of(provider, **options)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = provider, tuple(sorted(options.items()))
+        if known not in _clients:
+            _clients[known] = client_of(provider, **options)
+        call = _clients[known]
 
         def once(prompt: str) -> tuple:
+            more = (call_key(prompt, system, provider),) if getattr(call, "idempotent", False) else ()
             for k in range(retries + 1):
                 try:
                     began = time.monotonic()
-                    answer, asked, given = call(system, prompt)
+                    answer, asked, given = call(system, prompt, *more)
                     return (answer or "").strip(), asked, given, time.monotonic() - began
                 except (ConnectionError, TimeoutError):
                     if k == retries:
@@ -79,9 +124,11 @@ def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5,
                     time.sleep(min(30, 2**k))
             raise AssertionError
 
-        for frame in frames:
-            got = [once(p) for p in frame["prompt"]]
-            columns = dict(zip(("prediction", "prompt_tokens", "completion_tokens", "latency_s"), map(list, zip(*got, strict=True)), strict=True)) if got else {c: [] for c in ("prediction", "prompt_tokens", "completion_tokens", "latency_s")}
-            yield frame.assign(**columns)
+        with ThreadPoolExecutor(batch_calls) as pool:
+            for batch in batches:
+                got = list(pool.map(once, (p or "" for p in batch.column("prompt").to_pylist())))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64())
+                added = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[f.name for f in fields])
 
-    return rows.mapInPandas(run, f"{schema}, prediction string, prompt_tokens long, completion_tokens long, latency_s double")
+    return rows.mapInArrow(run, StructType(fields))

@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names; one of this machine only where none is set and Spark runs in this process alone, as in tests."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        root = tempfile.mkdtemp(prefix="corpusloom-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names; a folder of this machine only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint()
+    """The rows as a Parquet table in the shared folder, read again: computed once, and there when executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes checkpointed rows that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

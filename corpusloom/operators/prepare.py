@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -24,13 +24,17 @@ def prepare(pairs: DataFrame, min_arabic: int = 1, min_latin: int = 1) -> DataFr
     """pairs: record (order), source_text, target_text and others. Normalizes both texts and adds reasons array<string>.
 
     Of valid rows with equal texts the first record stays; the others get `Duplicate`. Invalid rows neither are nor make duplicates.
+    Records are unique.
     """
     rows = pairs.withColumns({"source_text": T.normalize_text(F.col("source_text")), "target_text": T.normalize_text(F.col("target_text"), is_source=False)})
     rows = rows.withColumn("reasons", reject_reasons(F.col("source_text"), F.col("target_text"), min_arabic, min_latin))
-    valid = F.size("reasons") == 0
-    # Invalid rows are spread by their record, as nothing is looked for among them.
-    same = Window.partitionBy(valid, F.when(~valid, F.col("record")), F.sha2(F.concat_ws("\n", "source_text", "target_text"), 256)).orderBy("record")
-    return rows.withColumn("reasons", F.when(valid & (F.row_number().over(same) > 1), F.array(F.lit("Duplicate"))).otherwise(F.col("reasons")))
+    # 128 bits stand for a pair; the first record of each is found before the shuffle, and meets its own row only.
+    pair = F.when(F.size("reasons") == 0, F.sha2(F.concat_ws("\n", "source_text", "target_text"), 256).substr(1, 32))
+    rows = rows.withColumn("_pair", pair)
+    first = rows.where("_pair IS NOT NULL").groupBy("_pair").agg(F.min("record").alias("record")).withColumn("_first", F.lit(True))
+    found = rows.join(first, ["_pair", "record"], "left")
+    reasons = F.when(F.col("_pair").isNotNull() & F.col("_first").isNull(), F.array(F.lit("Duplicate"))).otherwise(F.col("reasons"))
+    return found.withColumn("reasons", reasons).select(*pairs.columns, "reasons")
 
 
 def accepted(prepared: DataFrame) -> DataFrame:

@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 20_000
 
 
+def best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest scores of each row, greatest first, the first column at a tie."""
+    n = scores.shape[1]
+    if k < n:  # all above the k-th greatest, and of those equal to it the first ones
+        least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        above, equal = scores > least, scores == least
+        taken = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+        at = np.nonzero(taken)[1].reshape(len(scores), k)
+    else:
+        at = np.tile(np.arange(n), (len(scores), 1))
+    order = np.argsort(-np.take_along_axis(scores, at, 1), axis=1, kind="stable")
+    return np.take_along_axis(at, order, 1)
+
+
 def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding") -> DataFrame:
     """query_id, row_id, rank (1 is the most similar; ties by row_id), score. Vectors that are null or zero or hold NaN match nothing.
 
@@ -37,7 +51,7 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
             i, y = i[order], y[order]
             for s in range(0, len(q), 500):
                 scores = x[s : s + 500] @ y.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                best = best_of(scores, k)
                 parts.append(pd.DataFrame({"q": np.repeat(q[s : s + 500], best.shape[1]), "i": i[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "score": []}).astype({"q": "int64", "i": "int64"})
 

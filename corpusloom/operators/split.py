@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
-from .lineage import checkpointed
+from .lineage import checkpointed, discard
 
 UNKNOWN = "<unknown>"
+KEYS = ("input_key", "output_key")
 
 
 def group_of(column: str):
@@ -22,32 +25,41 @@ def group_of(column: str):
 def assign_groups(rows: DataFrame, column: str, fractions: dict[str, float] | None = None) -> DataFrame:
     """work, n, split, work_rank: largest groups first, each to the split furthest below its target; unknown groups go to train.
 
-    One pass over the counted groups in order, in one task, whose state is the fill of each split.
+    One pass over the counted groups in order, in one task, whose state is what each split still lacks.
     """
     fractions = fractions or {"train": 0.8, "val": 0.1, "test": 0.1}
     if abs(sum(fractions.values()) - 1) > 1e-6:
         raise ValueError("the fractions do not add up to 1")
     sizes = rows.groupBy(group_of(column).alias("work")).agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    targets = {name: total * share for name, share in fractions.items()}
+    names = sorted(fractions)
+    goal = np.array([total * fractions[name] for name in names])
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled, rank = dict.fromkeys(targets, 0), 0
+        got, rank = np.zeros(len(names)), 0
         for frame in frames:
-            chosen = []
-            for work, n in zip(frame["work"], frame["n"], strict=True):
-                best = "train" if work == UNKNOWN else min(targets, key=lambda s: (filled[s] - targets[s], s))
-                filled[best] += n
-                chosen.append(best)
-            yield frame.assign(split=chosen, work_rank=range(rank, rank + len(frame)))
+            at = np.empty(len(frame), np.int64)
+            for k, (work, n) in enumerate(zip(frame["work"], frame["n"], strict=True)):
+                # The first name of those with the largest lack.
+                at[k] = names.index("train") if work == UNKNOWN else int((got - goal).argmin())
+                got[at[k]] += n
+            yield frame.assign(split=np.array(names)[at], work_rank=range(rank, rank + len(frame)))
             rank += len(frame)
 
     order = [(F.col("work") == UNKNOWN).desc(), F.col("n").desc(), F.col("work")]
     return sizes.repartition(1).sortWithinPartitions(*order).mapInPandas(fill, "work string, n long, split string, work_rank long")
 
 
+#: An assignment is broadcast only if it was counted and has no more rows than this.
+BROADCAST_ROWS = 100_000
+
+
 def with_split(rows: DataFrame, column: str, assignment: DataFrame) -> DataFrame:
-    return rows.withColumn("work", group_of(column)).join(assignment.select("work", "split", "work_rank"), "work")
+    """Adds work, split and work_rank; a large assignment is shuffled, a small one is sent to all."""
+    own = assignment.select("work", "split", "work_rank")
+    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        own = F.broadcast(own)
+    return rows.withColumn("work", group_of(column)).join(own, "work")
 
 
 def keyed(rows: DataFrame, source: str, target: str) -> DataFrame:
@@ -55,39 +67,69 @@ def keyed(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.withColumns({"input_key": T.normalize_key(F.col(source)), "output_key": T.normalize_key(F.col(target))})
 
 
+#: Rounds of drop_seen before what is left is scanned in order.
+ROUNDS = 6
+
+
 def drop_seen(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows: split, input_key, output_key and an order. All of train stays; of val, then test, a row stays if no row that stays
     before it has either key.
 
-    Each round keeps the rows that come first among the live ones by both keys, and drops the others that share a key with
-    one; it ends when none is live. A chain of rows that share keys in turn can take a round for every two of them.
+    A round keeps the rows that come first among the live ones by both keys, and drops the others that share a key with one. Most rows
+    are settled in a few rounds; chains of rows that share keys in turn, which would take a round for every two rows, are left to one
+    ordered scan after ROUNDS of them, whose state is a hash of each key in use.
     """
     train = rows.where("split = 'train'")
     rank = F.when(F.col("split") == "val", 0).otherwise(1)
-    live = rows.where("split <> 'train'").withColumn("_at", F.struct(rank.alias("r"), *order))
-    for key in ("input_key", "output_key"):
+    hashed = [F.xxhash64(k).alias(f"_{k}") for k in KEYS]
+    live = rows.where("split <> 'train'").select("*", F.struct(rank.alias("r"), *order, F.monotonically_increasing_id().alias("row")).alias("_at"))
+    for key in KEYS:
         live = live.join(train.select(key).distinct(), key, "left_anti")
-    live, kept = checkpointed(live), train
-    while not live.isEmpty():
-        first = [F.min("_at").over(Window.partitionBy(k)) == F.col("_at") for k in ("input_key", "output_key")]
-        chosen = checkpointed(live.withColumns({"_a": first[0], "_b": first[1]}).where("_a and _b").drop("_a", "_b"))
-        kept = kept.unionByName(chosen.drop("_at"))
-        for key in ("input_key", "output_key"):
-            live = live.join(chosen.select(key).distinct(), key, "left_anti")
-        live = checkpointed(live)
-    return kept
+    whole = checkpointed(live)
+    # The rounds need the keys and the order only.
+    live, kept = checkpointed(whole.select("_at", *KEYS)), []
+    for _ in range(ROUNDS):
+        if live.isEmpty():
+            break
+        first = [live.groupBy(k).agg(F.min("_at").alias("_at")) for k in KEYS]  # one row a key
+        both = first[0].join(first[1], "_at")
+        kept.append(checkpointed(both))
+        left = live
+        for key in KEYS:
+            left = left.join(kept[-1].select(key), key, "left_anti")
+        left = checkpointed(left)
+        discard(live)
+        live = left
+    if not live.isEmpty():
+        rest = live.select("_at", *hashed).repartition(1).sortWithinPartitions("_at")
+        stays = rest.select("_at.row", *(f"_{k}" for k in KEYS)).mapInPandas(_scan, "row long")
+        kept.append(checkpointed(live.withColumn("row", F.col("_at.row")).join(stays, "row", "left_semi").select("_at")))
+    out = train
+    if kept:
+        at = reduce(DataFrame.unionByName, (k.select("_at") for k in kept))
+        out = out.unionByName(whole.join(at, "_at", "left_semi").drop("_at"))
+    return out
+
+
+def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that stay, of rows in order."""
+    ins, outs = set(), set()
+    for frame in frames:
+        stays = []
+        for row, a, b in zip(frame["row"], frame["_input_key"], frame["_output_key"], strict=True):
+            if a not in ins and b not in outs:
+                ins.add(a)
+                outs.add(b)
+                stays.append(row)
+        yield pd.DataFrame({"row": stays}, dtype="int64")
 
 
 def audit(rows: DataFrame) -> DataFrame:
-    """split, side, n: distinct keys of val and test that train has as well."""
-    out = None
-    for side in ("input", "output"):
-        key = f"{side}_key"
-        train = rows.where("split = 'train'").select(key).distinct()
-        found = rows.where("split <> 'train'").select("split", key).distinct().join(train, key, "left_semi")
-        one = found.groupBy("split").agg(F.count("*").alias("n")).select("split", F.lit(side).alias("side"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """split, side, n: distinct keys of val and test that train has as well; one aggregation for both sides and all splits."""
+    sides = F.explode(F.array(*(F.struct(F.lit(k.removesuffix("_key")).alias("side"), F.col(k).alias("key")) for k in KEYS)))
+    found = rows.select("split", sides.alias("s")).select("split", "s.*").groupBy("side", "key").agg(F.collect_set("split").alias("splits"))
+    found = found.where(F.array_contains("splits", "train")).select("side", F.explode("splits").alias("split")).where("split <> 'train'")
+    return found.groupBy("split", "side").agg(F.count("*").alias("n"))
 
 
 def assert_no_leaks(rows: DataFrame) -> None:
@@ -98,3 +140,11 @@ def assert_no_leaks(rows: DataFrame) -> None:
 def split_counts(rows: DataFrame) -> DataFrame:
     counts = rows.groupBy("split").agg(F.count("*").alias("n"))
     return counts.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
+
+
+def dedup_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """split, n_before, n_final, n_dropped, ratio (of the final rows) of each split before and after drop_seen."""
+    counts = before.groupBy("split").agg(F.count("*").alias("n_before")).join(after.groupBy("split").agg(F.count("*").alias("n")), "split", "left")
+    counts = counts.select("split", "n_before", F.coalesce("n", F.lit(0)).alias("n_final"))
+    ratio = F.round(F.try_divide(F.col("n_final"), F.sum("n_final").over(Window.partitionBy())), 4)
+    return counts.select("*", (F.col("n_before") - F.col("n_final")).alias("n_dropped"), ratio.alias("ratio"))

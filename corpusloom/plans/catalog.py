@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.words import FUNCTION_WORDS, MARKERS
 from corpusloom.operators import evaluate, generate, prepare, retrieve, split
+from corpusloom.operators.lineage import shared_folder
+from corpusloom.sources import artifacts
+from corpusloom.sources import pairs as files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -49,7 +54,7 @@ def normal_sql(c: str) -> str:
 
 
 def source_sql(c: str) -> str:
-    c = rf"regexp_replace(translate(nfc_normalize({c}), 'يكـ', 'یک'), '\r\n?|\n', ' ', 'g')"
+    c = rf"regexp_replace(translate(translate(nfc_normalize({c}), chr(8203) || chr(65279), ''), 'يكـ', 'یک'), '\r\n?|\n', ' ', 'g')"
     return f"trim(regexp_replace({c}, '{S}+', ' ', 'g'))"
 
 
@@ -106,9 +111,11 @@ def register_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("source", "stylo_dist"))
 
 
-@query(f"SELECT source, count(*) AS n, round(avg({HITS}), 6) AS marker_rate FROM documents WHERE text IS NOT NULL AND {NONBLANK} GROUP BY source")
+@query(f"SELECT source, count(*) AS n, round(avg({HITS}), 6) AS marker_rate FROM (SELECT source, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE coalesce(text, '') END AS text FROM documents) GROUP BY source")
 def marker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluate.marker_rate(table(spark, sf_dir, "documents"), "source"), 6)
+    """Hits a segment; the texts of every ninth document are made blank, which still count as segments."""
+    texts = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text")).alias("text"))
+    return rounded(evaluate.marker_rate(texts, "source"), 6)
 
 
 @query(f"SELECT doc_id, sha256({normal_sql(ROUGH)}) AS text_sha256 FROM documents")
@@ -116,8 +123,8 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_text(rough(), is_source=False), 256).alias("text_sha256"))
 
 
-#: Letters that source-mode normalization maps or removes, in place of three that the tables have.
-LETTERS = ("ykq", "يكـ")
+#: Letters that source-mode normalization maps or removes, two invisible characters and U+FFFD, in place of some that the tables have.
+LETTERS = ("ykqxjw", "يكـ\u200b\ufeff\ufffd")
 
 
 @query(f"SELECT doc_id, sha256({source_sql(f"translate({ROUGH}, '{LETTERS[0]}', '{LETTERS[1]}')")}) AS text_sha256 FROM documents")
@@ -130,18 +137,6 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_key(rough()), 256).alias("key_sha256"))
 
 
-@query(
-    f"""WITH p AS (SELECT doc_id, {normal_sql("text")} AS t, {normal_sql("left(text, 40)")} AS s FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, CASE WHEN t = s THEN 'SourceEqualsTarget' END, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) < 100 THEN 'LowLatinScriptCount' END, CASE WHEN contains(t, chr(65533)) OR contains(s, chr(65533)) THEN 'EncodingErrorChar' END], lambda x: x IS NOT NULL) AS reasons FROM p),
-d AS (SELECT *, row_number() OVER (PARTITION BY len(reasons) = 0, t, s ORDER BY doc_id) AS k FROM r)
-SELECT doc_id, CASE WHEN len(reasons) = 0 AND k > 1 THEN 'Duplicate' ELSE array_to_string(reasons, ';') END AS reasons FROM d"""
-)
-def validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The head of each document beside its text, as a pair; no Arabic script is asked for, as these tables have none."""
-    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("source_text"), F.col("text").alias("target_text"))
-    return prepare.prepare(pairs, min_arabic=0, min_latin=100).select(F.col("record").alias("doc_id"), F.array_join("reasons", ";").alias("reasons"))
-
-
 @query(
     """WITH RECURSIVE w AS (SELECT coalesce(nullif(source, ''), '<unknown>') AS work, count(*) AS n FROM documents GROUP BY 1),
 o AS (SELECT work, n, row_number() OVER (ORDER BY work = '<unknown>' DESC, n DESC, work) AS k FROM w), t AS (SELECT sum(n)::DOUBLE AS total FROM w),
@@ -157,47 +152,45 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
 
 
-def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by text and by their first 60 characters, in splits by the last digit of doc_id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLIT).alias("split"), F.substring("text", 1, 60).alias("head"), "text")
-    return split.keyed(docs, "head", "text").select("doc_id", "split", F.sha2("input_key", 256).alias("input_key"), F.sha2("output_key", 256).alias("output_key"))
+def word_keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the first and the last word of the whole text's match key, in splits by the last digit of doc_id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLIT).alias("split"), T.normalize_key(F.col("text")).alias("key"))
+    word = lambda k: F.substring_index("key", " ", k)
+    return docs.select("doc_id", "split", word(1).alias("input_key"), word(-1).alias("output_key"))
+
+
+KEYED = f"""w AS (SELECT doc_id, {SPLIT} AS split, string_split({key_sql("coalesce(text, '')")}, ' ') AS w FROM documents), k AS MATERIALIZED (SELECT doc_id, split, w[1] AS i, w[-1] AS o FROM w)"""
 
 
 @query(
-    f"""WITH k AS (SELECT {SPLIT} AS split, {key_sql("left(text, 60)")} AS i, {key_sql("text")} AS o FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+    f"""WITH {KEYED}
 SELECT split, 'input' AS side, count(DISTINCT i) AS n FROM k WHERE split <> 'train' AND i IN (SELECT i FROM k WHERE split = 'train') GROUP BY split
 UNION ALL SELECT split, 'output', count(DISTINCT o) FROM k WHERE split <> 'train' AND o IN (SELECT o FROM k WHERE split = 'train') GROUP BY split"""
 )
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.audit(keyed_documents(spark, sf_dir))
+    return split.audit(word_keyed_documents(spark, sf_dir))
 
 
-@query()
-def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A greedy scan: beyond SQL, the tests compare it with a loop."""
-    return split.drop_seen(keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
+#: The greedy scan as a recursion over the rows that share no key with train, in order.
+SCAN = f"""{KEYED}, c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY split = 'test', doc_id) AS place FROM k WHERE split <> 'train' AND i NOT IN (SELECT i FROM k WHERE split = 'train') AND o NOT IN (SELECT o FROM k WHERE split = 'train')),
+scan(place, doc_id, split, stays, ins, outs) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, false, []::VARCHAR[], []::VARCHAR[]
+UNION ALL SELECT place, doc_id, split, stays, CASE WHEN stays THEN list_append(ins, i) ELSE ins END, CASE WHEN stays THEN list_append(outs, o) ELSE outs END
+FROM (SELECT c.place, c.doc_id, c.split, c.i, c.o, ins, outs, NOT list_contains(ins, c.i) AND NOT list_contains(outs, c.o) AS stays FROM scan JOIN c ON c.place = scan.place + 1)),
+final AS (SELECT doc_id, split FROM k WHERE split = 'train' UNION ALL SELECT doc_id, split FROM scan WHERE stays)"""
 
 
-def word_keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by the first and the last word of the whole text's match key, in the same splits."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(SPLIT).alias("split"), T.normalize_key(F.col("text")).alias("key"))
-    word = lambda k: F.substring_index("key", " ", k)
-    return docs.select("doc_id", "split", word(1).alias("input_key"), word(-1).alias("output_key"))
+@query(f"WITH RECURSIVE {SCAN} SELECT doc_id, split FROM final")
+def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.drop_seen(word_keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
 
 
 @query(
-    f"""WITH w AS (SELECT {SPLIT} AS split, string_split({key_sql("coalesce(text, '')")}, ' ') AS w FROM documents), k AS (SELECT split, w[1] AS i, w[-1] AS o FROM w)
-SELECT split, 'input' AS side, count(DISTINCT i) AS n FROM k WHERE split <> 'train' AND i IN (SELECT i FROM k WHERE split = 'train') GROUP BY split
-UNION ALL SELECT split, 'output', count(DISTINCT o) FROM k WHERE split <> 'train' AND o IN (SELECT o FROM k WHERE split = 'train') GROUP BY split"""
+    f"""WITH RECURSIVE {SCAN}, n AS (SELECT split, count(*) AS n_before, (SELECT count(*) FROM final WHERE final.split = k.split) AS n_final FROM k GROUP BY split)
+SELECT split, n_before, n_final, n_before - n_final AS n_dropped, round(n_final / sum(n_final) OVER (), 4) AS ratio FROM n"""
 )
-def leakage_audit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.audit(word_keyed_documents(spark, sf_dir))
-
-
-@query()
-def cross_boundary_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As cross_boundary_dedup, by keys of the whole text."""
-    return split.drop_seen(word_keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
+def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = word_keyed_documents(spark, sf_dir)
+    return split.dedup_counts(rows, split.drop_seen(rows, ["doc_id"]))
 
 
 @query(
@@ -222,15 +215,23 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(neighbours(spark, sf_dir, 5))
 
 
-@query()
+@query(
+    """WITH e AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS MATERIALIZED (SELECT q.vec_id AS a, i.vec_id AS b, list_cosine_similarity(q.v, i.v) AS score FROM e q, e i),
+f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s),
+m AS (SELECT a, avg(score) AS mean FROM f WHERE k <= 8 GROUP BY a),
+g AS (SELECT f.a AS query_id, f.b AS row_id, f.score, f.score / ((x.mean + y.mean) / 2) AS margin FROM f JOIN m x ON x.a = f.a JOIN m y ON y.a = f.b WHERE k <= 8 AND f.a % 20 = 0)
+SELECT query_id, row_id, round(score, 4) AS score, round(margin, 4) AS margin, row_number() OVER (PARTITION BY query_id ORDER BY margin DESC, row_id) AS rank FROM g"""
+)
 def margin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours ranked by cosine over the mean neighbour cosine of both sides; the rows' own means are over the queries."""
+    """Neighbours ranked by cosine over the mean neighbour cosine of both sides; each row's own neighbours are sought in all rows."""
     index = table(spark, sf_dir, "embeddings")
-    queries = index.where("vec_id % 20 = 0")
-    forward, backward = (retrieve.cosine_topk(a, b, 8, "vec_id", "vec_id") for a, b in ((queries, index), (index, queries)))
+    forward = retrieve.cosine_topk(index.where("vec_id % 20 = 0"), index, 8, "vec_id", "vec_id")
+    near = forward.select(F.col("row_id").alias("vec_id")).distinct()
+    backward = retrieve.cosine_topk(index.join(near, "vec_id", "left_semi"), index, 8, "vec_id", "vec_id")
     scored = retrieve.margin_scores(forward, backward)
     order = Window.partitionBy("query_id").orderBy(F.col("margin").desc(), "row_id")
-    return rounded(scored.withColumn("rank", F.row_number().over(order).cast("long")))
+    return rounded(scored.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "row_id", "score", "margin", "rank"))
 
 
 TEXTS = "x AS (SELECT vec_id, 'row ' || vec_id AS input, 'label ' || label AS output FROM embeddings)"
@@ -267,7 +268,7 @@ r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, C
 d AS (SELECT *, row_number() OVER (PARTITION BY len(reasons) = 0, t, s ORDER BY conv_id, turn) AS k FROM r)
 SELECT conv_id, turn, CASE WHEN len(reasons) = 0 AND k > 1 THEN 'Duplicate' ELSE array_to_string(reasons, ';') END AS reasons FROM d"""
 )
-def validated_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns, with letters of Arabic script put in, beside the whole answers, as pairs."""
     rows = pairs(spark, sf_dir).select("conv_id", "turn", F.struct("conv_id", "turn").alias("record"), F.translate("input", *LETTERS).alias("source_text"), F.col("output").alias("target_text"))
     return prepare.prepare(rows, min_arabic=5, min_latin=100).select("conv_id", "turn", F.array_join("reasons", ";").alias("reasons"))
@@ -278,32 +279,66 @@ def zero_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", retrieve.zero_shot_prompt(F.col("input")).alias("prompt"))
 
 
-@query()
+@query(
+    f"""{PAIRS}, q AS (SELECT conv_id, turn, 'Translate the following text into English:' || chr(10) || chr(10) || coalesce(input, '') AS prompt FROM p), a AS (SELECT *, string_split(prompt, chr(10))[-1] AS said FROM q)
+SELECT conv_id, turn, prompt, trim(regexp_replace(said, '^{S}+|{S}+$', '', 'g')) AS prediction, len(regexp_extract_all(' ' || prompt, '[^{S[1:]}+'))::BIGINT AS prompt_tokens, len(regexp_extract_all(said, '[^{S[1:]}+'))::BIGINT AS completion_tokens FROM a"""
+)
 def generated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = pairs(spark, sf_dir).select("conv_id", "turn", retrieve.zero_shot_prompt(F.coalesce("input", F.lit(""))).alias("prompt"))
     return generate.answered(prompts, "echo").drop("latency_s")
 
 
-@query(
-    f"""{PAIRS}, h AS (SELECT condition, row_number() OVER () AS seg, regexp_replace(coalesce(input, ''), '{S}', '', 'g') AS h, regexp_replace(coalesce(output, ''), '{S}', '', 'g') AS r FROM p),
-o AS (SELECT unnest(range(1, 7)) AS n),
-g AS (SELECT condition, seg, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT *, unnest(range(1, length(h) - n + 2)) AS i FROM h, o WHERE length(h) >= n)
-UNION ALL SELECT condition, seg, n, substr(r, i, n), 0, 1 FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM h, o WHERE length(r) >= n)),
-m AS (SELECT condition, n, least(sum(a), sum(b)) AS m, sum(a) AS a, sum(b) AS b FROM g GROUP BY condition, seg, n, g),
-s AS (SELECT condition, n, sum(m) / sum(a) AS p, sum(m) / sum(b) AS r FROM m GROUP BY condition, n HAVING sum(a) > 0 AND sum(b) > 0),
-z AS (SELECT condition, avg(p) AS p, avg(r) AS r FROM s GROUP BY condition)
-SELECT condition, round(CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) ELSE 0.0 END, 4) AS chrf FROM z"""
-)
+CHRF = f"""ch AS (SELECT condition, row_number() OVER () AS seg, regexp_replace(coalesce(input, ''), '{S}', '', 'g') AS h, regexp_replace(coalesce(output, ''), '{S}', '', 'g') AS r FROM p),
+co AS (SELECT unnest(range(1, 7)) AS n),
+cg AS (SELECT condition, seg, n, substr(h, i, n) AS g, 1 AS a, 0 AS b FROM (SELECT *, unnest(range(1, length(h) - n + 2)) AS i FROM ch, co WHERE length(h) >= n)
+UNION ALL SELECT condition, seg, n, substr(r, i, n), 0, 1 FROM (SELECT *, unnest(range(1, length(r) - n + 2)) AS i FROM ch, co WHERE length(r) >= n)),
+cm AS (SELECT condition, n, least(sum(a), sum(b)) AS m, sum(a) AS a, sum(b) AS b FROM cg GROUP BY condition, seg, n, g),
+cs AS (SELECT condition, n, sum(m) / sum(a) AS p, sum(m) / sum(b) AS r FROM cm GROUP BY condition, n HAVING sum(a) > 0 AND sum(b) > 0),
+cz AS (SELECT condition, avg(p) AS p, avg(r) AS r FROM cs GROUP BY condition),
+chrfs AS (SELECT condition, CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) ELSE 0.0 END AS chrf FROM cz)"""
+
+
+@query(f"{PAIRS}, {CHRF} SELECT condition, round(chrf, 4) AS chrf FROM chrfs")
 def corpus_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.chrf(pairs(spark, sf_dir), "condition", "input", "output"))
 
 
-@query()
+def tokens_sql(c: str) -> str:
+    """The 13a tokenizer."""
+    c = f"replace(replace(replace(replace({c}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"')"
+    c = f"' ' || replace(replace(replace({c}, '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' '"
+    for pattern, to in ((r"([\x{7b}-\x{7e}\x{5b}-\x{60}\x{20}-\x{26}\x{28}-\x{2b}\x{3a}-\x{40}/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        c = f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return f"list_filter(regexp_split_to_array({c}, '{S}+'), lambda x: x <> '')"
+
+
+BLEU = f"""h AS (SELECT condition, row_number() OVER () AS seg, {tokens_sql("coalesce(input, '')")} AS h, {tokens_sql("coalesce(output, '')")} AS r FROM p),
+o AS (SELECT unnest(range(1, 5)) AS n),
+g AS (SELECT condition, seg, n, array_to_string(h[i:i + n - 1], ' ') AS g, 1 AS a, 0 AS b FROM (SELECT *, unnest(range(1, len(h) - n + 2)) AS i FROM h, o WHERE len(h) >= n)
+UNION ALL SELECT condition, seg, n, array_to_string(r[i:i + n - 1], ' '), 0, 1 FROM (SELECT *, unnest(range(1, len(r) - n + 2)) AS i FROM h, o WHERE len(r) >= n)),
+m AS (SELECT condition, n, least(sum(a), sum(b)) AS m, sum(a) AS a, sum(b) AS b FROM g GROUP BY condition, seg, n, g),
+t AS (SELECT condition, n, sum(m)::DOUBLE AS m, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM m GROUP BY condition, n),
+u AS (SELECT *, sum((m = 0)::INT) OVER (PARTITION BY condition ORDER BY n) AS zeros FROM t WHERE a > 0),
+bleus AS (SELECT condition, CASE WHEN count(*) = 4 AND max(m) > 0 THEN 100 * least(1.0, exp(1 - max(b) FILTER (n = 1) / max(a) FILTER (n = 1))) * exp(avg(ln(CASE WHEN m = 0 THEN 1 / (pow(2, zeros) * a) ELSE m / a END))) ELSE 0.0 END AS bleu FROM u GROUP BY condition)"""
+
+
+@query(f"{PAIRS}, {BLEU} SELECT condition, round(bleu, 4) AS bleu FROM bleus")
 def corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokenizer's patterns look around each symbol; the tests hold scores worked out by hand."""
     return rounded(evaluate.bleu(pairs(spark, sf_dir), "condition", "input", "output"))
 
 
+def hits_sql(c: str) -> str:
+    return HITS.replace("text", f"coalesce({c}, '')", 1)
+
+
+@query(
+    f"""{PAIRS}, {BLEU}, {CHRF}, rates AS (SELECT condition, count(*) AS n, avg({hits_sql("input")}) AS hyp_marker_rate, avg({hits_sql("output")}) AS ref_marker_rate FROM p GROUP BY condition)
+SELECT condition, n, round(bleu, 4) AS bleu, round(chrf, 4) AS chrf, round(hyp_marker_rate, 4) AS hyp_marker_rate, round(ref_marker_rate, 4) AS ref_marker_rate FROM rates JOIN bleus USING (condition) JOIN chrfs USING (condition)"""
+)
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.scores(pairs(spark, sf_dir), "condition", "input", "output"))
+
+
 @query(
     f"""WITH r AS (SELECT lang, len(regexp_extract_all(text, '[^{S[1:]}+')) AS words, len(regexp_extract_all(text, '[A-Za-z0-9]{{1,4}}|[^A-Za-z0-9 \\t\\n\\r]')) AS tokens FROM documents WHERE text IS NOT NULL AND {NONBLANK}),
 k AS (SELECT *, tokens / words AS ratio, row_number() OVER (PARTITION BY lang ORDER BY tokens / words) - 1 AS k, count(*) OVER (PARTITION BY lang) AS of FROM r)
@@ -325,3 +360,55 @@ def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = F.expr("CASE conv_id % 4 WHEN 0 THEN 'gpt-4o-mini' WHEN 1 THEN 'gpt-4o' WHEN 2 THEN 'gpt-4.1' ELSE 'other' END")
     size = lambda c: F.length(F.coalesce(c, F.lit(""))).cast("long")
     return evaluate.usage(pairs(spark, sf_dir).select("condition", model.alias("model"), size("input").alias("prompt_tokens"), size("output").alias("completion_tokens")))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::VARCHAR AS paragraph_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(lang, '') AS target_text, coalesce(source, '') AS source_name, NULL::VARCHAR AS sentence_id FROM documents")
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a table of pairs, written as TSV and read back."""
+    docs = table(spark, sf_dir, "documents")
+    path = scratch(spark, "tsv")
+    files.write_tsv(docs.select(F.col("text").alias("source_text"), F.col("lang").alias("target_text"), F.col("source").alias("source_name"), F.col("doc_id").alias("paragraph_id"), F.lit(None).cast("string").alias("sentence_id")), path)
+    rows = files.read_tsv(spark, path, header=True)
+    return rows.select("paragraph_id", F.sha2("source_text", 256).alias("text_sha256"), "target_text", "source_name", "sentence_id")
+
+
+@query(f"{PAIRS} SELECT sha256(coalesce(input, '')) AS input_sha256, sha256(coalesce(output, '')) AS output_sha256, condition AS source, 'turn' AS type FROM p")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of turns as training records, written as JSON lines and read back."""
+    path = scratch(spark, "jsonl")
+    rows = pairs(spark, sf_dir).select(F.col("input").alias("source_text"), F.col("output").alias("target_text"), F.col("condition").alias("source_name"))
+    files.write_jsonl(files.training_records(rows, "turn"), path)
+    got = files.read_jsonl(spark, path)
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    return got.select(digest("input").alias("input_sha256"), digest("output").alias("output_sha256"), "metadata.source", "metadata.type")
+
+
+@query(f"{NEAR} SELECT query_id, row_id, rank, round(score, 4) AS score FROM t WHERE rank <= 5")
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as an index that is written, read back and searched."""
+    path = scratch(spark, "index")
+    artifacts.write_index(table(spark, sf_dir, "embeddings").drop("label"), path, "given", sf_dir)
+    passages, _ = artifacts.read_index(spark, path)
+    return rounded(retrieve.cosine_topk(passages.where("vec_id % 20 = 0"), passages, 5, "vec_id", "vec_id"))
+
+
+@query(ORACLES["register_distance"])
+def written_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As register_distance, with a centroid that is written and read back."""
+    rows, path = evaluate.featured(table(spark, sf_dir, "documents")), scratch(spark, "centroid")
+    artifacts.write_centroid(evaluate.centroid(rows.where("lang = 'en'")), path)
+    out = evaluate.with_distance(evaluate.report(rows, "source"), artifacts.read_centroid(spark, path))
+    return rounded(out.select("source", "stylo_dist"))
+
+
+@query(ORACLES["score_table"])
+def written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As score_table, over predictions that are written by condition and read back."""
+    path = scratch(spark, "predictions")
+    rows = pairs(spark, sf_dir).select("input", "output", F.col("input").alias("prediction"), "condition", F.lit("none").alias("model"), F.struct(F.lit("s").alias("source"), F.lit("turn").alias("type")).alias("metadata"))
+    artifacts.write_predictions(rows, path, "val")
+    return rounded(evaluate.scores(artifacts.read_predictions(spark, path), "condition", "prediction", "output"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -14,7 +17,8 @@ PREDICTIONS = "input string, output string, prediction string, condition string,
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str] = SENTENCES, header: bool = False) -> DataFrame:
-    """All columns as strings, with a record order. Missing texts and names are empty, missing ids null; further cells are ignored."""
+    """All columns as strings, with a record order. Missing texts and names are empty, missing ids null; further cells are ignored.
+    CR LF inside a cell is read as LF."""
     schema = ", ".join(f"{c} string" for c in columns)
     rows = spark.read.csv(path, schema=schema, sep="\t", quote='"', escape='"', header=header, multiLine=True, mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1)
     texts = [c for c in columns if not c.endswith("_id")]
@@ -22,7 +26,25 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str] = SENTENCES, hea
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, sep="\t", header=True, quote='"', escape='"', lineSep="\r\n", emptyValue="")
+    """A header and a line a row in each part, ended by CR LF. Cells with a tab, a quote or an end of line are quoted, and line ends in
+    cells stay as they are (Spark's own writer turns them into those of the file). Nulls are empty cells."""
+
+    def cell(c: Column) -> Column:
+        c = F.coalesce(c.cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(c.rlike('[\t\r\n"]'), quoted).otherwise(c)
+
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    head = rows.sparkSession.createDataFrame([rows.columns], [f"c{k}" for k in range(len(columns))])
+    head = "\t".join(str(x) for x in head.select(*(cell(F.col(c)) for c in head.columns)).first())
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, ["value"])
+
+    lines = rows.select(F.concat_ws("\t", *map(cell, columns)).alias("value"))
+    lines.mapInArrow(headed, "value string").write.text(path, lineSep="\r\n")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str = TRAINING) -> DataFrame:
@@ -44,8 +66,11 @@ def training_records(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """With `by`, a folder for each of its values; those of the rows are written anew, others stay."""
     writer = rows.write.option("ignoreNullFields", False)
-    (writer.partitionBy(*by) if by else writer).json(path)
+    if by:
+        writer = writer.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    writer.json(path)
 
 
 def digest(rows: DataFrame) -> DataFrame:

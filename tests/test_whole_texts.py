@@ -15,7 +15,7 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["normalized_sources", "leakage_audit_whole", "validated_conversations"])
+@pytest.mark.parametrize("name", ["normalized_sources", "leakage_audit", "cross_boundary_dedup", "dedup_counts", "validated_pairs"])
 def test_whole_text_queries_are_their_sql(spark, tables, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -35,5 +35,5 @@ def test_rows_that_share_only_a_header_are_told_apart_by_their_last_word(spark,
             want.add(r["doc_id"])
             seen[0].add(r["input_key"])
             seen[1].add(r["output_key"])
-    assert {r["doc_id"] for r in catalog.cross_boundary_dedup_whole(spark, tables).collect()} == want
+    assert {r["doc_id"] for r in catalog.cross_boundary_dedup(spark, tables).collect()} == want
     assert {r["output_key"] for r in rows} >= {f"end{k}" for k in range(7)}
