@@ -12,6 +12,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from corpusloom.functions import text as T
 
+from .lineage import checkpointed
+
 # USD per million tokens, input and output; other models cost nothing.
 PRICES = {
     "gpt-4o-mini": (0.15, 0.60),
@@ -167,7 +169,7 @@ def fertility(rows: DataFrame, by: str, column: str = "text", tokens: Column | N
     rows = rows.withColumn("ratio", F.col("tokens") / F.col("words"))
     values = rows.groupBy(by, "ratio").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
     # Ranks are counted in steps of the ratio first, so that no task sorts all the values of a group.
-    values = values.withColumn("step", F.floor(F.col("ratio") * 64))
+    values = checkpointed(values.withColumn("step", F.floor(F.col("ratio") * 64)))
     steps = values.groupBy(by, "step").agg(F.sum("n").alias("of_step"))
     group = Window.partitionBy(by)
     steps = steps.select(by, "step", (F.sum("of_step").over(group.orderBy("step")) - F.col("of_step")).alias("before"), F.sum("of_step").over(group).alias("of"))

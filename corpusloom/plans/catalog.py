@@ -13,6 +13,7 @@ from corpusloom.operators import evaluate, generate, prepare, retrieve, split
 from corpusloom.operators.lineage import shared_folder
 from corpusloom.sources import artifacts
 from corpusloom.sources import pairs as files
+from corpusloom.sources.tables import read_table as table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,10 +29,6 @@ def query(sql: str | None = None):
     return put
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def rough(c: str = "text"):
     """Texts with spaces before commas, and on even doc_ids doubled spaces, so that normalizing has work."""
     spaced = F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(", "), F.lit(" , "))
