@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,3 +200,49 @@ def usage(calls: DataFrame) -> DataFrame:
     total = calls.groupBy("condition", "model").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
     cost = (F.col("prompt_tokens") * F.coalesce("_in", F.lit(0.0)) + F.col("completion_tokens") * F.coalesce("_out", F.lit(0.0))) / 1e6
     return total.join(F.broadcast(prices), "model", "left").select("condition", "model", "calls", "prompt_tokens", "completion_tokens", F.round(cost, 4).alias("cost_usd"))
+
+
+def feature_shift(rows: DataFrame, by: str, one: str, other: str) -> DataFrame:
+    """feature, <one>_mean, <other>_mean, shift: how the mean register features of featured rows differ between two conditions."""
+    means = report(rows.where(F.col(by).isin(one, other)), by)
+    long = means.select(by, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f"{f}_mean").alias("mean")) for f in T.FEATURES))))
+    own = lambda name: F.max(F.when(F.col(by) == name, F.col("mean")))
+    return long.groupBy("feature").agg(own(one).alias(f"{one}_mean"), own(other).alias(f"{other}_mean"), (own(other) - own(one)).alias("shift"))
+
+
+def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """by, n, rho: the rank correlation of two numeric columns, equal values with their mean rank. Values are counted first, so no
+    group of rows is sorted in a task."""
+    pairs = checkpointed(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("m")))
+
+    def ranks(c: str) -> DataFrame:
+        counts = pairs.groupBy(by, c).agg(F.sum("m").alias("of"))
+        before = F.sum("of").over(Window.partitionBy(by).orderBy(c)) - F.col("of")  # over distinct values
+        return counts.select(by, c, (before + (F.col("of") + 1) / 2).alias(f"r{c}"))
+
+    both = pairs.join(ranks("x"), [by, "x"]).join(ranks("y"), [by, "y"])
+    of = lambda c: F.sum(F.col("m") * c)
+    n, sx, sy = F.sum("m"), of(F.col("rx")), of(F.col("ry"))
+    sxx, syy, sxy = of(F.col("rx") * F.col("rx")), of(F.col("ry") * F.col("ry")), of(F.col("rx") * F.col("ry"))
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    return both.groupBy(by).agg(n.alias("n"), F.try_divide(n * sxy - sx * sy, spread).alias("rho"))
+
+
+#: Up to which uniform number a Poisson variable of mean one is 0, 1, 2, ...; beyond the last it counts one more.
+POISSON = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(12)]
+
+
+def paired_bootstrap(rows: DataFrame, segment: str, one: str, other: str, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+    """n, difference of the means of two scores of the same segments (other - one), and its low and high bound over resamples.
+
+    Each replicate weighs a segment by a Poisson number drawn from a hash of both, so resampling is two sums that combine before they are
+    shuffled, and the same wherever a segment lies.
+    """
+    scores = rows.select(F.xxhash64(F.col(segment), F.lit(seed)).alias("h"), (F.col(other) - F.col(one)).alias("d")).where("d IS NOT NULL")
+    drawn = scores.select("d", "h", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("k"))
+    u = F.shiftrightunsigned(F.xxhash64("h", "k"), 11) / F.lit(float(1 << 53))
+    drawn = drawn.withColumn("w", sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)))
+    means = drawn.groupBy("k").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean"))
+    edge = (1 - level) / 2
+    bounds = means.agg(F.percentile("mean", F.lit(edge)).alias("low"), F.percentile("mean", F.lit(1 - edge)).alias("high"))
+    return scores.agg(F.count("*").alias("n"), F.avg("d").alias("difference")).crossJoin(F.broadcast(bounds))  # one row each

@@ -31,6 +31,17 @@ def client_of(provider: str, **options) -> Callable:
     return CLIENTS[provider](**options)
 
 
+#: What a worker process has made so far.
+_made: dict = {}
+
+
+def made_once(key: object, make: Callable[[], object]) -> object:
+    """The same object for a key in all tasks of a worker."""
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A stand-in: counts of hashed words at unit length; a text without words has the zero vector."""
 
@@ -48,12 +59,13 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embedded(rows: DataFrame, column: str, make: Callable[[], Callable] = hashing_embedder, prefix: str = "") -> DataFrame:
-    """Adds embedding array<float>; make is called once a task. Queries take an instruction as prefix, passages none."""
+def embedded(rows: DataFrame, column: str, make: Callable[[], Callable] = hashing_embedder, prefix: str = "", name: str | None = None) -> DataFrame:
+    """Adds embedding array<float>; make is called once a task, or once a worker for a model with a name. Queries take an instruction
+    as prefix, passages none."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
+        model = made_once(("model", name), make) if name else make()
         for texts in batches:
             yield pd.Series(model([prefix + (t or "") for t in texts]))
 
@@ -90,10 +102,6 @@ def call_key(row_prompt: str, system: str, provider: str) -> str:
     return hashlib.blake2b("\x1f".join((provider, system, row_prompt)).encode(), digest_size=16).hexdigest()
 
 
-#: One client per worker process, provider and options.
-_clients: dict = {}
-
-
 def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5, concurrency: int | None = None, batch_calls: int = 8, **options) -> DataFrame:
     """Adds prediction (empty where the model gave none), prompt_tokens, completion_tokens, latency_s to rows with a prompt (null:
     empty).
@@ -106,10 +114,7 @@ def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5,
     fields = [*rows.schema.fields, StructField("prediction", StringType()), StructField("prompt_tokens", LongType()), StructField("completion_tokens", LongType()), StructField("latency_s", DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = provider, tuple(sorted(options.items()))
-        if known not in _clients:
-            _clients[known] = client_of(provider, **options)
-        call = _clients[known]
+        call = made_once((provider, tuple(sorted(options.items()))), lambda: client_of(provider, **options))
 
         def once(prompt: str) -> tuple:
             more = (call_key(prompt, system, provider),) if getattr(call, "idempotent", False) else ()

@@ -79,3 +79,16 @@ def few_shot_prompt(source: Column, exemplars: Column) -> Column:
     head = F.array(F.lit("Here are example translations in the required style:\n"))
     tail = F.array(F.lit("Now translate the following text into English in the same style:\n"), F.concat(F.lit("Source: "), source, F.lit("\nEnglish:")))
     return F.array_join(F.concat(head, blocks, tail), "\n")
+
+
+def shot_sweep(neighbours: DataFrame, shots: list[int]) -> DataFrame:
+    """The neighbours of each query for every number of shots, from one search for the largest of them."""
+    return neighbours.withColumn("shots", F.explode(F.array(*map(F.lit, shots)))).where(F.col("rank") <= F.col("shots"))
+
+
+def style_rerank(neighbours: DataFrame, distances: DataFrame, weight: float) -> DataFrame:
+    """neighbours (query_id, row_id, score, ...) ranked by score less weight times style distance (row_id, style); neighbours without
+    a distance go."""
+    out = neighbours.join(distances, "row_id").withColumn("value", F.col("score") - F.lit(weight) * F.col("style"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("value").desc(), "row_id"))  # k rows a query
+    return out.withColumn("rank", rank.cast("long"))

@@ -409,3 +409,58 @@ def written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).select("input", "output", F.col("input").alias("prediction"), "condition", F.lit("none").alias("model"), F.struct(F.lit("s").alias("source"), F.lit("turn").alias("type")).alias("metadata"))
     artifacts.write_predictions(rows, path, "val")
     return rounded(evaluate.scores(artifacts.read_predictions(spark, path), "condition", "prediction", "output"))
+
+
+# Extensions: analyses that go with the others.
+
+
+@query(
+    f"""{FEATURED}, r AS (SELECT lang, {MEANS} FROM f GROUP BY lang)
+{" UNION ALL ".join(f"SELECT '{f}' AS feature, round(a.{f}_mean, 4) AS en_mean, round(b.{f}_mean, 4) AS de_mean, round(b.{f}_mean - a.{f}_mean, 4) AS shift FROM r a, r b WHERE a.lang = 'en' AND b.lang = 'de'" for f in T.FEATURES)}"""
+)
+def feature_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.feature_shift(evaluate.featured(table(spark, sf_dir, "documents")), "lang", "en", "de"))
+
+
+@query(
+    """WITH r AS (SELECT lang, n_chars AS x, length(regexp_replace(text, '[^e]', '', 'g')) AS y FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL),
+k AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*) OVER (PARTITION BY lang, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY lang ORDER BY y) + (count(*) OVER (PARTITION BY lang, y) - 1) / 2 AS ry FROM r)
+SELECT lang, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM k GROUP BY lang"""
+)
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of a text's length and how often it has the letter e."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("e", F.length(F.regexp_replace("text", "[^e]", "")))
+    return rounded(evaluate.spearman(docs, "lang", "n_chars", "e"), 6)
+
+
+@query()
+def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resampling by a hash that SQL elsewhere lacks; the tests compare it with loops."""
+    rows = pairs(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("segment"), F.length("input").alias("one"), F.length("output").alias("other"))
+    return rounded(evaluate.paired_bootstrap(rows, "segment", "one", "other", 200))
+
+
+@query(
+    f"""{NEAR}, {TEXTS}, k AS (SELECT unnest([1, 2, 4]) AS shots)
+SELECT query_id, shots, string_agg('Source: ' || x.input || chr(10) || 'English: ' || x.output || chr(10), chr(10) ORDER BY rank DESC) AS examples FROM t JOIN x ON x.vec_id = row_id JOIN k ON rank <= shots GROUP BY query_id, shots"""
+)
+def shot_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.concat(F.lit("row "), F.col("vec_id")).alias("input"), F.concat(F.lit("label "), F.col("label")).alias("output"))
+    found = retrieve.shot_sweep(neighbours(spark, sf_dir, 4), [1, 2, 4]).join(texts, "row_id")
+    block = F.concat(F.lit("Source: "), F.col("input"), F.lit("\nEnglish: "), F.col("output"), F.lit("\n")).alias("block")
+    found = found.groupBy("query_id", "shots").agg(F.sort_array(F.collect_list(F.struct("rank", block)), asc=False).alias("b"))  # four at most
+    return found.select("query_id", "shots", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("examples"))
+
+
+@query(
+    f"""{NEAR.replace("WITH ", FEATURED + ", ", 1)}, c AS (SELECT {CENTER} FROM f WHERE lang = 'en'),
+z AS (SELECT f.doc_id AS row_id, sqrt({" + ".join(f"pow((f.{x} - c.{x}_mean) / c.{x}_std, 2)" for x in T.FEATURES)}) AS style FROM f, c),
+v AS (SELECT query_id, row_id, score - 0.01::DOUBLE * style AS value FROM t JOIN z USING (row_id) WHERE rank <= 8)
+SELECT query_id, row_id, round(value, 4) AS value, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, row_id) AS rank FROM v"""
+)
+def style_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours whose documents are nearer to the register of the English ones come first."""
+    rows = evaluate.featured(table(spark, sf_dir, "documents"))
+    own = rows.select(F.col("doc_id").alias("row_id"), *(F.col(f).alias(f"{f}_mean") for f in T.FEATURES))
+    style = evaluate.with_distance(own, evaluate.centroid(rows.where("lang = 'en'"))).select("row_id", F.col("stylo_dist").alias("style"))
+    return rounded(retrieve.style_rerank(neighbours(spark, sf_dir, 8), style, 0.01).select("query_id", "row_id", "value", "rank"))

@@ -60,7 +60,7 @@ def split_files(spark: SparkSession, records: DataFrame, folder: str, group: str
 
 def indexed(spark: SparkSession, train: DataFrame, path: str, embedder: Callable = generate.hashing_embedder, model: str = "hashing", source: str = "") -> None:
     """Embeds the targets of training records and writes the index."""
-    artifacts.write_index(generate.embedded(train, "output", embedder), path, model, source)
+    artifacts.write_index(generate.embedded(train, "output", embedder, name=model), path, model, source)
 
 
 def prompted(rows: DataFrame, condition: str, index: DataFrame | None = None, k: int = 4, embedder: Callable = generate.hashing_embedder, prefix: str = "") -> DataFrame:

@@ -138,3 +138,14 @@ def test_tokens_of_a_plugged_in_tokenizer_and_calls_with_keys(spark):
 def test_invisible_characters_and_arabic_letters(spark):
     row = spark.createDataFrame([("﻿ك​تا‌بـ ي",)], "t string").select(T.normalize_text(F.col("t")).alias("t"), T.arabic_count(F.col("t")).alias("n")).first()
     assert row["t"] == "کتا‌ب ی"
+
+
+def test_resampled_bounds_hold_the_difference(spark):
+    r = random.Random(5)
+    rows = [(k, r.gauss(0, 1), r.gauss(0.5, 1)) for k in range(400)]
+    got = evaluate.paired_bootstrap(spark.createDataFrame(rows, "s long, a double, b double"), "s", "a", "b", 300).first()
+    own = [b - a for _, a, b in rows]
+    mean = sum(own) / 400
+    error = (sum((x - mean) ** 2 for x in own) / 400 / 400) ** 0.5
+    assert got["n"] == 400 and got["difference"] == pytest.approx(mean)
+    assert got["low"] == pytest.approx(mean - 1.96 * error, abs=0.4 * error) and got["high"] == pytest.approx(mean + 1.96 * error, abs=0.4 * error)
