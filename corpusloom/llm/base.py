@@ -6,10 +6,14 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import read_table as table  # noqa: F401
+
 #: ASCII white space, the word separator of every contract here (Java and Python regex syntax).
 WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -18,10 +22,6 @@ SPACE = "[\\x20\\x09-\\x0D]"
 BROADCAST_ROWS = 20_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a folder of this machine only where none is set and Spark runs in this process alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +38,10 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths of the stored tables that are still there.
+_paths: list[str] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
 
@@ -48,18 +52,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _paths.append(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that no later step reads."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(t.sparkSession, t._scratch)
+        _paths.remove(t._scratch)
+
+
+@contextmanager
+def scratch_until_here(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was stored inside: for a step whose result has been written by then."""
+    before = set(_paths)
+    try:
+        yield
+    finally:
+        for path in [p for p in _paths if p not in before]:
+            _delete(spark, path)
+            _paths.remove(path)
 
 
 def joined_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -80,6 +101,11 @@ def joined_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return left.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+def joined_texts(texts: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins rows that hold whole texts on k1 and k2: always one shuffle of them, so that the plan is alike at every size."""
+    return texts.join(keys.hint("merge"), ["k1", "k2"], how)
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -1,8 +1,8 @@
 """Connected components of a table of links between 64-bit nodes, by alternating large-star and small-star steps.
 
 Each step is a few aggregations and joins on a node, stored in the shared folder, until the links are stars around the least node
-of each component. Neither links nor components come to the driver; minima are aggregated before they are shuffled, and the join
-with a hub's many links is kept a sort-merge join, whose large partitions Spark splits.
+of each component. Neither links nor components come to the driver; minima are aggregated before they are shuffled, and a
+hub's many links are salted where they meet its minimum.
 """
 
 from __future__ import annotations
@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 
 from .base import discard, stored
 
+SALTS = 8
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Links all larger neighbours of a node to the least of its neighbours and itself."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # A hub's links are dealt to SALTS partitions, its minimum to each of them.
+    both = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return both.join(least.hint("merge"), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links the smaller neighbours of a node, and itself, to the least of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .base import discard, joined_hot, joined_small, partitions, row_keys, slices, stored, text_of
+from .base import discard, joined_hot, joined_small, joined_texts, partitions, row_keys, slices, stored, text_of
 from .components import labels
 from .simhash import Sets, found_again, place_of, shingle_hashes
 from .substrings import mixed
@@ -194,7 +194,7 @@ def first_rows(docs: DataFrame, shingle: int) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = joined_small(distinct.select("id", "place.k1", "place.k2"), ids, ["id"], "left_semi")
-        return shingle_sets(texts.join(places, ["k1", "k2"]).dropDuplicates(["k1", "k2"]), shingle)
+        return shingle_sets(joined_texts(texts, places).dropDuplicates(["k1", "k2"]), shingle)
 
     sets = stored(sets_of(stored(first.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "paired")), "compared-sets")
     near = stored(alike(first, sets), "alike")

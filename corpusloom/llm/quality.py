@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACE, discard, joined_small, row_keys, stored, text_of, whole_row
+from .base import SPACE, discard, joined_small, joined_texts, row_keys, stored, text_of, whole_row
 
 PRIOR, FENCE, WINDOW = 50, 3, 5
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -130,7 +130,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     rejected = stored(judged(rows).where("not kept").select("k1", "k2").distinct(), "rejected")
     discard(rows)
     whole = docs.select(whole_row(docs), *row_keys(docs, "lang", "source"))
-    return joined_small(whole, rejected, ["k1", "k2"], "left_anti").select("_doc.*")
+    return joined_texts(whole, rejected, "left_anti").select("_doc.*")
 
 
 def verdicts_sql() -> str:

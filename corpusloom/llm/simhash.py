@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import discard, joined_small, partitions, row_keys, slices, stored, text_of, whole_row
+from .base import discard, joined_small, joined_texts, partitions, row_keys, slices, stored, text_of, whole_row
 from .components import labels
 
 SHINGLE, DISTANCE, SEED, NODE_ROWS = 4, 4, 42, 1 << 17
@@ -244,7 +244,7 @@ def place_of(docs: DataFrame) -> Column:
 
 def found_again(docs: DataFrame, best: DataFrame) -> DataFrame:
     """The rows of docs with the keys of best (k1, k2), one of each, with their own columns."""
-    rows = docs.select(whole_row(docs), *row_keys(docs)).join(best, ["k1", "k2"], "left_semi")
+    rows = joined_texts(docs.select(whole_row(docs), *row_keys(docs)), best, "left_semi")
     return rows.dropDuplicates(["k1", "k2"]).select("_doc.*")  # dealt and sorted by the join
 
 

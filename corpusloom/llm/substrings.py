@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .base import BROADCAST_ROWS, discard, joined_hot, joined_small, row_keys, slices, stored, text_of, whole_row
+from .base import discard, joined_hot, joined_small, joined_texts, row_keys, slices, stored, text_of, whole_row
 from .fm_index import FMIndex, repeated_windows
 
 GRAM, SHARD_BYTES, CROWD, SEED = 8, 3 << 20, 1 << 14, 5
@@ -142,11 +142,8 @@ def occurrences(texts: DataFrame, window: int) -> DataFrame:
 
 def cut_out(texts: DataFrame, some: DataFrame) -> DataFrame:
     """Adds words, the bytes of each of the segments `some` (anchor, digest, m, k1, k2, place), cut from its text."""
-    keys = stored(some.select("k1", "k2").distinct(), "cut-texts")
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # no other text is shuffled then
-        texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
     per = some.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "digest", "m", "place")).alias("found"))  # of one text
-    rows = texts.join(per, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # repeated rows; dealt and sorted by the join
+    rows = joined_texts(texts, per).dropDuplicates(["k1", "k2"])  # repeated rows; dealt and sorted by the join
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -269,7 +266,7 @@ def deduplicated(docs: DataFrame, window: int = 35) -> DataFrame:
                 hashes.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = rows.join(repeated_spans(rows.select("k1", "k2", "text"), window), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    out = joined_texts(rows, repeated_spans(rows.select("k1", "k2", "text"), window), "left").select("doc_id", "text", "spans")
     return out.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -293,7 +290,7 @@ def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             texts = [without(t, s) if s else None for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], ["_doc", "_new"])
 
-    found = rows.drop("text").join(spans, ["k1", "k2"], "left")
+    found = joined_texts(rows.drop("text"), spans, "left")
     schema = StructType([rows.schema["_doc"], StructField("_new", StringType())])
     changed = found.select(text_of("_doc.text").alias("text"), "spans", "_doc").mapInArrow(run, schema)
     out = changed.where("_new IS NULL OR _new <> ''")

@@ -51,7 +51,6 @@ def test_removed_words_are_those_of_brute_force(spark, monkeypatch):
     for seed, crowd, few in ((1, 1 << 14, 20_000), (2, 1, 20_000), (3, 1, 0)):
         monkeypatch.setattr(substrings, "CROWD", crowd)
         monkeypatch.setattr(base, "BROADCAST_ROWS", few)
-        monkeypatch.setattr(substrings, "BROADCAST_ROWS", few)
         texts = corpus(seed)
         docs = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], SCHEMA)
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.deduplicated(docs).collect()}
