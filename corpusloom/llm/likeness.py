@@ -37,7 +37,7 @@ LEAST, OF = 4, 5
 #: Shingles that are multiplied at once.
 PIECE = 1 << 12
 #: Shingles of a part of a cluster, entries of the matrices a task holds at a time, and the sets that hold a frequent shingle.
-PART_SHINGLES, ENTRIES, FREQUENT = 1 << 20, 1 << 22, 48
+PART_SHINGLES, ENTRIES, FREQUENT = 1 << 17, 1 << 22, 48
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * WIDTH, dtype=np.uint64) | np.uint64(1)
 

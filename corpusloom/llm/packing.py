@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import joined_small, slices, stored, text_of
+from .base import slices, stored, text_of
 from .tokens import BatchTokenizer
 
 
@@ -149,6 +149,6 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer_path: str | None = Non
             kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(bins), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    numbered = joined_small(cut, counts.drop("n"), ["length", "part"]).withColumn("number", F.col("number") + F.col("before"))
+    numbered = cut.join(counts.drop("n").hint("merge"), ["length", "part"]).withColumn("number", F.col("number") + F.col("before"))
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
     return numbered.mapInArrow(look_up, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
