@@ -81,6 +81,15 @@ def few_shot_prompt(source: Column, exemplars: Column) -> Column:
     return F.array_join(F.concat(head, blocks, tail), "\n")
 
 
+def cosine_distance(a: Column, b: Column) -> Column:
+    """One less the cosine of two arrays of numbers; null where one has no length."""
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda n, p: n + p)
+
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def shot_sweep(neighbours: DataFrame, shots: list[int]) -> DataFrame:
     """The neighbours of each query for every number of shots, from one search for the largest of them."""
     return neighbours.withColumn("shots", F.explode(F.array(*map(F.lit, shots)))).where(F.col("rank") <= F.col("shots"))

@@ -11,6 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.functions.words import FUNCTION_WORDS, MARKERS
 from corpusloom.operators import evaluate, generate, prepare, retrieve, split
 from corpusloom.operators.lineage import shared_folder
+from corpusloom.plans import workflows
 from corpusloom.sources import artifacts
 from corpusloom.sources import pairs as files
 from corpusloom.sources.tables import read_table as table
@@ -134,18 +135,26 @@ def match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.normalize_key(rough()), 256).alias("key_sha256"))
 
 
-@query(
-    """WITH RECURSIVE w AS (SELECT coalesce(nullif(source, ''), '<unknown>') AS work, count(*) AS n FROM documents GROUP BY 1),
+#: Whole groups to splits, as a recursion over the counted groups in order.
+GROUPS = """w AS (SELECT coalesce(nullif(source, ''), '<unknown>') AS work, count(*) AS n FROM documents GROUP BY 1),
 o AS (SELECT work, n, row_number() OVER (ORDER BY work = '<unknown>' DESC, n DESC, work) AS k FROM w), t AS (SELECT sum(n)::DOUBLE AS total FROM w),
 f(k, work, n, split, a, b, c) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT
 UNION ALL SELECT k, work, n, split, a + CASE WHEN split = 'train' THEN n ELSE 0 END, b + CASE WHEN split = 'val' THEN n ELSE 0 END, c + CASE WHEN split = 'test' THEN n ELSE 0 END
-FROM (SELECT o.k, o.work, o.n, f.a, f.b, f.c, CASE WHEN o.work = '<unknown>' THEN 'train' WHEN f.c - total * 0.1::DOUBLE <= least(f.a - total * 0.8::DOUBLE, f.b - total * 0.1::DOUBLE) THEN 'test' WHEN f.a - total * 0.8::DOUBLE <= f.b - total * 0.1::DOUBLE THEN 'train' ELSE 'val' END AS split FROM f JOIN o ON o.k = f.k + 1, t))
-SELECT work, n, split, k - 1 AS work_rank FROM f WHERE k > 0"""
-)
+FROM (SELECT o.k, o.work, o.n, f.a, f.b, f.c, CASE WHEN o.work = '<unknown>' THEN 'train' WHEN f.c - total * 0.1::DOUBLE <= least(f.a - total * 0.8::DOUBLE, f.b - total * 0.1::DOUBLE) THEN 'test' WHEN f.a - total * 0.8::DOUBLE <= f.b - total * 0.1::DOUBLE THEN 'train' ELSE 'val' END AS split FROM f JOIN o ON o.k = f.k + 1, t))"""
+
+
+@query(f"WITH RECURSIVE {GROUPS} SELECT work, n, split, k - 1 AS work_rank FROM f WHERE k > 0")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.assign_groups(table(spark, sf_dir, "documents"), "source")
 
 
+@query(f"WITH RECURSIVE {GROUPS} SELECT doc_id, work, split, k - 1 AS work_rank FROM documents JOIN f ON work = coalesce(nullif(source, ''), '<unknown>') WHERE k > 0")
+def rows_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the split of its source."""
+    docs = table(spark, sf_dir, "documents")
+    return split.with_split(docs, "source", split.assign_groups(docs, "source")).select("doc_id", "work", "split", "work_rank")
+
+
 SPLIT = "CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END"
 
 
@@ -411,9 +420,56 @@ def written_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.scores(artifacts.read_predictions(spark, path), "condition", "prediction", "output"))
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{LETTERS[0]}', '{LETTERS[1]}') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '{T.ARABIC}'))::BIGINT AS arabic, len(regexp_extract_all(t, '[A-Za-z]'))::BIGINT AS latin, contains(t, chr(65533)) AS replaced FROM t"""
+)
+def script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of each script, and whether a text has a replacement character."""
+    text = F.translate(F.coalesce("text", F.lit("")), *LETTERS)
+    return table(spark, sf_dir, "documents").select("doc_id", T.arabic_count(text).cast("long").alias("arabic"), T.latin_count(text).cast("long").alias("latin"), text.contains("\ufffd").alias("replaced"))
+
+
+@query(f"{PAIRS} SELECT conv_id, turn, sha256(coalesce(input, '')) AS input_sha256 FROM p ORDER BY conv_id, turn LIMIT 25")
+def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows by an order: here a limit is the operator."""
+    rows = pairs(spark, sf_dir).withColumn("place", F.struct("conv_id", "turn"))
+    return files.first(rows, "place", 25).select("conv_id", "turn", F.sha2(F.coalesce("input", F.lit("")), 256).alias("input_sha256"))
+
+
+@query(
+    f"""{PAIRS}, q AS (SELECT conv_id, turn, {source_sql(f"translate(coalesce(input, ''), '{LETTERS[0]}', '{LETTERS[1]}')")} AS s, {normal_sql("coalesce(output, '')")} AS t FROM p),
+r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, CASE WHEN t = s THEN 'SourceEqualsTarget' END, CASE WHEN len(regexp_extract_all(s, '{T.ARABIC}')) < 5 THEN 'LowArabicScriptCount' END, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) < 100 THEN 'LowLatinScriptCount' END, CASE WHEN contains(t, chr(65533)) OR contains(s, chr(65533)) THEN 'EncodingErrorChar' END], lambda x: x IS NOT NULL) AS reasons FROM q)
+SELECT CASE WHEN len(reasons) = 0 THEN 'cleaned' ELSE 'dropped' END AS file, sha256(s) AS source_sha256, sha256(t) AS target_sha256, conv_id::VARCHAR AS paragraph_id, turn::VARCHAR AS sentence_id, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ';') END AS rejection_reasons
+FROM (SELECT *, row_number() OVER (PARTITION BY s, t, len(reasons) = 0 ORDER BY conv_id, turn) AS k FROM r) WHERE len(reasons) > 0 OR k = 1"""
+)
+def prepared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of turns as a TSV that is prepared; the rows of the cleaned and dropped files, but for later copies of a pair, as which copy
+    comes first depends on how the file is dealt."""
+    folder = scratch(spark, "prepared")
+    rows = pairs(spark, sf_dir).orderBy("conv_id", "turn").select(F.translate("input", *LETTERS).alias("source_text"), F.col("output").alias("target_text"), F.lit("turns").alias("source_name"), F.col("conv_id").alias("paragraph_id"), F.col("turn").alias("sentence_id"))
+    files.write_tsv(rows.coalesce(1), f"{folder}/in")
+    workflows.prepared_files(spark, f"{folder}/in", folder, "turns", header=True, min_arabic=5, min_latin=100)
+    good = files.read_tsv(spark, f"{folder}/turns_cleaned.tsv", header=True).select(F.lit("cleaned").alias("file"), *files.SENTENCES, F.lit(None).cast("string").alias("rejection_reasons"))
+    bad = files.read_tsv(spark, f"{folder}/turns_dropped.tsv", ["unit_type", *files.SENTENCES, "rejection_reasons"], header=True).where("rejection_reasons <> 'Duplicate'")
+    out = good.unionByName(bad.select(F.lit("dropped").alias("file"), *files.SENTENCES, "rejection_reasons"))
+    return out.select("file", F.sha2("source_text", 256).alias("source_sha256"), F.sha2("target_text", 256).alias("target_sha256"), "paragraph_id", "sentence_id", "rejection_reasons")
+
+
 # Extensions: analyses that go with the others.
 
 
+@query(
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), r AS (SELECT label, arg_min(v, vec_id) AS ref FROM e GROUP BY label)
+SELECT vec_id, round(1 - list_cosine_similarity(v, ref), 4) AS distance FROM e JOIN r USING (label)"""
+)
+def reference_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine distance of each vector to the first one of its label."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    first = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))  # a row a label
+    return rounded(rows.join(first, "label").select("vec_id", retrieve.cosine_distance(F.col("embedding"), F.col("ref")).alias("distance")))
+
+
 @query(
     f"""{FEATURED}, r AS (SELECT lang, {MEANS} FROM f GROUP BY lang)
 {" UNION ALL ".join(f"SELECT '{f}' AS feature, round(a.{f}_mean, 4) AS en_mean, round(b.{f}_mean, 4) AS de_mean, round(b.{f}_mean - a.{f}_mean, 4) AS shift FROM r a, r b WHERE a.lang = 'en' AND b.lang = 'de'" for f in T.FEATURES)}"""
