@@ -8,17 +8,17 @@ go to the tokenizer as they are.
 
 from __future__ import annotations
 
-import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces whose ids a worker keeps (about 300 bytes each); beyond it the memory is emptied and filled anew.
-CACHE_PIECES = 400_000
+#: Distinct words whose ids a worker keeps (about 200 bytes each); beyond it the memory is emptied and filled anew.
+CACHE_WORDS = 500_000
 
 #: Letters that stand alone in normal form C, and punctuation behind them.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+_SIMPLE = r"^(?P<body>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
 
 _cache: dict = {}
 
@@ -63,8 +63,6 @@ class BatchTokenizer:
         self.count = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 16, np.int64)
         self.used = 0
-        self.pieces: dict[str, int] = {}
-        self.pairs = np.zeros((1 << 16, 2), np.int32)
 
     def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         k, n = len(self.index), len(ids)
@@ -93,36 +91,31 @@ class BatchTokenizer:
                 counts = np.array([len(x) for x in got], np.int64)
             self._add(part, ids, counts)
 
-    def _parts(self, pieces: list[str]) -> np.ndarray:
-        """For each piece the numbers of its two parts."""
-        if len(self.pieces) > CACHE_PIECES:
+    def _numbers(self, words: pa.Array, simple: np.ndarray) -> np.ndarray:
+        """The number of each word; simple: which of them are lower-case letters only."""
+        coded = words.dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            plain = np.zeros(len(distinct), bool)
+            plain[code[simple]] = True
+            for kind in (True, False):
+                some = new[plain[new] == kind]
+                number[some] = len(self.index) + np.arange(len(some))
+                self._learn([distinct[k] for k in some.tolist()], kind)
+        return number[code]
+
+    def _parts(self, pieces: pa.Array) -> np.ndarray:
+        """For each piece the numbers of its two parts, letters (or all of it) and the punctuation behind."""
+        if len(self.index) > CACHE_WORDS:
             self.reset()
-        known = self.pieces
-        new = [piece for piece in pieces if piece not in known]
-        index, simple, other, pairs = self.index, {}, {}, []
-        for piece in new:
-            if m := _SIMPLE(piece):
-                body, tail = m.groups()
-                body = body.lower()
-                if body not in index:
-                    simple[body] = None
-                if tail not in index:
-                    other[tail] = None
-            else:
-                body, tail = piece, ""
-                if body not in index:
-                    other[body] = None
-            pairs += (body, tail)
-        for word in [w for w in other if w in simple]:
-            del other[word]
-        self._learn(list(simple), True)
-        self._learn(list(other), False)
-        k = len(known)
-        while k + len(new) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros_like(self.pairs)])
-        self.pairs[k : k + len(new)] = np.fromiter(map(index.__getitem__, pairs), np.int32, len(pairs)).reshape(-1, 2)
-        known.update(zip(new, range(k, k + len(new)), strict=True))
-        return self.pairs[np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))].ravel()
+        found = pc.extract_regex(pieces, _SIMPLE)
+        simple = pc.is_valid(found)
+        body = pc.if_else(simple, pc.utf8_lower(pc.struct_field(found, "body")), pieces)
+        tail = pc.if_else(simple, pc.struct_field(found, "tail"), "")
+        simple = simple.to_numpy(zero_copy_only=False)
+        return np.stack([self._numbers(body, simple), self._numbers(tail, np.zeros(len(simple), bool))], 1).ravel()
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of each text's ids); null texts count as empty."""
@@ -133,7 +126,7 @@ class BatchTokenizer:
         coded = pieces.flatten().dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        parts = self._parts(coded.dictionary.to_pylist())
+        parts = self._parts(coded.dictionary)
         n_ids = self.count[parts]
         flat = self.ids[spread(self.first[parts], n_ids)]
         n_ids = n_ids.reshape(-1, 2).sum(1)

@@ -37,3 +37,20 @@ def test_files_hold_the_ids_of_the_tokenizer_in_order(odd_docs, monkeypatch):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"], r["ids_crc32"]) == (d["doc_id"], start, len(ids), ids, zlib.crc32(np.array(ids, "<u4")))
         start += len(ids)
     assert token_files.read_documents(token_files.write_segments(odd_docs.limit(0))).count() == 0
+
+
+def test_ids_of_odd_words_are_the_tokenizers(monkeypatch):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from corpusloom.llm import tokens
+
+    texts = ["Straße STRASSE straße, Été ÉTÉ! ÿ Þ þ", "-- --a a-- a.b A'b it's (x) x) ... don't!?", "é́ ｆｕｌｌ 日本語 a日 İi ǅ", "x1 1x 12,5% a_b _a [UNK] </w> a</w> <b>", "", None, "  \t\n ", "word " * 50, " a b  c"]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for limit in (500_000, 3):
+        monkeypatch.setattr(tokens, "CACHE_WORDS", limit)
+        coder = tokens.BatchTokenizer()
+        for _ in range(2):
+            ids, at = coder.encode(pa.array(texts), 1)
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
