@@ -120,3 +120,8 @@ def features(c: Column) -> Column:
 
     found = F.struct(words(c).alias("w"), counts.alias("l"), marker_hits(c).alias("hits"))
     return let(let(let(found, of_words), with_mean), measures)
+
+
+def feature_vector(c: Column) -> Column:
+    """array<double> of the register features in their fixed order."""
+    return let(features(c), lambda f: F.array(*(f[name] for name in FEATURES)))

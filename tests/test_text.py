@@ -40,3 +40,8 @@ def test_features_of_hand_counted_texts(spark):
     assert f["marker_rate"] == pytest.approx(3 / words)
     assert list(blank) == [0.0] * 6 and half["marker_rate"] == 0.5
     assert len(STANDARD) == len(set(STANDARD)) == 167 and len(FUNCTION_WORDS) == 218
+
+
+def test_feature_vector_has_the_features_in_order(spark):
+    row = spark.createDataFrame([("Thou art here. He came, and he went away!",)], "t string").select(T.features(F.col("t")).alias("f"), T.feature_vector(F.col("t")).alias("v")).first()
+    assert row["v"] == [row["f"][name] for name in T.FEATURES] and row["v"][2] > 0
