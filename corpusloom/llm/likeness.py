@@ -1,16 +1,17 @@
 """Near-duplicates by likeness: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, and what they connect.
 
-Each set of shingles is summed up by BANDS keys of WIDTH minima each; two sets at similarity J share a key with probability
-1 - (1 - J**WIDTH)**BANDS, which is 1 - 4e-6 at 0.8 and more above. Sets that share a key are compared exactly, in two rounds. First
-each one is compared with the least one of its key, a pair a set and key. Sets that stay outside of that one's component are loose:
+Pairs are proposed in two ways. The first is the trie self-join of SimHash fingerprints (see simhash) at DISTANCE bits, whose stars are
+taken as pairs; it finds near copies, but only a small part of the pairs at 0.8 to 0.9, whose fingerprints differ in about ten bits.
+So each set of shingles is summed up by BANDS keys of WIDTH minima each as well; two sets at similarity J share a key with
+probability 1 - (1 - J**WIDTH)**BANDS, which is 1 - 4e-6 at 0.8 and more above. All are compared exactly, in two rounds. First come the
+pairs of the trie and each set with the least one of its keys, a pair a set and key. Sets that stay outside of that one's component are loose:
 they and all others of their keys make clusters (what keys with loose sets connect), and within a cluster every loose set is
 compared with all sets, as near copies somewhat below 0.8 need it. No pair is written for that: a cluster is dealt to parts of about
 PART_SHINGLES, each pair of parts is a task, which counts common shingles by a matrix product (frequent ones) and by lists of
 the sets that hold one (rare ones), and returns its links as stars. The work of that round still grows with the square of a
 cluster's size, at a few operations a pair; no set is dropped from it.
 
-Shingles are those of the fingerprints (see simhash), told apart by their 64-bit XXH64, repeats left out. A SimHash at four or fewer
-differing bits finds a small part of the pairs at 0.8 to 0.9 only, so it is not used here.
+Shingles are those of the fingerprints, told apart by their 64-bit XXH64; a set leaves repeats out.
 
 Defined cases: null and empty texts have an empty set, and equal sets are always together; a text with fewer words than a shingle has
 one of all its words, and a very long one a set of all its shingles; which document of a group stays is as in simhash.near_free; an
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from .base import discard, joined_hot, joined_small, joined_texts, partitions, row_keys, slices, stored, text_of
 from .components import labels
-from .simhash import Sets, found_again, place_of, shingle_hashes
+from .simhash import DISTANCE, Sets, fingerprint_of, found_again, links, place_of, shingle_hashes
 from .substrings import mixed
 
 BANDS, WIDTH, SEED = 24, 4, 11
@@ -60,16 +61,19 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, shingle: int) -> DataFrame:
-    """place (as it is), d1 and d2 (128 bits of a digest) and size of the set, keys array<long> of each of rows (place, text)."""
+    """place (as it is), fp (the fingerprint), d1 and d2 (128 bits of a digest) and size of the set, keys array<long> of each of rows
+    (place, text)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            sets = [shingle_set(x, shingle) for x in batch.column("text").to_pylist()]
+            hashes = [np.array(shingle_hashes(x, shingle), np.uint64) for x in batch.column("text").to_pylist()]
+            prints = pa.array(np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64))
+            sets = [np.unique(h) for h in hashes]
             columns = [pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64)) for k in (0, 1)]
             keys = [band_keys(s).view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("place"), *columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["place", "d1", "d2", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), prints, *columns, pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["place", "fp", "d1", "d2", "size", "keys"])
 
-    fields = [StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))]
+    fields = [StructField("fp", LongType()), StructField("d1", LongType()), StructField("d2", LongType()), StructField("size", IntegerType()), StructField("keys", ArrayType(LongType()))]
     return rows.select("place", "text").mapInArrow(run, StructType([rows.schema["place"], *fields]))
 
 
@@ -178,18 +182,31 @@ def fitting(pairs: DataFrame) -> DataFrame:
     return pairs.where(OF * F.least("m", "n") >= LEAST * F.greatest("m", "n")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def trie_pairs(distinct: DataFrame) -> DataFrame:
+    """u, v, m, n: pairs of sets (id, size, fp) that the trie join connects, each with the first set of its own fingerprint and these
+    as their stars do."""
+    prints = distinct.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("one"), F.count("*").alias("m"))
+    prints = stored(prints.select("fp", F.col("one.id").alias("v"), F.col("one.size").alias("n"), "m"), "fingerprints")
+    same = joined_hot(distinct.select(F.col("id").alias("u"), F.col("size").alias("k"), "fp"), prints, ["fp"]).where("u != v").select("u", "v", F.col("k").alias("m"), "n")
+    stars = stored(links(prints.select("fp"), DISTANCE), "fingerprint-links").distinct()
+    one = prints.select(F.col("fp").alias("u"), F.col("v").alias("a"), F.col("n").alias("m"))
+    two = prints.select(F.col("fp").alias("v"), F.col("v").alias("b"), "n")
+    near = stars.join(one, "u").join(two, "v").select(F.col("a").alias("u"), F.col("b").alias("v"), "m", "n")
+    return same.unionByName(near)
+
+
 def first_rows(docs: DataFrame, shingle: int) -> DataFrame:
     """k1, k2 of the first row of each group of docs (doc_id, text), stored."""
     marks = sketches(docs.select(place_of(docs).alias("place"), text_of().alias("text")), shingle)
-    distinct = marks.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "place", "size", "keys"), "shingle-sets")
+    distinct = marks.groupBy("d1", "d2").agg(F.min("place").alias("place"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    distinct = stored(distinct.select(F.monotonically_increasing_id().alias("id"), "place", "size", "fp", "keys"), "shingle-sets")
     entries = distinct.select("id", "size", F.explode("keys").alias("key"))
     keys = entries.groupBy("key").agg(F.min(F.struct("id", "size")).alias("hub"), F.count("*").alias("m")).where("m > 1")
     keys = stored(keys.select("key", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size"), "m"), "shared-keys")
     members = stored(joined_hot(entries, keys, ["key"]), "key-members")
 
-    first = fitting(members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v"), F.col("size").alias("m"), F.col("hub_size").alias("n")))
-    first = stored(first, "first-pairs")
+    hubs = members.where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v"), F.col("size").alias("m"), F.col("hub_size").alias("n"))
+    first = stored(fitting(hubs.unionByName(trie_pairs(distinct))), "first-pairs")
     texts = docs.select(text_of().alias("text"), *row_keys(docs))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -216,8 +233,8 @@ def first_rows(docs: DataFrame, shingle: int) -> DataFrame:
         own = some.join(clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")), "id", "left").select("id", "loose", "size", F.coalesce("cluster", "id").alias("cluster"))
         parts = stored(own.groupBy("cluster").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("int").alias("parts"), F.count("*").alias("m")), "clusters")
         dealt = joined_small(own, parts.select("cluster", "parts"), ["cluster"])
-        links = links_within(dealt.join(sets_of(some.select("id")), "id"))
-        found = labels(found.unionByName(stored(links, "cluster-links")))
+        stars = links_within(dealt.join(sets_of(some.select("id")), "id"))
+        found = labels(found.unionByName(stored(stars, "cluster-links")))
     named = distinct.select("place", "id").join(found.select(F.col("u").alias("id"), F.col("v").alias("group")), "id", "left")
     best = named.groupBy(F.coalesce("group", "id").alias("group")).agg(F.min("place").alias("place"))
     best = stored(best.select("place.k1", "place.k2"), "first-of-groups")

@@ -55,10 +55,12 @@ def shingle_hashes(text: str, shingle: int) -> list[int]:
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
-    if not hashes:
+    return fingerprint_of(np.array(shingle_hashes(text, shingle), np.uint64))
+
+
+def fingerprint_of(data: np.ndarray) -> int:
+    if not len(data):
         return 0
-    data = np.array(hashes, np.uint64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(data), 1 << 14):
         ones += np.unpackbits(data[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
