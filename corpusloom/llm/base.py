@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lineage import checkpointed as stored  # noqa: F401
+from corpusloom.operators.lineage import discard, scratch_until_here  # noqa: F401
+from corpusloom.operators.lineage import shared_folder as scratch_root  # noqa: F401
 from corpusloom.sources.tables import read_table as table  # noqa: F401
 
 #: ASCII white space, the word separator of every contract here (Java and Python regex syntax).
@@ -22,67 +18,6 @@ SPACE = "[\\x20\\x09-\\x0D]"
 BROADCAST_ROWS = 20_000
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of this machine only where none is set and Spark runs in this process alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            root = tempfile.mkdtemp(prefix="corpusloom-")
-            context.setCheckpointDir(root)
-        else:
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-    return root.rstrip("/")
-
-
-#: Paths of the stored tables that are still there.
-_paths: list[str] = []
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors.
-
-    Shuffle files of the jobs that made it are no longer needed then, so their release is asked for.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    _paths.append(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that no later step reads."""
-    for t in tables:
-        _delete(t.sparkSession, t._scratch)
-        _paths.remove(t._scratch)
-
-
-@contextmanager
-def scratch_until_here(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what was stored inside: for a step whose result has been written by then."""
-    before = set(_paths)
-    try:
-        yield
-    finally:
-        for path in [p for p in _paths if p not in before]:
-            _delete(spark, path)
-            _paths.remove(path)
-
-
 def joined_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Inner or left semi join of stored tables whose keys may be very uneven; right says in m how many rows of left a key has.
 
@@ -95,6 +30,14 @@ def joined_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(hot), on, how).unionByName(cold)
 
 
+def attached(rows: DataFrame, values: DataFrame, on: list[str], salt: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of values, which has a row a key, however many rows a key has: the distinct pairs of key and salt are joined
+    with values first, and rows with those pairs. rows is stored, with whole numbers in `salt` that are dealt evenly within a key; of a key
+    as many rows as there are salts meet values, and its rows go to as many tasks."""
+    pairs = rows.select(*on, salt).distinct().join(values, on, how)
+    return rows.join(pairs, [*on, salt], how)
+
+
 def joined_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Joins with a stored table that is expected to be small: broadcast behind a count of it, else a shuffled join."""
     n = small.limit(BROADCAST_ROWS + 1).count()

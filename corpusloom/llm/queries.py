@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, language, mixing, packing, quality, sharding, simhash, substrings, token_files
+from . import chat, chunks, exact, language, mixing, packing, quality, sharding, simhash, substrings, token_files
 from .base import table
 
 
@@ -52,5 +52,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language)}
-ORACLES: dict[str, str] = {"op3_quality": quality.verdicts_sql(), "op5_chat": chat.DIGEST_SQL, "op9_substrings": substrings.deduplicated_sql(35)}
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.copies(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language, op11_exact)}
+ORACLES: dict[str, str] = {"op3_quality": quality.verdicts_sql(), "op5_chat": chat.DIGEST_SQL, "op9_substrings": substrings.deduplicated_sql(35), "op11_exact": exact.COPIES_SQL}

@@ -24,7 +24,7 @@ def test_query_equals_its_sql(spark, name):
     compare(spark, name, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", ["op3_quality", "op9_substrings"])
+@pytest.mark.parametrize("name", ["op3_quality", "op9_substrings", "op11_exact"])
 def test_odd_rows_equal_the_sql(spark, odd_docs, table_dir, name):
     docs = odd_docs.where("length(text) < 10000 OR text IS NULL")
     compare(spark, name, table_dir(documents=docs.unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(77).cast("long")))))
