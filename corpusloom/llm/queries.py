@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chunks, exact, language, mixing, packing, quality, reassembly, sharding, simhash, substrings, token_files
+from . import chat, chunks, divergence, exact, language, mixing, packing, quality, reassembly, sharding, simhash, substrings, token_files
 from .base import table
 
 
@@ -60,5 +60,9 @@ def op12_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reassembly.digest(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language, op11_exact, op12_reassembly)}
-ORACLES: dict[str, str] = {"op3_quality": quality.verdicts_sql(), "op5_chat": chat.DIGEST_SQL, "op9_substrings": substrings.deduplicated_sql(35), "op11_exact": exact.COPIES_SQL}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_quality, op4_packing, op5_chat, op6_sharding, op7_token_files, op8_simhash, op9_substrings, op10_language, op11_exact, op12_reassembly, op13_divergence)}
+ORACLES: dict[str, str] = {"op3_quality": quality.verdicts_sql(), "op5_chat": chat.DIGEST_SQL, "op9_substrings": substrings.deduplicated_sql(35), "op11_exact": exact.COPIES_SQL, "op13_divergence": divergence.AUDIT_SQL}
