@@ -164,6 +164,7 @@ def events(rows: DataFrame, batches: int = BATCHES, span: int = SPAN) -> DataFra
         session.conf.set(name, spark.conf.get(name))
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, no space ahead of their use
 
     def start() -> None:
         """Takes what is new in the input folder; the state and what was read are those of the checkpoint."""
