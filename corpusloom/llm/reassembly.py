@@ -8,7 +8,8 @@ grows, its new turns are released, each once, so the state holds no text of a re
 keeps the batch of its last arrival and a timer in event time, which closes it.
 
 Batches come one start of the query each, as files in its input folder; batch b carries the event time b, and a tick that passes only
-the watermark, so an empty batch moves the clock as well. What closed is joined to later arrivals as they are fed, which the stream then
+the watermark announces the next one, so an empty batch moves the clock as well, and the batch in which a conversation closes is the one
+that finds its timer due, behind its arrivals, without a run of the query for timers alone. What closed is joined to later arrivals as they are fed, which the stream then
 rejects, and is fed to the blocks, which give their fragments and clear their state. One batch later than the last one all timers are due.
 
 A conversation of any length spreads over blocks: a block that is full tells its batch, and the runs of full blocks, found block by
@@ -46,8 +47,13 @@ def hour(batch: int) -> int:
     return (batch + 24) * HOUR
 
 
+def hour_of(start: int, batches: int) -> int:
+    """The event time of what a start is fed: of its batch; behind the last one all timers are due."""
+    return hour(start if start < batches else start + IDLE)
+
+
 def due(last: int) -> int:
-    """When a conversation closes whose last arrival was in batch `last`: before the end of batch last + IDLE, after the one before."""
+    """When a conversation closes whose last arrival was in batch `last`: a while before batch last + IDLE."""
     return hour(last + IDLE) - HOUR // 2
 
 
@@ -143,9 +149,9 @@ def arrivals(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
     return attached(rows, rows.groupBy("conv").agg(F.min("turn").alias("first")), ["conv"], "salt")
 
 
-def fed(rows: DataFrame, kind: str, b: int, batch: Column | int, **columns: Column) -> DataFrame:
-    """Rows as the stream takes them, at the event time of batch b."""
-    given = {"kind": F.lit(kind), "batch": batch if isinstance(batch, Column) else F.lit(batch), "at": F.timestamp_millis(F.lit(hour(b)))} | columns
+def fed(rows: DataFrame, kind: str, at: int, batch: Column, **columns: Column) -> DataFrame:
+    """Rows as the stream takes them, at an event time."""
+    given = {"kind": F.lit(kind), "batch": batch, "at": F.timestamp_millis(F.lit(at))} | columns
     have = {f: given.get(f, F.col(f) if f in rows.columns else F.lit(None)) for f in (x.split()[0] for x in ARRIVALS.split(", "))}
     kinds = dict(x.split() for x in ARRIVALS.split(", "))
     return rows.select(*(c.cast(kinds[f]).alias(f) for f, c in have.items()))
@@ -162,6 +168,7 @@ def events(rows: DataFrame, batches: int = BATCHES, span: int = SPAN) -> DataFra
     session = spark.newSession()
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, no space ahead of their use
@@ -177,16 +184,17 @@ def events(rows: DataFrame, batches: int = BATCHES, span: int = SPAN) -> DataFra
 
     tick = spark.range(1).select()
     for b in range(batches + 2):
-        feed = fed(tick, "tick", b if b < batches else b + IDLE, b)
-        closed = spark.read.schema(EVENTS).parquet(f"{folder}/out").where("kind = 'close'").select("conv", F.col("batch").alias("closed_in")) if b else None
+        at, number = hour_of(b, batches), F.lit(b)
+        feed = fed(tick, "tick", hour_of(b + 1, batches) - HOUR // 60, number)
+        closed = spark.read.schema(EVENTS).parquet(f"{folder}/out").where("kind = 'close'").select("conv", F.col("batch").alias("closed_in")) if b > IDLE else None
         if b < batches:
             own = placed.where(F.col("batch") == b)
-            feed = feed.unionByName(fed(own.select("conv").distinct(), "active", b, b, block=F.lit(-1)))
-            if b > IDLE:
+            feed = feed.unionByName(fed(own.select("conv").distinct(), "active", at, number, block=F.lit(-1)))
+            if closed:
                 own = attached(own, closed, ["conv"], "salt", "left")
-            feed = feed.unionByName(fed(own, "turn", b, b, closed=F.col("closed_in").isNotNull() if b > IDLE else F.lit(False)))
-        if b > IDLE:
-            feed = feed.unionByName(fed(blocks.join(closed.where(F.col("closed_in") == b - 1), "conv"), "closed", b if b < batches else b + IDLE, F.col("closed_in")))
+            feed = feed.unionByName(fed(own, "turn", at, number, closed=F.col("closed_in").isNotNull() if closed else F.lit(False)))
+        if closed:
+            feed = feed.unionByName(fed(blocks.join(closed.where(F.col("closed_in") == b - 1), "conv"), "closed", at, F.col("closed_in")))
         feed.write.mode("append").parquet(f"{folder}/in")
         start()
     return spark.read.schema(EVENTS).parquet(f"{folder}/out")
