@@ -195,7 +195,8 @@ def events(rows: DataFrame, batches: int = BATCHES, span: int = SPAN) -> DataFra
             feed = feed.unionByName(fed(own, "turn", at, number, closed=F.col("closed_in").isNotNull() if closed else F.lit(False)))
         if closed:
             feed = feed.unionByName(fed(blocks.join(closed.where(F.col("closed_in") == b - 1), "conv"), "closed", at, F.col("closed_in")))
-        feed.write.mode("append").parquet(f"{folder}/in")
+        # A batch has a share of the rows, and as many of the partitions will do for it.
+        feed.coalesce(max(1, partitions(spark) // batches)).write.mode("append").parquet(f"{folder}/in")
         start()
     return spark.read.schema(EVENTS).parquet(f"{folder}/out")
 
