@@ -230,19 +230,43 @@ def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 #: Up to which uniform number a Poisson variable of mean one is 0, 1, 2, ...; beyond the last it counts one more.
 POISSON = [sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(12)]
+#: Odd multipliers and the step of a 64-bit mixing function; fixed values.
+MIX, STEP = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 
 
-def paired_bootstrap(rows: DataFrame, segment: str, one: str, other: str, replicates: int = 1000, level: float = 0.95, seed: int = 7) -> DataFrame:
+def drawn_weights(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson weights of segments with hashes h, of 60 bits, in each replicate: from 53 bits of a mixed sum of both."""
+    x = h.astype(np.uint64)[:, None] + replicates.astype(np.uint64)[None, :] * np.uint64(STEP)
+    for m in MIX:
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(m)
+    x ^= x >> np.uint64(33)
+    return np.searchsorted(np.array(POISSON), (x >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def paired_bootstrap(rows: DataFrame, segment: str, one: str, other: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
     """n, difference of the means of two scores of the same segments (other - one), and its low and high bound over resamples.
 
-    Each replicate weighs a segment by a Poisson number drawn from a hash of both, so resampling is two sums that combine before they are
-    shuffled, and the same wherever a segment lies.
+    Each replicate weighs a segment by a Poisson number drawn from the segment's hash and the replicate's number, the same wherever
+    the segment lies. A task adds up all replicates in two vectors and gives a row a replicate, whatever it has read.
     """
-    scores = rows.select(F.xxhash64(F.col(segment), F.lit(seed)).alias("h"), (F.col(other) - F.col(one)).alias("d")).where("d IS NOT NULL")
-    drawn = scores.select("d", "h", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("k"))
-    u = F.shiftrightunsigned(F.xxhash64("h", "k"), 11) / F.lit(float(1 << 53))
-    drawn = drawn.withColumn("w", sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0)))
-    means = drawn.groupBy("k").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("mean"))
+    name = F.coalesce(F.col(segment).cast("string"), F.lit(""))
+    scores = rows.select(F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long").alias("h"), (F.col(other) - F.col(one)).cast("double").alias("d")).where("d IS NOT NULL")
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = np.arange(1, replicates + 1)
+        sums, sizes, some = np.zeros(replicates), np.zeros(replicates), False
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                w = drawn_weights(part.column("h").to_numpy(), numbers)
+                sums += part.column("d").to_numpy() @ w
+                sizes += w.sum(0)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(sums), pa.array(sizes)], names=["k", "d", "w"])
+
+    means = scores.mapInArrow(resampled, "k long, d double, w double").groupBy("k").agg(F.try_divide(F.sum("d"), F.sum("w")).alias("mean"))
     edge = (1 - level) / 2
     bounds = means.agg(F.percentile("mean", F.lit(edge)).alias("low"), F.percentile("mean", F.lit(1 - edge)).alias("high"))
     return scores.agg(F.count("*").alias("n"), F.avg("d").alias("difference")).crossJoin(F.broadcast(bounds))  # one row each

@@ -81,6 +81,17 @@ def few_shot_prompt(source: Column, exemplars: Column) -> Column:
     return F.array_join(F.concat(head, blocks, tail), "\n")
 
 
+def word_pair_prompt(word_pairs: Column, source: Column) -> Column:
+    """A source behind the line of its words' translations (lexicon.pair_lines); without one where there is none."""
+    asked = F.concat(F.lit("Source: "), source, F.lit("\nEnglish:"))
+    return F.concat(F.coalesce(F.concat(F.lit("[Word pairs]: "), word_pairs.cast("string"), F.lit("\n")), F.lit("")), asked)
+
+
+def instruction_prompt(instruction: Column, source: Column) -> Column:
+    """The ablation of few_shot_prompt: an instruction and no example."""
+    return F.concat(instruction, F.lit("\n\nSource: "), source, F.lit("\nEnglish:"))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """One less the cosine of two arrays of numbers; null where one has no length."""
 

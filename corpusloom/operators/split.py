@@ -67,61 +67,82 @@ def keyed(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.withColumns({"input_key": T.normalize_key(F.col(source)), "output_key": T.normalize_key(F.col(target))})
 
 
-#: Rounds of drop_seen before what is left is scanned in order.
-ROUNDS = 6
+#: Rounds of drop_seen before chains are looked for.
+ROUNDS = 4
 
 
 def drop_seen(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows: split, input_key, output_key and an order. All of train stays; of val, then test, a row stays if no row that stays
     before it has either key.
 
-    A round keeps the rows that come first among the live ones by both keys, and drops the others that share a key with one. Most rows
-    are settled in a few rounds; chains of rows that share keys in turn, which would take a round for every two rows, are left to one
-    ordered scan after ROUNDS of them, whose state is a hash of each key in use.
+    A round settles the rows that come first among the live ones by both keys, which stay, and drops all that share a key with one. In
+    chains, where each row shares a key with the one before it, that would take a round for every two rows; so after ROUNDS rounds also the
+    rows that have one earlier live row in all are settled: such a row stays if that one goes, and the row at the chain's beginning is found
+    by doubling pointers. Rounds end when no row is live. All is done by aggregations and joins on the keys themselves, none by one task.
     """
     train = rows.where("split = 'train'")
     rank = F.when(F.col("split") == "val", 0).otherwise(1)
-    hashed = [F.xxhash64(k).alias(f"_{k}") for k in KEYS]
     live = rows.where("split <> 'train'").select("*", F.struct(rank.alias("r"), *order, F.monotonically_increasing_id().alias("row")).alias("_at"))
     for key in KEYS:
         live = live.join(train.select(key).distinct(), key, "left_anti")
     whole = checkpointed(live)
     # The rounds need the keys and the order only.
-    live, kept = checkpointed(whole.select("_at", *KEYS)), []
-    for _ in range(ROUNDS):
-        if live.isEmpty():
-            break
-        first = [live.groupBy(k).agg(F.min("_at").alias("_at")) for k in KEYS]  # one row a key
-        both = first[0].join(first[1], "_at")
-        kept.append(checkpointed(both))
-        left = live
+    live, kept, k = checkpointed(whole.select("_at", *KEYS)), [], 0
+    while not live.isEmpty():
+        k += 1
+        first = [live.groupBy(key).agg(F.min("_at").alias("_at")) for key in KEYS]  # one row a key
+        both = checkpointed(first[0].join(first[1], "_at"))
+        stays, gone = both.select("_at", *KEYS), None
+        if k > ROUNDS:
+            settled = _chains(live, both)
+            if settled is not None:
+                stays = checkpointed(stays.unionByName(live.join(settled.where("stays").select("_at"), "_at", "left_semi").select("_at", *KEYS)))
+                gone = settled.where("NOT stays").select("_at")
+        kept.append(stays)
+        left = live if gone is None else live.join(gone, "_at", "left_anti")
         for key in KEYS:
-            left = left.join(kept[-1].select(key), key, "left_anti")
+            left = left.join(stays.select(key), key, "left_anti")
         left = checkpointed(left)
         discard(live)
         live = left
-    if not live.isEmpty():
-        rest = live.select("_at", *hashed).repartition(1).sortWithinPartitions("_at")
-        stays = rest.select("_at.row", *(f"_{k}" for k in KEYS)).mapInPandas(_scan, "row long")
-        kept.append(checkpointed(live.withColumn("row", F.col("_at.row")).join(stays, "row", "left_semi").select("_at")))
     out = train
     if kept:
-        at = reduce(DataFrame.unionByName, (k.select("_at") for k in kept))
+        at = reduce(DataFrame.unionByName, (x.select("_at") for x in kept))
         out = out.unionByName(whole.join(at, "_at", "left_semi").drop("_at"))
     return out
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows that stay, of rows in order."""
-    ins, outs = set(), set()
-    for frame in frames:
-        stays = []
-        for row, a, b in zip(frame["row"], frame["_input_key"], frame["_output_key"], strict=True):
-            if a not in ins and b not in outs:
-                ins.add(a)
-                outs.add(b)
-                stays.append(row)
-        yield pd.DataFrame({"row": stays}, dtype="int64")
+def _chains(live: DataFrame, both: DataFrame) -> DataFrame | None:
+    """_at, stays of the live rows that are settled by a chain of rows with one earlier live row each, down to one that comes first by
+    both keys; None if there is no such chain of two."""
+    firsts, seconds = [], []
+    for key in KEYS:
+        first = live.groupBy(key).agg(F.min("_at").alias("first"))
+        second = live.join(first, key).where(F.col("_at") > F.col("first")).groupBy(key).agg(F.min("_at").alias("second"))
+        firsts.append(first.withColumnRenamed("first", f"first_{key}"))
+        seconds.append(second.withColumnRenamed("second", f"second_{key}"))
+    # Only the first two rows of a key can have one earlier row at most, so each key gives two rows, however many it has.
+    few = None
+    for first, second, key in zip(firsts, seconds, KEYS, strict=True):
+        named = first.join(second, key, "left")
+        at = named.select(F.explode(F.array(f"first_{key}", f"second_{key}")).alias("_at"), F.col(f"first_{key}").alias(f"before_{key}")).where("_at IS NOT NULL")
+        few = at if few is None else few.join(at, "_at")
+    before = [F.when(F.col("_at") != F.col(f"before_{key}"), F.col(f"before_{key}")) for key in KEYS]
+    few = few.select("_at", before[0].alias("a"), before[1].alias("b")).where("(a IS NULL) <> (b IS NULL) OR a = b")
+    links = checkpointed(few.select("_at", F.coalesce("a", "b").alias("to"), F.lit(True).alias("odd")))
+    if links.join(links.select(F.col("_at").alias("to")), "to", "left_semi").isEmpty():
+        return None
+    while True:
+        further = links.select(F.col("_at").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        doubled = links.join(further, "to", "left").select("_at", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), F.col("next").isNotNull().alias("moved"))
+        doubled = checkpointed(doubled)
+        moved = not doubled.where("moved").isEmpty()
+        discard(links)
+        links = doubled.drop("moved")
+        links._path = doubled._path
+        if not moved:
+            break
+    return links.join(both.select(F.col("_at").alias("to")), "to", "left_semi").select("_at", (~F.col("odd")).alias("stays"))
 
 
 def audit(rows: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions.words import FUNCTION_WORDS, MARKERS
-from corpusloom.operators import evaluate, generate, prepare, retrieve, split
-from corpusloom.operators.lineage import shared_folder
+from corpusloom.operators import cells, evaluate, generate, lexicon, prepare, retrieve, split
+from corpusloom.operators.lineage import checkpointed, shared_folder
 from corpusloom.plans import workflows
 from corpusloom.sources import artifacts
 from corpusloom.sources import pairs as files
@@ -187,7 +187,7 @@ final AS (SELECT doc_id, split FROM k WHERE split = 'train' UNION ALL SELECT doc
 
 @query(f"WITH RECURSIVE {SCAN} SELECT doc_id, split FROM final")
 def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.drop_seen(word_keyed_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "split")
+    return split.drop_seen(checkpointed(word_keyed_documents(spark, sf_dir)), ["doc_id"]).select("doc_id", "split")
 
 
 @query(
@@ -195,7 +195,7 @@ def cross_boundary_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT split, n_before, n_final, n_before - n_final AS n_dropped, round(n_final / sum(n_final) OVER (), 4) AS ratio FROM n"""
 )
 def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = word_keyed_documents(spark, sf_dir)
+    rows = checkpointed(word_keyed_documents(spark, sf_dir))
     return split.dedup_counts(rows, split.drop_seen(rows, ["doc_id"]))
 
 
@@ -395,11 +395,32 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{NEAR} SELECT query_id, row_id, rank, round(score, 4) AS score FROM t WHERE rank <= 5")
 def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as an index that is written, read back and searched."""
+    """The embeddings as an index that is written with its cells, read back and searched."""
     path = scratch(spark, "index")
     artifacts.write_index(table(spark, sf_dir, "embeddings").drop("label"), path, "given", sf_dir)
     passages, _ = artifacts.read_index(spark, path)
-    return rounded(retrieve.cosine_topk(passages.where("vec_id % 20 = 0"), passages, 5, "vec_id", "vec_id"))
+    cells.write(cells.indexed(passages, "vec_id"), f"{path}/cells")
+    found, _ = cells.search(passages.where("vec_id % 20 = 0"), cells.read(spark, f"{path}/cells"), 5, "vec_id")
+    return rounded(found)
+
+
+LETTER = "abcdefghijklmnopqrstuvwxyz"
+PROFILES = "[" + ", ".join(f"len(regexp_extract_all(lower(coalesce(text, '')), '{x}'))::DOUBLE" for x in LETTER) + "]"
+
+
+@query(
+    f"""WITH e AS MATERIALIZED (SELECT doc_id, v FROM (SELECT doc_id, {PROFILES} AS v FROM documents) WHERE list_sum(v) > 0),
+s AS (SELECT q.doc_id AS query_id, i.doc_id AS row_id, round(list_cosine_similarity(q.v, i.v), 9) AS score FROM e q, e i WHERE q.doc_id % 20 = 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank FROM s)
+SELECT query_id, row_id, rank, round(score, 6) AS score FROM t WHERE rank <= 5"""
+)
+def profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose letters are distributed most alike, exactly, by an index that leaves most of them out."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array(*(F.regexp_count(text, F.lit(x)).cast("double") for x in LETTER)).alias("letters"))
+    rows = checkpointed(rows)
+    found, _ = cells.search(rows.where("doc_id % 20 = 0"), cells.indexed(rows, "doc_id", "letters"), 5, "doc_id", "letters")
+    return rounded(found, 6)
 
 
 @query(ORACLES["register_distance"])
@@ -438,20 +459,21 @@ def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{PAIRS}, q AS (SELECT conv_id, turn, {source_sql(f"translate(coalesce(input, ''), '{LETTERS[0]}', '{LETTERS[1]}')")} AS s, {normal_sql("coalesce(output, '')")} AS t FROM p),
+    f"""{PAIRS}, q AS (SELECT conv_id, turn, {source_sql(f"translate(coalesce(input, ''), '{LETTERS[0]}', '{LETTERS[1]}')")} AS s, {normal_sql("coalesce(output, '')")} AS t FROM (SELECT conv_id, turn, input, output FROM p UNION ALL SELECT conv_id + 1000000, turn, input, output FROM p WHERE conv_id % 4 = 0)),
 r AS (SELECT *, list_filter([CASE WHEN t = '' OR s = '' THEN 'EmptyField' END, CASE WHEN t = s THEN 'SourceEqualsTarget' END, CASE WHEN len(regexp_extract_all(s, '{T.ARABIC}')) < 5 THEN 'LowArabicScriptCount' END, CASE WHEN len(regexp_extract_all(t, '[A-Za-z]')) < 100 THEN 'LowLatinScriptCount' END, CASE WHEN contains(t, chr(65533)) OR contains(s, chr(65533)) THEN 'EncodingErrorChar' END], lambda x: x IS NOT NULL) AS reasons FROM q)
-SELECT CASE WHEN len(reasons) = 0 THEN 'cleaned' ELSE 'dropped' END AS file, sha256(s) AS source_sha256, sha256(t) AS target_sha256, conv_id::VARCHAR AS paragraph_id, turn::VARCHAR AS sentence_id, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ';') END AS rejection_reasons
-FROM (SELECT *, row_number() OVER (PARTITION BY s, t, len(reasons) = 0 ORDER BY conv_id, turn) AS k FROM r) WHERE len(reasons) > 0 OR k = 1"""
+SELECT CASE WHEN len(reasons) = 0 AND k = 1 THEN 'cleaned' ELSE 'dropped' END AS file, sha256(s) AS source_sha256, sha256(t) AS target_sha256, conv_id::VARCHAR AS paragraph_id, turn::VARCHAR AS sentence_id, CASE WHEN len(reasons) > 0 THEN array_to_string(reasons, ';') WHEN k > 1 THEN 'Duplicate' END AS rejection_reasons
+FROM (SELECT *, row_number() OVER (PARTITION BY s, t, len(reasons) = 0 ORDER BY conv_id, turn) AS k FROM r)"""
 )
 def prepared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of turns as a TSV that is prepared; the rows of the cleaned and dropped files, but for later copies of a pair, as which copy
-    comes first depends on how the file is dealt."""
+    """Pairs of turns, and a fourth of them once more behind all others, as TSV files in order that are prepared; the rows of the cleaned and
+    dropped files. A later copy of a pair is one by its record number."""
     folder = scratch(spark, "prepared")
-    rows = pairs(spark, sf_dir).orderBy("conv_id", "turn").select(F.translate("input", *LETTERS).alias("source_text"), F.col("output").alias("target_text"), F.lit("turns").alias("source_name"), F.col("conv_id").alias("paragraph_id"), F.col("turn").alias("sentence_id"))
-    files.write_tsv(rows.coalesce(1), f"{folder}/in")
+    rows = pairs(spark, sf_dir)
+    rows = rows.unionByName(rows.where("conv_id % 4 = 0").withColumn("conv_id", F.col("conv_id") + 1_000_000)).orderBy("conv_id", "turn").select(F.translate("input", *LETTERS).alias("source_text"), F.col("output").alias("target_text"), F.lit("turns").alias("source_name"), F.col("conv_id").alias("paragraph_id"), F.col("turn").alias("sentence_id"))
+    files.write_tsv(rows, f"{folder}/in")
     workflows.prepared_files(spark, f"{folder}/in", folder, "turns", header=True, min_arabic=5, min_latin=100)
     good = files.read_tsv(spark, f"{folder}/turns_cleaned.tsv", header=True).select(F.lit("cleaned").alias("file"), *files.SENTENCES, F.lit(None).cast("string").alias("rejection_reasons"))
-    bad = files.read_tsv(spark, f"{folder}/turns_dropped.tsv", ["unit_type", *files.SENTENCES, "rejection_reasons"], header=True).where("rejection_reasons <> 'Duplicate'")
+    bad = files.read_tsv(spark, f"{folder}/turns_dropped.tsv", ["unit_type", *files.SENTENCES, "rejection_reasons"], header=True)
     out = good.unionByName(bad.select(F.lit("dropped").alias("file"), *files.SENTENCES, "rejection_reasons"))
     return out.select("file", F.sha2("source_text", 256).alias("source_sha256"), F.sha2("target_text", 256).alias("target_sha256"), "paragraph_id", "sentence_id", "rejection_reasons")
 
@@ -489,13 +511,55 @@ def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.spearman(docs, "lang", "n_chars", "e"), 6)
 
 
-@query()
+MIXED = "r AS (SELECT *, (h::UHUGEINT + k::UHUGEINT * " + f"{evaluate.STEP}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x0 FROM s, (SELECT unnest(range(1, 201)) AS k))"
+for place, m in enumerate(evaluate.MIX):
+    MIXED += f", r{place} AS (SELECT *, (xor(x{place}, x{place} >> 33) * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT AS x{place + 1} FROM r{place - 1 if place else ''})"
+
+
+@query(
+    f"""{PAIRS}, s AS (SELECT ('0x' || md5(conv_id || '/' || turn)[1:15])::BIGINT AS h, (length(output) - length(input))::DOUBLE AS d FROM p WHERE input IS NOT NULL AND output IS NOT NULL),
+{MIXED}, u AS (SELECT k, d, (xor(x2, x2 >> 33) >> 11)::DOUBLE / 9007199254740992 AS u FROM r1),
+m AS (SELECT k, sum(d * w) / sum(w) AS mean FROM (SELECT k, d, {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in evaluate.POISSON)} AS w FROM u) GROUP BY k)
+SELECT (SELECT count(*) FROM s) AS n, round((SELECT avg(d) FROM s), 4) AS difference, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m"""
+)
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampling by a hash that SQL elsewhere lacks; the tests compare it with loops."""
+    """The mean difference in length of answers and questions, with bounds by resampling."""
     rows = pairs(spark, sf_dir).select(F.concat_ws("/", "conv_id", "turn").alias("segment"), F.length("input").alias("one"), F.length("output").alias("other"))
     return rounded(evaluate.paired_bootstrap(rows, "segment", "one", "other", 200))
 
 
+def words_sql(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '{S}+'), lambda x: x <> '')"
+
+
+ROUNDS = 3
+#: A round of expectation and maximisation after another, over the words that meet.
+ASSOCIATED = f"""g AS (SELECT row_number() OVER () AS pair, {words_sql("input")} AS s, {words_sql("output")} AS t FROM p),
+a AS (SELECT pair, s, count(*) AS n_s FROM (SELECT pair, unnest(s) AS s FROM g) GROUP BY ALL), b AS (SELECT pair, t, count(*) AS n_t FROM (SELECT pair, unnest(t) AS t FROM g) GROUP BY ALL),
+m AS MATERIALIZED (SELECT pair, s, n_s, t, n_t FROM a JOIN b USING (pair)), q0 AS (SELECT DISTINCT s, t, 1.0::DOUBLE AS p FROM m)"""
+for place in range(ROUNDS):
+    ASSOCIATED += f""", e{place} AS (SELECT s, t, sum(c) AS c FROM (SELECT s, t, n_t * n_s * p / sum(n_s * p) OVER (PARTITION BY pair, t) AS c FROM m JOIN q{place} USING (s, t)) GROUP BY ALL),
+q{place + 1} AS MATERIALIZED (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM e{place})"""
+TRANSLATED = f"{ASSOCIATED}, best AS (SELECT s, t, round(p, 9) AS p, row_number() OVER (PARTITION BY s ORDER BY round(p, 9) DESC, t) AS rank FROM q{ROUNDS})"
+
+
+@query(f"{PAIRS}, {TRANSLATED} SELECT s, t, p, rank FROM best WHERE rank <= 3")
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three likeliest words of answers for each word of questions, as if these were translations."""
+    return lexicon.word_pairs(lexicon.translations(pairs(spark, sf_dir), "input", "output", ROUNDS), 3)
+
+
+@query(
+    f"""{PAIRS}, {TRANSLATED}, h AS (SELECT conv_id, turn, {words_sql("input")} AS s FROM p), w AS (SELECT conv_id, turn, unnest(list_distinct(s)) AS s, s AS own FROM h)
+SELECT conv_id, turn, sha256(string_agg(s || ' → ' || t, ' | ' ORDER BY list_position(own, s))) AS word_pairs_sha256 FROM w JOIN best USING (s) WHERE rank = 1 GROUP BY conv_id, turn"""
+)
+def word_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of word pairs that goes before a question in a prompt."""
+    rows = pairs(spark, sf_dir).withColumn("row", F.struct("conv_id", "turn"))
+    best = lexicon.word_pairs(lexicon.translations(rows, "input", "output", ROUNDS), 1)
+    return lexicon.pair_lines(rows, "row", "input", best).select("row.conv_id", "row.turn", F.sha2("word_pairs", 256).alias("word_pairs_sha256"))
+
+
 @query(
     f"""{NEAR}, {TEXTS}, k AS (SELECT unnest([1, 2, 4]) AS shots)
 SELECT query_id, shots, string_agg('Source: ' || x.input || chr(10) || 'English: ' || x.output || chr(10), chr(10) ORDER BY rank DESC) AS examples FROM t JOIN x ON x.vec_id = row_id JOIN k ON rank <= shots GROUP BY query_id, shots"""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+from . import scan
+
 SENTENCES = ["source_text", "target_text", "source_name", "paragraph_id", "sentence_id"]
 PARAGRAPHS = SENTENCES[:4]
 TRAINING = "input string, output string, metadata struct<source:string,type:string>"
@@ -17,12 +19,11 @@ PREDICTIONS = "input string, output string, prediction string, condition string,
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str] = SENTENCES, header: bool = False) -> DataFrame:
-    """All columns as strings, with a record order. Missing texts and names are empty, missing ids null; further cells are ignored.
-    CR LF inside a cell is read as LF."""
-    schema = ", ".join(f"{c} string" for c in columns)
-    rows = spark.read.csv(path, schema=schema, sep="\t", quote='"', escape='"', header=header, multiLine=True, mode="PERMISSIVE", enforceSchema=True, maxCharsPerColumn=-1)
-    texts = [c for c in columns if not c.endswith("_id")]
-    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts} | {"record": F.monotonically_increasing_id()})
+    """All columns as strings, with the number of the record, in files of any size (see scan). Missing texts and names are empty,
+    missing and empty ids null; further cells are ignored."""
+    rows = scan.records(spark, path, header)
+    cell = lambda k, c: F.nullif(F.get("cells", F.lit(k)), F.lit("")) if c.endswith("_id") else F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
+    return rows.select(*(cell(k, c).alias(c) for k, c in enumerate(columns)), "record")
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

@@ -15,7 +15,7 @@ def test_cells_come_back_from_a_tsv_as_they_were(spark, tmp_path):
     rows = spark.createDataFrame([(c, cells[-k - 1], f"n{k}", str(k), None) for k, c in enumerate(cells)], "source_text string, target_text string, source_name string, paragraph_id string, sentence_id string")
     pairs.write_tsv(rows.repartition(3), str(tmp_path / "out"))
     got = {r["paragraph_id"]: r for r in pairs.read_tsv(spark, str(tmp_path / "out"), header=True).collect()}
-    assert {k: (r["source_text"], r["target_text"]) for k, r in got.items()} == {str(k): tuple((x or "").replace("\r\n", "\n") for x in (c, cells[-k - 1])) for k, c in enumerate(cells)}
+    assert {k: (r["source_text"], r["target_text"]) for k, r in got.items()} == {str(k): tuple(x or "" for x in (c, cells[-k - 1])) for k, c in enumerate(cells)}
     raw = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("part-*"))
     assert raw.startswith(b"source_text\ttarget_text\tsource_name\tparagraph_id\tsentence_id\r\n") and b'"x\ny"' in raw and b'"x\r\ny"' in raw
     pairs.write_tsv(rows.limit(0), str(tmp_path / "none"))
@@ -35,15 +35,6 @@ def test_every_row_gets_the_split_of_its_group(spark, monkeypatch):
         assert len(got) == 40 and {(r["work"], r["split"], r["work_rank"]) for r in got} == {("<unknown>", "train", 0), ("a", "train", 1), ("b", "test", 2)}
 
 
-def test_a_long_chain_takes_a_bounded_number_of_rounds(spark, monkeypatch):
-    chain = [(k, "test", f"x{k // 2}", f"y{(k + 1) // 2}") for k in range(2000)]
-    rows = spark.createDataFrame(chain, "id int, split string, input_key string, output_key string")
-    made = []
-    monkeypatch.setattr(split, "checkpointed", lambda df, own=split.checkpointed: made.append(1) or own(df))
-    got = split.drop_seen(rows, ["id"])
-    assert {r["id"] for r in got.collect()} == set(range(0, 2000, 2)) and len(made) <= 3 + 2 * split.ROUNDS
-
-
 def test_dropped_rows_are_counted(spark):
     rows = spark.createDataFrame([(1, "train", "a", "b"), (2, "val", "a", "c"), (3, "val", "d", "e"), (4, "test", "d", "f")], "id int, split string, input_key string, output_key string")
     got = {r["split"]: tuple(r)[1:] for r in split.dedup_counts(rows, split.drop_seen(rows, ["id"])).collect()}
@@ -149,3 +140,30 @@ def test_resampled_bounds_hold_the_difference(spark):
     error = (sum((x - mean) ** 2 for x in own) / 400 / 400) ** 0.5
     assert got["n"] == 400 and got["difference"] == pytest.approx(mean)
     assert got["low"] == pytest.approx(mean - 1.96 * error, abs=0.4 * error) and got["high"] == pytest.approx(mean + 1.96 * error, abs=0.4 * error)
+
+
+def test_resampling_is_that_of_loops(spark):
+    import hashlib
+
+    r = random.Random(6)
+    rows = [(f"s{k}", r.random(), r.random() if k % 9 else None) for k in range(150)]
+
+    def weight(segment, k):
+        x = (int(hashlib.md5(segment.encode()).hexdigest()[:15], 16) + k * evaluate.STEP) % 2**64
+        for m in evaluate.MIX:
+            x = (x ^ x >> 33) * m % 2**64
+        u = ((x ^ x >> 33) >> 11) / 2**53
+        return sum(u >= p for p in evaluate.POISSON)
+
+    own = [(s, b - a) for s, a, b in rows if b is not None]
+    means = []
+    for k in range(1, 41):
+        w = [weight(s, k) for s, _ in own]
+        means.append(sum(x * d for x, (_, d) in zip(w, own)) / sum(w))
+    got = evaluate.paired_bootstrap(spark.createDataFrame(rows, "s string, a double, b double").repartition(3), "s", "a", "b", 40, 0.9).first()
+    means.sort()
+    at = lambda q: means[int(q * 39)] + (q * 39 - int(q * 39)) * (means[min(39, int(q * 39) + 1)] - means[int(q * 39)])
+    assert (got["n"], got["difference"]) == (len(own), pytest.approx(sum(d for _, d in own) / len(own)))
+    assert got["low"] == pytest.approx(at(0.05)) and got["high"] == pytest.approx(at(0.95))
+    none = evaluate.paired_bootstrap(spark.createDataFrame([], "s string, a double, b double"), "s", "a", "b", 5).first()
+    assert none["n"] == 0 and none["low"] is None
