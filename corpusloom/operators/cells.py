@@ -2,7 +2,8 @@
 
 Angles between unit vectors are a metric, so with c the centroid of a row's cell, angle(q, row) is at least |angle(q, c) - angle(row, c)|.
 The rows of a cell are dealt to rings of BIN_WIDTH by their angle to the centroid, and each ring knows its least and greatest one, which
-bounds the angle between a query and any of its rows. A query first meets the rings with the least bounds that hold k rows; the k-th
+bounds the angle between a query and any of its rows. A query first meets the rings with the least bounds that hold k rows, or FIRST_ROWS
+if that is more; the k-th
 best angle found there is a limit, and it then meets only the other rings whose bound is below that. Nothing depends on how good the
 centroids are but the work: the result is that of all pairs. Vectors that are spread evenly over a sphere of many dimensions, where no
 two are near, leave no ring out; vectors with any structure do.
@@ -30,7 +31,7 @@ from corpusloom.sources import artifacts
 from .lineage import checkpointed
 from .retrieve import BLOCK_ROWS, best_of
 
-SAMPLE_ROWS, CELLS, BIN_WIDTH, DIGITS = 50_000, 1024, 1 / 32, 9
+SAMPLE_ROWS, CELLS, FIRST_ROWS, BIN_WIDTH, DIGITS = 50_000, 1024, 500, 1 / 32, 9
 #: What angles may be off by, as the angle of nearly equal vectors is known to the root of a double's precision only.
 SLACK = 1e-6
 
@@ -51,14 +52,14 @@ def angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def centroids(rows: DataFrame, vector: str, cells: int | None = None) -> np.ndarray:
-    """Unit centroids fitted on a sample of bounded size; as many as the root of the rows, CELLS at most, unless given."""
+    """Unit centroids fitted on a sample of bounded size; four times the root of the rows, CELLS at most, unless given."""
     good = rows.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
     good = good.where(F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x).between(1e-300, 1e300))  # NaN is greater than all
     n = good.count()
     if not n:
         return np.zeros((0, 1))
     sample = checkpointed(good.orderBy(F.xxhash64("v")).limit(SAMPLE_ROWS), "sample").select(array_to_vector("v").alias("features"))
-    k = min(cells or int(np.ceil(np.sqrt(n))), CELLS, n)
+    k = min(cells or int(np.ceil(4 * np.sqrt(n))), CELLS, n)
     if k == 1:
         found = [sample.first()["features"].toArray()]
     else:
@@ -119,7 +120,7 @@ def _bounds(v: np.ndarray, centers: np.ndarray, cell: np.ndarray, low: np.ndarra
 
 
 def _visits(queries: DataFrame, index: Index, k: int, again: bool) -> DataFrame:
-    """q, v, block (a ring) that a query meets: at first the ones of least bounds with k rows, then all others below its limit."""
+    """q, v, block (a ring) that a query meets: at first the ones of least bounds with k rows or FIRST_ROWS, then all others below its limit."""
     cell, low, high, n = (index.rings[c].to_numpy() for c in ("cell", "low", "high", "n"))
     centers = index.centers
 
@@ -134,7 +135,7 @@ def _visits(queries: DataFrame, index: Index, k: int, again: bool) -> DataFrame:
                 order = np.argsort(bound, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]
                 first = np.zeros(bound.shape, bool)
-                np.put_along_axis(first, order, before < k, 1)
+                np.put_along_axis(first, order, before < max(k, FIRST_ROWS), 1)
                 meets = first
                 if again:
                     meets = ~first & (bound <= frame["limit"].to_numpy()[at, None])

@@ -46,6 +46,7 @@ def clustered(r, n, groups=12, spread=0.15):
 
 def test_clusters_are_pruned_and_the_result_is_that_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(cells, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(cells, "FIRST_ROWS", 20)
     r = np.random.default_rng(3)
     vectors = clustered(r, 900)
     vectors += [vectors[5], vectors[5], vectors[17] * 3, np.zeros(16), np.full(16, np.nan), None, -vectors[4]]
