@@ -44,6 +44,20 @@ def joined_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return left.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, on, how)
 
 
+#: Copies of a table that is joined with an uneven one.
+SALTS = 32
+
+
+def joined_within(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins left, of which a key may have any share of the rows, with a stored table of some rows a key: it is broadcast behind a count;
+    beyond that, each of its rows is dealt out SALTS times, and left is spread among these."""
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.hash(*(c for c, kind in left.dtypes if "map<" not in kind)), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    return salted.join(right.select("*", salts), [*on, "_salt"], how).drop("_salt")
+
+
 def joined_texts(texts: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
     """Joins rows that hold whole texts on k1 and k2: always one shuffle of them, so that the plan is alike at every size."""
     return texts.join(keys.hint("merge"), ["k1", "k2"], how)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .base import BROADCAST_ROWS, attached, partitions, slices, stored
+from .base import attached, joined_within, partitions, slices, stored
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,7 +37,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEAST_DOCS, UNIT, RANKS = 10, 1_000_000_000, 10
 #: Bytes of text a query of the first pass takes, rows after which a task adds up what it holds, rows of a batch that leaves it.
 TEXT, COMPACT, BATCH = 8 << 20, 2_000_000, 50_000
-SALTS = 32
 
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("d", pa.int64())])
 SUMS = "lang string, source string, item string, value long, part string"
@@ -147,16 +146,6 @@ def value(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def within(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Joins each row of left with all rows of right of the same key: right is broadcast behind a count; beyond it, right is dealt out to
-    SALTS times as many keys, among which the rows of left are spread."""
-    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), on)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salted = left.withColumn("salt", F.pmod(F.hash(*left.columns), F.lit(SALTS)))
-    return salted.join(right.select("*", salts), [on, "salt"]).drop("salt")
-
-
 def audited(docs: DataFrame) -> DataFrame:
     """lang, source, part (pair, term), item, value, rank of each source of a language."""
     shards = partitions(docs.sparkSession)
@@ -178,11 +167,11 @@ def audited(docs: DataFrame) -> DataFrame:
 
     none = F.when(F.col("v") > 0, share(F.lit(0).cast("long"), F.col("size")))
     bare = groups.select("lang", F.col("source").alias("item"), none.alias("q0"))
-    base = within(groups.select("lang", "source", "v", none.alias("p0")), bare, "lang").where("source <> item")
+    base = joined_within(groups.select("lang", "source", "v", none.alias("p0")), bare, ["lang"]).where("source <> item")
     base = base.select("lang", "source", "item", F.when(F.col("v") > 0, F.col("v") * value(F.col("p0"), F.col("q0"))).otherwise(0).alias("value"))
     alike = of_term.groupBy("lang", "source", "n", "size").agg(F.count("*").alias("terms"))
     alike = alike.select("lang", "source", "terms", share(F.col("n"), F.col("size")).alias("p"), share(F.lit(0).cast("long"), F.col("size")).alias("p0"))
-    ones = within(alike, bare, "lang").where("source <> item")
+    ones = joined_within(alike, bare, ["lang"]).where("source <> item")
     ones = ones.groupBy("lang", "source", "item").agg(F.sum(F.col("terms") * (value(F.col("p"), F.col("q0")) - value(F.col("p0"), F.col("q0")))).alias("value"))
     both = ones.unionByName(sums.where("part = 'pair'").drop("part"))
     both = both.unionByName(both.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value"))

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by temperature, realised as budgeted block permutations.
 
-A source with token share p gets weight p**a, normalised. The exponent a is bisected in [0, 1] to the flattest mixture that meets
-the repetition limit or, if given, to the steepest one that still has the target entropy (the repetition limit goes first). The
-documents of a source are dealt by hash to blocks of about `block_tokens` tokens, LEAST_BLOCKS of them at least, so that small
+A source with token share p gets weight p**a, normalised. The exponent a is bisected in [0, 1]: to the flattest mixture that meets
+the repetition limit, or to the one with the target entropy if there is one, unless that needs more repetition. The target may be given in
+nats, or by its place between the entropy of the sources' own shares (0) and that of equal ones (1), which is a mixture that really lies
+between them on any table whose sources are not equal. `solution` gives the exponent and what it reaches. The documents of a source are dealt by hash to blocks of about `block_tokens` tokens, LEAST_BLOCKS of them at least, so that small
 sources are permuted as well. An epoch of a source is a permutation of its blocks by hash; its budget takes whole epochs and then a
 part of one more: blocks in that epoch's order, and within the last block documents in hash order until the budget is met, so it is
 missed by less than one document, or one group of repeated rows, which are taken alike.
@@ -18,6 +19,7 @@ whatever their names; an empty table gives no row.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +36,27 @@ def keyed(docs: DataFrame, kept: list[Column]) -> DataFrame:
     return docs.select(*kept, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("_tokens"), F.xxhash64(F.col("doc_id"), text_of(), F.lit(SEED)).alias("_h"))
 
 
-def solve_exponent(totals: DataFrame, tokens: float, max_epochs: float, entropy: float | None, budget: float | None, keep_all: bool) -> tuple[float, float]:
-    """(exponent, budget in tokens) for stored totals (_source, total)."""
+@dataclass(frozen=True)
+class Target:
+    """What a mixture is bisected to: the most epochs of a source, and an entropy in nats, or an evenness from 0 (that of the sources'
+    own shares) to 1 (that of equal shares)."""
+
+    max_epochs: float = 4.0
+    entropy: float | None = None
+    evenness: float | None = None
+
+
+@dataclass(frozen=True)
+class Solution:
+    exponent: float
+    entropy: float
+    target: float | None
+    epochs: float
+    budget: float
+
+
+def solve_exponent(totals: DataFrame, tokens: float, target: Target, budget: float | None, keep_all: bool) -> Solution:
+    """The exponent for stored totals (_source, total), with the entropy, the most epochs of a source and the budget it makes."""
     share = F.col("total") / F.lit(float(tokens))
 
     def measures(exponents: list[float]) -> list[tuple[float, float, float]]:
@@ -53,7 +74,7 @@ def solve_exponent(totals: DataFrame, tokens: float, max_epochs: float, entropy:
         return out
 
     def fits(m: tuple[float, float, float]) -> bool:
-        return m[2] <= max_epochs * (1 + 1e-9)
+        return m[2] <= target.max_epochs * (1 + 1e-9)
 
     def bisect(holds) -> float:
         """The end of [0, 1] nearer to 1 of the interval at which `holds` turns true."""
@@ -72,20 +93,37 @@ def solve_exponent(totals: DataFrame, tokens: float, max_epochs: float, entropy:
         return high
 
     exponent = bisect(fits)
+    entropy = target.entropy
+    if target.evenness is not None:
+        flat, own = (m[0] for m in measures([0.0, 1.0]))
+        entropy = own + target.evenness * (flat - own)
     if entropy is not None:
-        # Entropy falls as the exponent rises: look for the steepest that still has it.
+        # Entropy falls as the exponent rises.
         exponent = max(exponent, bisect(lambda m: m[0] <= entropy))
-    return exponent, measures([exponent])[0][1]
+    reached, size, epochs = measures([exponent])[0]
+    return Solution(exponent, reached, entropy, epochs, size)
 
 
-def plan(rows: DataFrame, max_epochs: float, entropy: float | None, budget: float | None, keep_all: bool, block_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(sources, blocks) for stored keyed rows: each source's weight, epochs and number of blocks; each block's copies and cutoff."""
-    totals = stored(rows.groupBy("_source").agg(F.sum("_tokens").alias("total")), "mix-totals")
+def solved(totals: DataFrame, target: Target, budget: float | None, keep_all: bool) -> tuple[int, Solution]:
+    """(tokens, solution) of stored totals; without any token the exponent is 1."""
     tokens = totals.agg(F.sum("total")).first()[0] or 0
-    if not tokens:
-        exponent, size, z = 1.0, 0.0, 1.0
-    else:
-        exponent, size = solve_exponent(totals, tokens, max_epochs, entropy, budget, keep_all)
+    return tokens, solve_exponent(totals, tokens, target, budget, keep_all) if tokens else Solution(1.0, 0.0, None, 0.0, 0.0)
+
+
+def totals_of(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("_source").agg(F.sum("_tokens").alias("total")), "mix-totals")
+
+
+def solution(docs: DataFrame, target: Target, budget: float | None = None, keep_all: bool = False) -> Solution:
+    return solved(totals_of(keyed(docs, [])), target, budget, keep_all)[1]
+
+
+def plan(rows: DataFrame, target: Target, budget: float | None, keep_all: bool, block_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(sources, blocks) for stored keyed rows: each source's weight, epochs and number of blocks; each block's copies and cutoff."""
+    totals = totals_of(rows)
+    tokens, found = solved(totals, target, budget, keep_all)
+    exponent, size, z = found.exponent, found.budget, 1.0
+    if tokens:
         z = totals.where("total > 0").agg(F.sum(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(exponent)))).first()[0]
     weight = F.when(F.col("total") > 0, F.pow(F.col("total") / F.lit(float(max(tokens, 1))), F.lit(exponent)) / F.lit(z)).otherwise(0.0)
     quota = F.round(weight * F.lit(size)).cast("long")
@@ -125,18 +163,18 @@ def with_copies(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataF
     return out.withColumn("places", F.slice("places", F.lit(1), F.col("copies")))
 
 
-def schedule(docs: DataFrame, max_epochs: float = 4.0, entropy: float | None = None, budget: float | None = None, keep_all: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def schedule(docs: DataFrame, target: Target = Target(), budget: float | None = None, keep_all: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, source, n_tokens, block, weight, copies of each row, how often the mixture takes it; places, the epoch and the block's
     position in it for each copy; draw, by which the rows of a block are ordered. A source's order is by epoch, position, draw."""
     rows = stored(keyed(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "mix")
-    out = with_copies(rows, *plan(rows, max_epochs, entropy, budget, keep_all, block_tokens))
+    out = with_copies(rows, *plan(rows, target, budget, keep_all, block_tokens))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"), "weight", "copies", "places", draw("_h").alias("draw"))
 
 
-def mixed_documents(docs: DataFrame, max_epochs: float = 4.0, entropy: float | None = None, budget: float | None = None, keep_all: bool = True, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def mixed_documents(docs: DataFrame, target: Target = Target(), budget: float | None = None, keep_all: bool = True, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents with their own columns, each as often as the mixture takes it, in no particular order (see schedule)."""
     small = stored(keyed(docs, []), "mix")
-    sources, blocks = plan(small, max_epochs, entropy, budget, keep_all, block_tokens)
+    sources, blocks = plan(small, target, budget, keep_all, block_tokens)
     rows = keyed(docs, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")])
     out = with_copies(rows, sources, blocks).where("copies > 0")
     return out.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

@@ -1,11 +1,12 @@
 """Quality rules with adaptive thresholds, in DataFrame expressions only.
 
-Each metric of a document goes into a mergeable quantile sketch of its language and source: counts of log-linear buckets that keep
-the seven leading bits of a value, so a quantile is off by less than 1 in 64 and sketches merge by adding counts, in any order
-and with the same result. A threshold lies FENCE spreads (quartile distance, at least the metric's least spread) beyond the
-quartile. The quartiles of a group are drawn to those of its language, and these to those of all documents, as if PRIOR documents more
-had the latter; so a large group has its own, a small one nearly its language's, and no size is a switch. Where all quartile distances
-are below the least spreads, as in the supplied tables, these decide, and the thresholds are fixed cutoffs beside the quartiles.
+Each metric of a document that passes the base rule goes into a mergeable quantile sketch of its language and source: counts of log-linear
+buckets that keep the seven leading bits of a value, so a quantile is off by less than 1 in 64 and sketches merge by adding counts, in
+any order and with the same result. A threshold lies FENCE times as far from the median as the metric's tail quantile does, beyond that quantile.
+The quantiles of a group are drawn to those of its language, and these to those of all documents, as if PRIOR documents more had the
+latter; so a large group has its own, a small one nearly its language's, and no size is a switch. There are no least spreads: where
+nearly all documents have a metric of zero, the threshold is zero too. What a document may have beyond a threshold is a number of single
+events (symbols, lines, words), as a share in a short text says little.
 
 Defined cases: a null text has no words and fails the base rule, as does any text of under ten words; null lang or source count as
 an empty string; a very long text is measured whole; repeated rows are judged alike and each one counts in the sketches; extra columns are kept by `kept_documents`,
@@ -17,13 +18,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACE, discard, joined_small, joined_texts, row_keys, stored, text_of, whole_row
+from .base import SPACE, joined_within, stored, text_of, whole_row
 
-PRIOR, FENCE, WINDOW = 50, 3, 5
+PRIOR, FENCE, WINDOW = 50, 2, 5
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Metric: least spread, and whether low values are fenced as well. Shares are in thousandths, word length in hundredths of a character.
-RULES = {"symbol_share": (100, False), "dup_line_share": (100, False), "repeat_share": (50, False), "word_length": (100, True)}
+#: Metric: what it counts, of what, its unit, the percentile of its tail, events allowed beyond a threshold, and whether low values are
+#: fenced as well. Junk may be up to a quarter of a source's documents by symbols; repeats are rarer, but of any size.
+RULES = {
+    "symbol_share": ("n_symbols", "n_words", 1000, 75, 3, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 97, 1, False),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, 97, 2 * WINDOW, False),
+    "word_length": ("word_chars", "n_words", 100, 95, 40, True),
+}
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -48,11 +55,11 @@ def measured(docs: DataFrame, kept: list[Column]) -> DataFrame:
     windows = F.transform("_hashes", lambda h, i: F.xxhash64(h, *(F.get("_hashes", i + k) for k in range(1, WINDOW))))
     rows = rows.select(
         *names,
-        F.size("_lines").cast("long").alias("_n_lines"),
+        F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.slice(windows, 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0))).alias("_windows"),
     )
-    names += ["_n_lines", "n_dup_lines"]
+    names += ["n_lines", "n_dup_lines"]
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
     placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rows = rows.select(*names, F.when(some, placed).alias("_placed"))
@@ -60,17 +67,13 @@ def measured(docs: DataFrame, kept: list[Column]) -> DataFrame:
     rows = rows.select(*names, F.sort_array(F.transform(again, lambda x: x["i"])).alias("_at"))
     covered = F.aggregate(F.transform("_at", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda n, x: n + x)
     rows = rows.select(*names, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
-    n = F.greatest("n_words", F.lit(1).cast("long"))
-    share = lambda c, of: F.floor(F.col(c) * 1000 / of).cast("long")
-    return rows.withColumns(
-        {
-            "symbol_share": share("n_symbols", n),
-            "dup_line_share": share("n_dup_lines", F.greatest("_n_lines", F.lit(1).cast("long"))),
-            "repeat_share": share("n_repeat_words", n),
-            "word_length": F.floor(F.col("word_chars") * 100 / n).cast("long"),
-            "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
-        }
-    ).drop("_n_lines")
+    rows = rows.withColumns(
+        {m: F.floor(F.col(c) * unit / F.greatest(F.col(of), F.lit(1).cast("long"))).cast("long") for m, (c, of, unit, *_) in RULES.items()}
+        | {"base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))}
+    )
+    # Through a generator, as a condition on a count would be worked out from the text once more below the steps above.
+    others = [c for c in names if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines")]
+    return rows.select(*others, F.explode(F.array(F.struct(*(c for c in rows.columns if c not in others)))).alias("_m")).select(*others, "_m.*")
 
 
 def bucket(value: Column) -> Column:
@@ -80,70 +83,73 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Bucket counts of every metric: _lang, _source, metric, bucket, n."""
+    """Bucket counts of every metric, of the documents that pass the base rule: _lang, _source, metric, bucket, n."""
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in RULES)))
-    return rows.select("_lang", "_source", pairs.alias("p")).select("_lang", "_source", "p.*").groupBy("_lang", "_source", "metric", "bucket").agg(F.count("*").alias("n"))
+    return rows.where(~F.col("base_failed")).select("_lang", "_source", pairs.alias("p")).select("_lang", "_source", "p.*").groupBy("_lang", "_source", "metric", "bucket").agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """_lang, _source and for each metric m: m_low, m_high; a row for each language and source."""
     levels = {"own": ["_lang", "_source"], "lang": ["_lang"], "all": []}
+    tail = F.element_at(F.create_map(*(F.lit(x) for m, (_, _, _, percent, _, _) in RULES.items() for x in (m, percent))), F.col("metric"))
     tables = {}
     for level, keys in levels.items():
         merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
         group = Window.partitionBy(*keys, "metric")
         merged = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bucket")), "of": F.sum("n").over(group)})
-        quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("of"), F.col("bucket")))
-        tables[level] = merged.groupBy(*keys, "metric").agg(quartile(1).alias(f"{level}_q1"), quartile(3).alias(f"{level}_q3"), F.max("of").alias(f"{level}_n"))
+        quantile = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("of"), F.col("bucket")))
+        found = {"low": quantile(100 - tail), "mid": quantile(50), "high": quantile(tail)}
+        tables[level] = merged.groupBy(*keys, "metric").agg(*(q.alias(f"{level}_{name}") for name, q in found.items()), F.max("of").alias(f"{level}_n"))
     out = tables["own"].join(tables["lang"], ["_lang", "metric"]).join(tables["all"], ["metric"])
     drawn = lambda n, q, to: F.call_function("div", n * q + PRIOR * to, n + PRIOR)
     of_lang = lambda q: drawn(F.col("lang_n"), F.col(f"lang_{q}"), F.col(f"all_{q}"))
-    out = out.select("_lang", "_source", "metric", *(drawn(F.col("own_n"), F.col(f"own_{q}"), of_lang(q)).alias(q) for q in ("q1", "q3")))
+    out = out.select("_lang", "_source", "metric", *(drawn(F.col("own_n"), F.col(f"own_{q}"), of_lang(q)).alias(q) for q in ("low", "mid", "high")))
     own = lambda m, c: F.max(F.when(F.col("metric") == m, c))
     columns = []
-    for m, (least, _) in RULES.items():
-        spread = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        columns += [own(m, F.col("q1") - spread).alias(f"{m}_low"), own(m, F.col("q3") + spread).alias(f"{m}_high")]
+    for m in RULES:
+        columns += [own(m, F.col("low") - FENCE * (F.col("mid") - F.col("low"))).alias(f"{m}_low"), own(m, F.col("high") + FENCE * (F.col("high") - F.col("mid"))).alias(f"{m}_high")]
     return out.groupBy("_lang", "_source").agg(*columns)
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """Adds kept to stored measured rows: not base_failed, and within the thresholds of their language and source."""
-    limits = stored(thresholds(sketches(rows)), "quality-thresholds")
-    good = ~F.col("base_failed")
-    for m, (_, low) in RULES.items():
-        good &= F.col(m) <= F.col(f"{m}_high")
+def fences(rows: DataFrame) -> DataFrame:
+    """The thresholds of measured rows, stored."""
+    return stored(thresholds(stored(sketches(rows), "quality-sketches")), "quality-thresholds")
+
+
+def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds kept to measured rows: not base_failed, and within the thresholds of their language and source."""
+    within = F.lit(True)
+    for m, (count, of, unit, _, events, low) in RULES.items():
+        within &= unit * F.col(count) <= F.col(f"{m}_high") * F.col(of) + unit * events
         if low:
-            good &= F.col(m) >= F.col(f"{m}_low")
-    return joined_small(rows, limits, ["_lang", "_source"]).withColumn("kept", good)
+            within &= unit * F.col(count) >= F.col(f"{m}_low") * F.col(of) - unit * events
+    return joined_within(rows, limits, ["_lang", "_source"], "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False)))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept of each row."""
     rows = stored(measured(docs, [F.col("doc_id").cast("long").alias("doc_id")]), "quality")
-    return judged(rows).select("doc_id", *BASE, "base_failed", "kept")
+    return judged(rows, fences(rows)).select("doc_id", *BASE, "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns; what is rejected is looked up by the rows' keys in a second reading."""
-    rows = stored(measured(docs, row_keys(docs, "lang", "source")), "quality")
-    rejected = stored(judged(rows).where("not kept").select("k1", "k2").distinct(), "rejected")
-    discard(rows)
-    whole = docs.select(whole_row(docs), *row_keys(docs, "lang", "source"))
-    return joined_texts(whole, rejected, "left_anti").select("_doc.*")
+    """The documents that pass, with their own columns: one reading for the thresholds and one that filters, where each text stays."""
+    limits = fences(measured(docs, []))
+    return judged(measured(docs, [whole_row(docs)]), limits).where("kept").select("_doc.*")
 
 
 def verdicts_sql() -> str:
     """What `verdicts` returns, in DuckDB SQL."""
-    share = {"symbol_share": "n_symbols * 1000 // greatest(n_words, 1)", "dup_line_share": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeat_share": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 100 // greatest(n_words, 1)"}
-    least = " ".join(f"WHEN '{m}' THEN {spread}" for m, (spread, _) in RULES.items())
-    within = " AND ".join(f"{m} <= max(high) FILTER (metric = '{m}')" + (f" AND {m} >= max(low) FILTER (metric = '{m}')" if low else "") for m, (_, low) in RULES.items())
-    quartiles = lambda keys: ", ".join([*keys, "metric", *(f"min(bucket) FILTER (4 * upto >= {k} * total) AS q{k}" for k in (1, 3)), "max(total) AS n"])
+    share = {m: f"{count} * {unit} // greatest({of}, 1)" for m, (count, of, unit, *_) in RULES.items()}
+    tails = " ".join(f"WHEN '{m}' THEN {tail}" for m, (_, _, _, tail, _, _) in RULES.items())
+    limit = lambda m, side: f"max({side}) FILTER (metric = '{m}')"
+    within = " AND ".join(f"{unit} * {count} <= {limit(m, 'high')} * {of} + {unit * events}" + (f" AND {unit} * {count} >= {limit(m, 'low')} * {of} - {unit * events}" if low else "") for m, (count, of, unit, _, events, low) in RULES.items())
+    quantiles = lambda keys: ", ".join([*keys, "metric", *(f"min(bucket) FILTER (100 * upto >= {k} * total) AS {q}" for q, k in (("low", "(100 - tail)"), ("mid", "50"), ("high", "tail"))), "max(total) AS n"])
     levels = ""
     for level, keys in {"own": ["lang", "source"], "lang": ["lang"], "whole": []}.items():
         by = ", ".join([*keys, "metric"])
-        levels += f"""by_{level} AS (SELECT {quartiles(keys)} FROM (
-  SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}),
+        levels += f"""by_{level} AS (SELECT {quantiles(keys)} FROM (
+  SELECT *, CASE metric {tails} END AS tail, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {by}),
 """
     pick = lambda q: f"(o.n * o.{q} + {PRIOR} * ((l.n * l.{q} + {PRIOR} * a.{q}) // (l.n + {PRIOR}))) // (o.n + {PRIOR}) AS {q}"
     metrics = ", ".join(f"{sql} AS {m}" for m, sql in share.items())
@@ -163,12 +169,11 @@ base AS (
 ), rows AS MATERIALIZED (SELECT *, {metrics}, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 sketch AS (
   SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n
-  FROM (UNPIVOT (SELECT lang, source, {", ".join(RULES)} FROM rows) ON {", ".join(RULES)} INTO NAME metric VALUE v) GROUP BY ALL
+  FROM (UNPIVOT (SELECT lang, source, {", ".join(RULES)} FROM rows WHERE NOT base_failed) ON {", ".join(RULES)} INTO NAME metric VALUE v) GROUP BY ALL
 ), {levels}fences AS (
-  SELECT lang, source, metric, q1 - {FENCE} * spread AS low, q3 + {FENCE} * spread AS high FROM (
-    SELECT lang, source, metric, q1, q3, greatest(q3 - q1, CASE metric {least} END) AS spread FROM (
-      SELECT o.lang, o.source, metric, {pick("q1")}, {pick("q3")} FROM by_own o JOIN by_lang l USING (lang, metric) JOIN by_whole a USING (metric)))
+  SELECT lang, source, metric, low - {FENCE} * (mid - low) AS low, high + {FENCE} * (high - mid) AS high FROM (
+    SELECT o.lang, o.source, metric, {", ".join(map(pick, ("low", "mid", "high")))} FROM by_own o JOIN by_lang l USING (lang, metric) JOIN by_whole a USING (metric))
 )
-SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND {within} AS kept
-FROM rows JOIN fences USING (lang, source) GROUP BY r, doc_id, {", ".join(BASE)}, base_failed, {", ".join(RULES)}
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND coalesce({within}, false) AS kept
+FROM rows LEFT JOIN fences USING (lang, source) GROUP BY r, doc_id, {", ".join(BASE)}, n_lines, base_failed
 """

@@ -10,8 +10,9 @@ from .base import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus budget, spread as evenly over the sources as taking no document over twice on average allows."""
-    return mixing.schedule(table(spark, sf_dir, "documents"), max_epochs=2.0)
+    """The corpus budget, spread over the sources with an entropy halfway between their own and that of equal shares, unless that takes
+    the documents of a source over twice on average."""
+    return mixing.schedule(table(spark, sf_dir, "documents"), mixing.Target(max_epochs=2.0, evenness=0.5))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

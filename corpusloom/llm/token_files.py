@@ -2,10 +2,14 @@
 
 A shard is a range of documents in ascending doc_id order, cut into segments of about SEGMENT_IDS ids at document bounds. A segment
 has one frequency table, and blocks of BLOCK_IDS ids that are encoded with LANES interleaved states each and decode on their own.
-The block index holds, for each block, a checkpoint (ids before it, offset of its words, its states) and a CRC-32 of its ids.
+The block index holds, for each block, a checkpoint (ids before it, offset of its states and words) and a CRC-32 of its ids, so that a
+block is found without the ones before it. The document ids and lengths of a segment are columns beside it, outside of its checksums.
+
+Frequencies add up to 2**SCALE, or for a segment of more symbols than a quarter of that to as much more as gives each of them four slots.
 
 Segment bytes, little-endian: magic, n_ids, n_symbols, n_blocks (u32 each after 4 bytes of magic); symbols u32[], frequencies
-u32[]; per block ids u32, words u32, crc u32; then per block LANES states u64 and its words u32[].
+u32[]; per block ids, words, crc, ids before it, offset of its states behind the index, all u32; then per block LANES states u64 and
+its words u32[].
 
 Defined cases: a null or empty text has the end id only; rows without doc_id come first; rows with the same doc_id follow each
 other in order of a hash of their texts, and may go to several shards; a very long text makes a long segment; repeated rows are
@@ -33,11 +37,16 @@ U = np.uint64
 SEGMENTS = "shard int, segment int, shard_start long, n_ids long, doc_ids binary, lengths binary, data binary"
 
 
+def scale_of(n_symbols: int) -> int:
+    """Bits of the frequencies' sum."""
+    return max(SCALE, (n_symbols - 1).bit_length() + 2)
+
+
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols in use and their frequencies, which are at least 1 and add up to 2**SCALE."""
+    """Symbols in use and their frequencies, which are at least 1 and add up to 2**scale_of(symbols)."""
     count = np.bincount(ids)
     symbols = np.flatnonzero(count)
-    size = 1 << SCALE
+    size = 1 << scale_of(len(symbols))
     freq = np.maximum(1, count[symbols] * size // len(ids))
     rest = size - int(freq.sum())
     order = np.argsort(-freq, kind="stable")
@@ -51,12 +60,12 @@ def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbols, freq
 
 
-def _encode_block(code: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode_block(code: np.ndarray, freq: np.ndarray, start: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """States and words of one block; code: indices into the table."""
     steps = -(-len(code) // LANES)
     state = np.full(LANES, LOW, np.uint64)
     words = []
-    shift, limit = U(SCALE), U(63 - SCALE)
+    shift, limit = U(scale), U(63 - scale)
     for t in range(steps - 1, -1, -1):
         part = code[t * LANES : (t + 1) * LANES]
         f, x = freq[part], state[: len(part)]
@@ -68,9 +77,9 @@ def _encode_block(code: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tupl
     return state, np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
 
 
-def _decode_block(n: int, state: np.ndarray, words: np.ndarray, slot: np.ndarray, freq: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _decode_block(n: int, state: np.ndarray, words: np.ndarray, slot: np.ndarray, freq: np.ndarray, start: np.ndarray, scale: int) -> np.ndarray:
     out, at, state = np.empty(n, np.int64), 0, state.copy()
-    mask, shift = U((1 << SCALE) - 1), U(SCALE)
+    mask, shift = U((1 << scale) - 1), U(scale)
     for a in range(0, n, LANES):
         k = min(LANES, n - a)
         x = state[:k]
@@ -94,13 +103,14 @@ def encode_segment(ids: np.ndarray) -> bytes:
     code = np.zeros(int(symbols[-1]) + 1, np.int64)
     code[symbols] = np.arange(len(symbols))
     code = code[ids]
-    index, body = [], []
+    index, body, offset = [], [], 0
     for a in range(0, len(ids), BLOCK_IDS):
-        state, words = _encode_block(code[a : a + BLOCK_IDS], f, start)
+        state, words = _encode_block(code[a : a + BLOCK_IDS], f, start, scale_of(len(symbols)))
         part = ids[a : a + BLOCK_IDS]
-        index += [len(part), len(words), zlib.crc32(part.astype("<u4"))]
+        index += [len(part), len(words), zlib.crc32(part.astype("<u4")), a, offset]
+        offset += 8 * LANES + 4 * len(words)
         body += [state.astype("<u8").tobytes(), words.astype("<u4").tobytes()]
-    head = MAGIC + struct.pack("<III", len(ids), len(symbols), len(index) // 3)
+    head = MAGIC + struct.pack("<III", len(ids), len(symbols), len(index) // 5)
     return b"".join([head, symbols.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), np.array(index, "<u4").tobytes(), *body])
 
 
@@ -113,19 +123,19 @@ def decode_segment(data: bytes, blocks: range | None = None) -> np.ndarray:
     symbols = np.frombuffer(data, "<u4", n_symbols, at).astype(np.int64)
     freq = np.frombuffer(data, "<u4", n_symbols, at + 4 * n_symbols)
     at += 8 * n_symbols
-    index = np.frombuffer(data, "<u4", 3 * n_blocks, at).reshape(-1, 3).astype(np.int64)
-    at += 12 * n_blocks
+    index = np.frombuffer(data, "<u4", 5 * n_blocks, at).reshape(-1, 5).astype(np.int64)
+    body = at + 20 * n_blocks
     slot = np.repeat(np.arange(n_symbols), freq)
     f, start = freq.astype(np.uint64), (np.cumsum(freq.astype(np.int64)) - freq).astype(np.uint64)
     out = []
-    for k, (ids, words, crc) in enumerate(index.tolist()):
-        if blocks is None or k in blocks:
-            state = np.frombuffer(data, "<u8", LANES, at)
-            part = symbols[_decode_block(ids, state, np.frombuffer(data, "<u4", words, at + 8 * LANES).astype(np.uint64), slot, f, start)]
-            if zlib.crc32(part.astype("<u4")) != crc:
-                raise ValueError(f"block {k}: checksum does not match")
-            out.append(part)
-        at += 8 * LANES + 4 * words
+    for k in range(n_blocks) if blocks is None else blocks:
+        ids, words, crc, _, offset = index[k].tolist()
+        at = body + offset
+        state = np.frombuffer(data, "<u8", LANES, at)
+        part = symbols[_decode_block(ids, state, np.frombuffer(data, "<u4", words, at + 8 * LANES).astype(np.uint64), slot, f, start, scale_of(n_symbols))]
+        if zlib.crc32(part.astype("<u4")) != crc:
+            raise ValueError(f"block {k}: checksum does not match")
+        out.append(part)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from corpusloom.llm import divergence
+from corpusloom.llm import base, divergence
 
 PLAIN = str.maketrans(divergence.UPPER, divergence.UPPER.lower())
 
@@ -51,9 +51,9 @@ def texts():
     return rows + rows[:30] + [("en", "silent", None), ("en", "blank", " 12 \n"), ("de", "one", "few words"), ("de", "two", ""), ("xx", None, "alone"), (None, None, None)]
 
 
-@pytest.mark.parametrize("limit", [divergence.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [base.BROADCAST_ROWS, 0])
 def test_values_and_ranks_are_those_of_loops(spark, monkeypatch, limit):
-    monkeypatch.setattr(divergence, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(base, "BROADCAST_ROWS", limit)
     rows = texts()
     got = found(spark.createDataFrame(rows, "lang string, source string, text string"))
     assert got == brute(rows) and sum("'term'" in g for g in got) > 50

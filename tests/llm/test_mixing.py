@@ -18,7 +18,7 @@ def taken(rows):
 
 def test_shares_meet_the_weights_and_no_source_repeats_too_often(spark):
     sizes = [400, 100, 20, 5]
-    rows = mixing.schedule(table(spark, sizes), max_epochs=2.0, block_tokens=200).collect()
+    rows = mixing.schedule(table(spark, sizes), mixing.Target(2.0), block_tokens=200).collect()
     got, total = taken(rows), 20 * sum(sizes)
     for k, n in enumerate(sizes):
         weight = next(r["weight"] for r in rows if r["source"] == f"s{k}")
@@ -30,7 +30,7 @@ def test_shares_meet_the_weights_and_no_source_repeats_too_often(spark):
 
 def test_a_target_entropy_is_met(spark):
     for target in (0.6, 1.0, 1.3):
-        rows = mixing.schedule(table(spark, [400, 100, 20, 5]), max_epochs=1e9, entropy=target).collect()
+        rows = mixing.schedule(table(spark, [400, 100, 20, 5]), mixing.Target(1e9, target)).collect()
         weights = {r["source"]: r["weight"] for r in rows}.values()
         own = -sum(p * math.log(p) for p in (400 / 525, 100 / 525, 20 / 525, 5 / 525))
         assert abs(-sum(w * math.log(w) for w in weights) - max(target, own)) < 1e-3
@@ -50,3 +50,13 @@ def test_odd_rows(odd_docs):
     assert out.columns == odd_docs.columns and out.select("doc_id", "text").distinct().count() == odd_docs.select("doc_id", "text").distinct().count()
     assert mixing.schedule(odd_docs.limit(0)).count() == 0 and mixing.mixed_documents(odd_docs.limit(0)).count() == 0
     assert mixing.mixed_documents(odd_docs.where("text IS NULL OR text = ''")).count() == 3
+
+
+def test_an_exponent_between_0_and_1_is_solved_on_the_supplied_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for target, keep_all in ((mixing.Target(2.0, evenness=0.5), False), (mixing.Target(4.0, evenness=0.5), True)):
+        got = mixing.solution(docs, target, keep_all=keep_all)
+        assert 0.05 < got.exponent < 0.95 and abs(got.entropy - got.target) < 1e-5 and got.epochs <= target.max_epochs
+    tight = mixing.solution(docs, mixing.Target(1.2, evenness=0.99))
+    assert 0.05 < tight.exponent < 0.95 and tight.entropy < tight.target and abs(tight.epochs - 1.2) < 1e-3
+    assert len({round(r["weight"], 9) for r in mixing.schedule(docs, mixing.Target(2.0, evenness=0.5)).collect()}) > 10

@@ -66,5 +66,5 @@ def test_copies_are_those_of_loops(spark):
     rows = [(1000 * k + i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(1, 40))), f"s{k}") for k, n in enumerate([500, 120, 30, 9]) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for max_epochs, block_tokens in ((2.0, 100), (3.3, 1 << 20), (1.2, 50)):
-        got = {x["doc_id"]: x["copies"] for x in mixing.schedule(docs, max_epochs=max_epochs, block_tokens=block_tokens).collect()}
+        got = {x["doc_id"]: x["copies"] for x in mixing.schedule(docs, mixing.Target(max_epochs), block_tokens=block_tokens).collect()}
         assert got == copies_by_loops(rows, max_epochs, block_tokens) and len(set(got.values())) > 2

@@ -6,7 +6,7 @@ from corpusloom.llm import mixing
 def test_every_epoch_is_a_permutation_of_the_blocks_and_the_last_one_a_part(spark):
     rows = [(1000 * k + i, " ".join(f"w{i}" for _ in range(20)), f"s{k}") for k, n in enumerate([400, 100, 60]) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.schedule(docs, max_epochs=3.5, entropy=1.09, block_tokens=200).collect()
+    got = mixing.schedule(docs, mixing.Target(3.5, 1.09), block_tokens=200).collect()
     blocks, runs, taken = defaultdict(set), defaultdict(dict), defaultdict(set)
     for r in got:
         assert [p["epoch"] for p in r["places"]] == list(range(r["copies"]))

@@ -44,7 +44,7 @@ def test_stages_do_their_work_on_what_the_one_before_kept(spark, table_dir):
         want[r["doc_id"]] = [w for k, w in enumerate(words) if k not in gone]
     assert {i: t.split() for i, t in texts.items()} == {i: w for i, w in want.items() if w}
     assert all(passage not in texts[310 + k] for k in range(4)) and texts[0] == rows[0][1]
-    copies = {r["doc_id"]: r["copies"] for r in mixing.schedule(seen[2][1], keep_all=True).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.schedule(seen[2][1], corpus_pipeline.MIXTURE, keep_all=True).collect()}
     assert Counter(r["doc_id"] for r in seen[3][1].collect()) == Counter(copies) and min(copies.values()) >= 1
     used = defaultdict(int)
     for r in seen[4][1].collect():

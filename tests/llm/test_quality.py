@@ -34,9 +34,41 @@ def test_odd_rows(odd_docs):
 
 
 def test_thresholds_of_a_source_are_drawn_to_those_of_its_language(spark):
-    rows = [("en", "large", "word_length", 400, 10_000), ("en", "large", "word_length", 500, 10_000), ("en", "small", "word_length", 900, 5), ("fr", "other", "word_length", 700, 20_000)]
-    got = {r["_source"]: r["word_length_low"] for r in quality.thresholds(spark.createDataFrame(rows, "_lang string, _source string, metric string, bucket long, n long")).collect()}
-    low = lambda q1, q3: q1 - quality.FENCE * max(100, q3 - q1)
-    assert abs(got["large"] - low(400, 500)) <= 2 and abs(got["other"] - low(700, 700)) <= 2
-    small = low(*((5 * 900 + quality.PRIOR * q) // (5 + quality.PRIOR) for q in (400, 500)))
-    assert abs(got["small"] - small) <= 8
+    rows = [("en", "large", 400, 10_000), ("en", "large", 500, 10_000), ("en", "small", 900, 5), ("fr", "other", 700, 20_000)]
+    sketch = spark.createDataFrame([(lang, source, "word_length", b, n) for lang, source, b, n in rows], "_lang string, _source string, metric string, bucket long, n long")
+    got = {r["_source"]: (r["word_length_low"], r["word_length_high"]) for r in quality.thresholds(sketch).collect()}
+
+    def quantiles(own):
+        values = sorted((b, n) for _, _, b, n in own)
+        total, out = sum(n for _, n in values), []
+        for k in (5, 50, 95):
+            upto = 0
+            for b, n in values:
+                upto += n
+                if 100 * upto >= k * total:
+                    out.append(b)
+                    break
+        return total, out
+
+    drawn = lambda n, q, to: [(n * x + quality.PRIOR * y) // (n + quality.PRIOR) for x, y in zip(q, to)]
+    for lang, source in {r[:2] for r in rows}:
+        low, mid, high = drawn(*quantiles([r for r in rows if r[:2] == (lang, source)]), drawn(*quantiles([r for r in rows if r[0] == lang]), quantiles(rows)[1]))
+        assert got[source] == (low - quality.FENCE * (mid - low), high + quality.FENCE * (high - mid))
+
+
+def test_sources_with_unlike_tails_get_unlike_fences(spark):
+    noisy = lambda i: prose(i, 60) + " #" * (i % 10)
+    rows = [(i, prose(i, 60), "en", "plain") for i in range(1000)] + [(1000 + i, noisy(i), "en", "noisy") for i in range(1000)]
+    rows += [(5000, prose(1, 60) + " #" * 9, "en", "plain"), (5001, prose(2, 60) + " #" * 9, "en", "noisy"), (5002, prose(3, 60) + " # " * 60, "en", "noisy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r["_source"]: r["symbol_share_high"] for r in quality.fences(quality.measured(docs, [])).collect()}
+    assert limits["plain"] < 60 < 150 < limits["noisy"]
+    assert {r["doc_id"] for r in quality.verdicts(docs).where("not kept").collect()} == {5000, 5002}
+
+
+def test_thresholds_of_many_groups_are_dealt_out(spark, odd_docs, monkeypatch):
+    from corpusloom.llm import base
+
+    want = sorted(map(str, quality.verdicts(odd_docs).collect()))
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, quality.verdicts(odd_docs).collect())) == want and quality.kept_documents(odd_docs).columns == odd_docs.columns

@@ -19,6 +19,15 @@ def test_segments_come_back_exactly_and_blocks_on_their_own(monkeypatch):
     assert len(data) < 4 * len(ids)
 
 
+def test_more_symbols_than_the_usual_scale_has_slots():
+    for ids in (np.arange(262_145), np.concatenate([np.arange(300_000), np.zeros(50_000, np.int64)])):
+        symbols, freq = token_files.frequencies(ids)
+        assert len(symbols) == len(set(ids.tolist())) and freq.min() >= 1 and freq.sum() == 1 << token_files.scale_of(len(symbols)) > 1 << token_files.SCALE
+        data = token_files.encode_segment(ids)
+        assert (token_files.decode_segment(data) == ids).all()
+        assert (token_files.decode_segment(data, range(1, 2)) == ids[token_files.BLOCK_IDS : 2 * token_files.BLOCK_IDS]).all()
+
+
 def test_damage_is_noticed():
     data = bytearray(token_files.encode_segment(np.arange(5000) % 300))
     data[-9] ^= 4
