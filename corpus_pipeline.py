@@ -29,9 +29,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return substrings.without_repeats(docs, window=50)
 
 
+#: Halfway between the sources' own shares and equal ones by entropy, with four epochs of a source at most.
+MIXTURE = mixing.Target(max_epochs=4.0, evenness=0.5)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it, once at least; its columns leave no place for a number of copies."""
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(docs, MIXTURE)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
