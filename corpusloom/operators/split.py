@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,32 +20,72 @@ def group_of(column: str):
     return F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit(UNKNOWN))
 
 
+def assignment_plan(sizes: list[tuple[int, int]], lacks: dict[str, Fraction]) -> list[tuple[int, int, int, list[str]]]:
+    """(size, first, last, names) for groups counted by size, (size, how many), largest first: the groups of that size from `first` to
+    `last`, counted in order, go to the names in turn. lacks: what each split lacks at first.
+
+    A group goes to the split that lacks most, the first by name at a tie. For groups of one size, splits take turns while what they lack
+    is within that size, and all that they take before the next split comes in is one step: a handful of steps a size, however many
+    groups it has.
+    """
+    out, lacks = [], dict(lacks)
+    for size, many in sizes:
+        at = 0
+        while at < many:
+            order = sorted(lacks, key=lambda x: (-lacks[x], x))
+            before = lambda a, less, b: (-(lacks[a] - less), a) < (-lacks[b], b)  # a, with that much less, still goes before b
+            for k in range(len(order), 0, -1):
+                # The first k take turns if the first, having had one, comes after the last of them.
+                if before(order[0], size, order[k - 1]) and k > 1:
+                    continue
+                if k == len(order):
+                    turns = -(-(many - at) // k)
+                else:
+                    gap = (lacks[order[k - 1]] - lacks[order[k]]) / size
+                    turns = int(gap) + (1 if gap != int(gap) or order[k - 1] < order[k] else 0)
+                if turns:
+                    break
+            took = min(many - at, k * turns)
+            out.append((size, at, at + took - 1, order[:k]))
+            for place, name in enumerate(order[:k]):
+                lacks[name] -= size * (took // k + (place < took % k))
+            at += took
+    return out
+
+
 def assign_groups(rows: DataFrame, column: str, fractions: dict[str, float] | None = None) -> DataFrame:
     """work, n, split, work_rank: largest groups first, each to the split furthest below its target; unknown groups go to train.
 
-    One pass over the counted groups in order, in one task, whose state is what each split still lacks.
+    The splits are planned for the numbers of groups of each size, which are no more than the root of twice the rows, and groups get theirs
+    by their place in the order, which is found by a sort and the sums of its parts: no task goes through all groups.
     """
     fractions = fractions or {"train": 0.8, "val": 0.1, "test": 0.1}
     if abs(sum(fractions.values()) - 1) > 1e-6:
         raise ValueError("the fractions do not add up to 1")
-    sizes = rows.groupBy(group_of(column).alias("work")).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    names = sorted(fractions)
-    goal = np.array([total * fractions[name] for name in names])
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got, rank = np.zeros(len(names)), 0
-        for frame in frames:
-            at = np.empty(len(frame), np.int64)
-            for k, (work, n) in enumerate(zip(frame["work"], frame["n"], strict=True)):
-                # The first name of those with the largest lack.
-                at[k] = names.index("train") if work == UNKNOWN else int((got - goal).argmin())
-                got[at[k]] += n
-            yield frame.assign(split=np.array(names)[at], work_rank=range(rank, rank + len(frame)))
-            rank += len(frame)
+    spark = rows.sparkSession
+    works = checkpointed(rows.groupBy(group_of(column).alias("work")).agg(F.count("*").alias("n")))
+    counted = works.where(F.col("work") != UNKNOWN).groupBy("n").agg(F.count("*").alias("many")).orderBy(F.col("n").desc()).collect()
+    unknown = (works.where(F.col("work") == UNKNOWN).agg(F.sum("n")).first()[0]) or 0
+    total = unknown + sum(r["n"] * r["many"] for r in counted)
+    lacks = {name: Fraction(total * share) for name, share in fractions.items()}
+    if unknown:
+        lacks["train"] -= unknown
+    steps = assignment_plan([(r["n"], r["many"]) for r in counted], lacks)
+    starts, place = {}, int(unknown > 0)
+    for r in counted:
+        starts[r["n"]] = place
+        place += r["many"]
 
     order = [(F.col("work") == UNKNOWN).desc(), F.col("n").desc(), F.col("work")]
-    return sizes.repartition(1).sortWithinPartitions(*order).mapInPandas(fill, "work string, n long, split string, work_rank long")
+    placed = checkpointed(works.orderBy(*order).withColumn("id", F.monotonically_increasing_id()))
+    placed = placed.select("work", "n", F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    parts = placed.groupBy("part").agg(F.count("*").alias("size"))
+    parts = parts.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a part
+    ranked = placed.join(F.broadcast(parts), "part").select("work", "n", (F.col("at") + F.col("before")).alias("work_rank"))
+    plan = spark.createDataFrame([(n, starts[n] + a, starts[n] + b, names) for n, a, b, names in steps], "n long, first long, last long, names array<string>")
+    turn = F.element_at("names", ((F.col("work_rank") - F.col("first")) % F.size("names") + 1).cast("int"))
+    known = ranked.where(F.col("work") != UNKNOWN).join(F.broadcast(plan), "n").where("work_rank BETWEEN first AND last").select("work", "n", turn.alias("split"), "work_rank")
+    return ranked.where(F.col("work") == UNKNOWN).select("work", "n", F.lit("train").alias("split"), "work_rank").unionByName(known)
 
 
 #: An assignment is broadcast only if it was counted and has no more rows than this.

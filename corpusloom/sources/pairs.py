@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,7 +75,38 @@ def write_jsonl(rows: DataFrame, path: str, by: list[str] | None = None) -> None
     writer.json(path)
 
 
+#: Hex digits of a row's hash that name its leaf, and that each level above drops.
+LEAF, STEP = 5, 2
+
+
+def digest_tree(rows: DataFrame) -> DataFrame:
+    """level (0 is the root), node, n, sha256 of a Merkle tree over the rows in any order.
+
+    A row is hashed as JSON and goes to the leaf that the first digits of its hash name; equal rows are counted. A leaf's hash is that of its
+    rows' hashes and counts, sorted, and a node's that of its children's names and hashes. So the tree is the same however the rows are
+    dealt, its root stands for all of them, and where two trees differ is found from the root down. No node has over 16^STEP children, and
+    a leaf holds its share of the different rows.
+    """
+    rows = rows.select(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    level = rows.select(F.substring("h", 1, LEAF).alias("node"), F.concat_ws(":", "h", "n").alias("x"), "n")
+    levels, width = [], LEAF
+    while True:
+        level = level.groupBy("node").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("x")), ";"), 256).alias("sha256"))
+        levels.append(level.select(F.lit(-(-width // STEP)).alias("level"), "node", "n", "sha256"))
+        if not width:
+            break
+        width = max(0, width - STEP)
+        level = level.select(F.substring("node", 1, width).alias("node"), F.concat_ws(":", "node", "sha256").alias("x"), "n")
+    return reduce(DataFrame.unionByName, levels)
+
+
 def digest(rows: DataFrame) -> DataFrame:
-    """n and a digest of the rows in any order."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.sum("h").cast("string").alias("digest"))
+    """n and the root of the rows' tree; of no rows, 0 and an empty digest."""
+    root = digest_tree(rows).where("level = 0")
+    return root.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("sha256"), F.lit("")).alias("digest"))
+
+
+def differing(one: DataFrame, other: DataFrame) -> DataFrame:
+    """level, node of what differs in two trees, down to the leaves: those of the rows that one of them has and the other has not."""
+    both = one.select("level", "node", F.col("sha256").alias("a")).join(other.select("level", "node", F.col("sha256").alias("b")), ["level", "node"], "full")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("level", "node")

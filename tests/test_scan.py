@@ -74,3 +74,20 @@ def test_a_plan_that_cuts_otherwise_is_an_error(spark, tmp_path, small_splits):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
     with pytest.raises(Exception, match="cut otherwise"):
         rows.count()
+
+
+def test_the_tree_finds_what_differs_and_does_not_ask_how_rows_are_dealt(spark):
+    import hashlib
+    import json
+
+    rows = [(k, f"text {k}", None if k % 3 else "x") for k in range(400)] + [(5, "text 5", None)] * 30
+    df = spark.createDataFrame(rows, "a int, b string, c string")
+    root = pairs.digest(df.repartition(1)).first()
+    assert root["n"] == 430 and pairs.digest(df.repartition(7, "b").orderBy("b")).first() == root
+    changed = spark.createDataFrame([*rows[:77], (77, "text 7?", None), *rows[78:]], df.schema)
+    other = pairs.digest_tree(changed)
+    assert pairs.digest(changed).first()["digest"] != root["digest"] and pairs.digest(df.limit(429)).first()["digest"] != root["digest"]
+    found = {(r["level"], r["node"]) for r in pairs.differing(pairs.digest_tree(df), other).collect()}
+    own = [hashlib.sha256(json.dumps(dict(zip("abc", r)), separators=(",", ":")).encode()).hexdigest() for r in (rows[77], (77, "text 7?", None))]
+    assert found == {(0, "")} | {(level, h[:width]) for h in own for level, width in ((1, 1), (2, 3), (3, 5))}
+    assert pairs.digest(df.limit(0)).first() == (0, "")
