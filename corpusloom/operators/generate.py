@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .lineage import checkpointed
+
 #: Provider name to a factory of clients: options -> (system, user) -> (answer or None, prompt tokens, completion tokens).
 CLIENTS: dict[str, Callable] = {}
 
@@ -25,10 +27,15 @@ def echo_client(**options) -> Callable:
 CLIENTS["echo"] = echo_client
 
 
-def client_of(provider: str, **options) -> Callable:
+def maker_of(provider: str) -> Callable:
+    """The factory of a provider's clients, which goes to the workers from here."""
     if provider not in CLIENTS:
         raise ValueError(f"unknown provider {provider!r}, known are {sorted(CLIENTS)}")
-    return CLIENTS[provider](**options)
+    return CLIENTS[provider]
+
+
+def client_of(provider: str, **options) -> Callable:
+    return maker_of(provider)(**options)
 
 
 #: What a worker process has made so far.
@@ -111,10 +118,11 @@ def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5,
     """
     if concurrency:
         rows = rows.repartition(concurrency)
+    maker = maker_of(provider)
     fields = [*rows.schema.fields, StructField("prediction", StringType()), StructField("prompt_tokens", LongType()), StructField("completion_tokens", LongType()), StructField("latency_s", DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = made_once((provider, tuple(sorted(options.items()))), lambda: client_of(provider, **options))
+        call = made_once((provider, tuple(sorted(options.items()))), lambda: maker(**options))
 
         def once(prompt: str) -> tuple:
             more = (call_key(prompt, system, provider),) if getattr(call, "idempotent", False) else ()
@@ -137,3 +145,40 @@ def answered(rows: DataFrame, provider: str, system: str = "", retries: int = 5,
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[f.name for f in fields])
 
     return rows.mapInArrow(run, StructType(fields))
+
+
+LEDGER = "call string, prediction string, prompt_tokens long, completion_tokens long, latency_s double"
+SALTS = 64
+
+
+def call_of(prompt: Column, provider: str, system: str = "", **options) -> Column:
+    """The key of a call: what is asked, of whom, and how."""
+    asked = f"{provider}\x1f{system}\x1f{sorted(options.items())}\x1f"
+    return F.sha2(F.concat(F.lit(asked), F.coalesce(prompt, F.lit(""))), 256)
+
+
+def answered_once(rows: DataFrame, provider: str, ledger: str, system: str = "", calls_per_task: int = 200, **more) -> DataFrame:
+    """As `answered`, with a ledger, a folder of answers by call key, so that no recorded call is made again: not for rows with equal prompts,
+    nor when the work is started anew after it broke off.
+
+    Calls that the ledger lacks are dealt to tasks of calls_per_task, and a task's answers are committed to the ledger when it ends,
+    whatever becomes of the job. A task that is lost has recorded nothing and makes its calls again; a client that has the attribute
+    `idempotent` is told their keys. `more`: retries, concurrency, batch_calls and the client's options. A broken-off job is
+    started anew by calling this again.
+    """
+    spark = rows.sparkSession
+    options = {k: v for k, v in more.items() if k not in ("retries", "concurrency", "batch_calls")}
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(where)
+    rows = checkpointed(rows.withColumn("call", call_of(F.col("prompt"), provider, system, **options)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))))
+    known = spark.read.schema(LEDGER).parquet(ledger)
+    # One row a call: equal prompts meet before they are shuffled.
+    asked = checkpointed(rows.groupBy("call").agg(F.first("prompt").alias("prompt")).join(known.select("call"), "call", "left_anti"))
+    n = asked.count()
+    if n:
+        done = answered(asked.repartition(-(-n // calls_per_task)), provider, system, **more).drop("prompt")
+        done.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(ledger)
+    # Two runs at a time may both have made a call: the first by its answer stands for both.
+    found = spark.read.schema(LEDGER).parquet(ledger).groupBy("call").agg(F.min(F.struct("prediction", "prompt_tokens", "completion_tokens", "latency_s")).alias("x"))
+    near = rows.select("call", "salt").distinct().join(found, "call")  # a frequent prompt meets its answer once for each salt
+    return rows.join(near, ["call", "salt"]).select(*(c for c in rows.columns if c not in ("call", "salt")), "x.*")
