@@ -79,3 +79,24 @@ def test_even_spread_and_small_tables(spark, tmp_path):
     nothing = frame(spark, [None, np.zeros(3)])
     assert cells.search(rows, cells.indexed(nothing, "id", "v"), 5, "id", "v")[0].count() == 0
     assert cells.search(nothing, index, 5, "id", "v")[0].count() == 0
+
+
+def test_a_query_is_shipped_once_a_block_and_not_once_a_cell(spark):
+    r = np.random.default_rng(6)
+    rows = frame(spark, list(r.normal(size=(3000, 24))))
+    index = cells.indexed(rows, "id", "v")
+    assert len(index.blocks) > 100 and index.blocks["block"].max() == 0
+    asked = rows.where("id < 40").selectExpr("id AS q", "v", "-2D AS least", "4D AS limit")
+    assert cells._visits(asked, index, again=False).count() == 40
+    assert cells._visits(asked, index, again=True).count() == 0
+
+
+def test_a_cell_of_many_equal_rows_takes_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 50)
+    r = np.random.default_rng(8)
+    vectors = [np.ones(8)] * 300 + list(r.normal(size=(100, 8)))
+    rows = frame(spark, vectors)
+    index = cells.indexed(rows, "id", "v", cells=10)
+    assert index.blocks["parts"].max() > 5
+    got, _ = cells.search(rows.where("id % 7 = 0"), index, 4, "id", "v")
+    same(found(got), brute([(k, v) for k, v in enumerate(vectors) if k % 7 == 0], list(enumerate(vectors)), 4))
