@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .words import FUNCTION_WORDS, MARKERS
 
@@ -21,14 +24,47 @@ ARABIC = r"[\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}\x{fb50}-\x{fdff}\x{fe7
 FEATURES = ["lex_density", "ttr", "root_ttr", "sent_len_mean", "sent_len_var", "marker_rate"]
 
 
-@F.pandas_udf(StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+#: Texts of a batch that are Python's at once; a batch has 10,000 rows whatever their lengths.
+SLICE = 256
 
 
-@F.pandas_udf(StringType())
-def _nfkc_casefold(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x).casefold())
+def mapped(texts: pa.Array, one: Callable[[str], str]) -> pa.Array:
+    """one(text) of each text that is not null."""
+    parts = [pa.array([x if x is None else one(x) for x in texts.slice(k, SLICE).to_pylist()], pa.string()) for k in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return mapped(texts, lambda x: x if x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+@F.arrow_udf(StringType())
+def _nfkc_casefold(texts: pa.Array) -> pa.Array:
+    return mapped(texts, lambda x: unicodedata.normalize("NFKC", x).casefold())
+
+
+def counted(texts: pa.Array) -> np.ndarray:
+    """How often each of a to z is in each text; a null text has none."""
+    out = np.zeros((len(texts), 26))
+    for k in range(0, len(texts), SLICE):
+        part = texts.slice(k, SLICE).cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(part).to_numpy())
+        letter = np.frombuffer("".join(part.to_pylist()).encode(), np.uint8).astype(np.int64) - ord("a")  # bytes of others are none of ASCII
+        row = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
+        good = (letter >= 0) & (letter < 26)
+        out[k : k + len(part)] = np.bincount(row[good] * 26 + letter[good], minlength=26 * len(part)).reshape(-1, 26)
+    return out
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _letters(texts: pa.Array) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(counted(texts).ravel()), 26).cast(pa.list_(pa.float64()))
+
+
+def letters(c: Column) -> Column:
+    """array<double>: how often each letter of a to z is in a text, in one pass; null counts as empty."""
+    return _letters(F.lower(F.coalesce(c, F.lit(""))))
 
 
 def collapse(c: Column) -> Column:

@@ -416,9 +416,7 @@ SELECT query_id, row_id, rank, round(score, 6) AS score FROM t WHERE rank <= 5""
 )
 def profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose letters are distributed most alike, exactly, by an index that leaves most of them out."""
-    text = F.lower(F.coalesce("text", F.lit("")))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array(*(F.regexp_count(text, F.lit(x)).cast("double") for x in LETTER)).alias("letters"))
-    rows = checkpointed(rows)
+    rows = checkpointed(table(spark, sf_dir, "documents").select("doc_id", T.letters(F.col("text")).alias("letters")))
     found, _ = cells.search(rows.where("doc_id % 20 = 0"), cells.indexed(rows, "doc_id", "letters"), 5, "doc_id", "letters")
     return rounded(found, 6)
 

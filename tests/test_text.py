@@ -1,6 +1,7 @@
 import math
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,27 @@ def test_features_of_hand_counted_texts(spark):
 def test_feature_vector_has_the_features_in_order(spark):
     row = spark.createDataFrame([("Thou art here. He came, and he went away!",)], "t string").select(T.features(F.col("t")).alias("f"), T.feature_vector(F.col("t")).alias("v")).first()
     assert row["v"] == [row["f"][name] for name in T.FEATURES] and row["v"][2] > 0
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    texts = ["Abc zZ éK", "", None, "日本 a" * 300] * 200
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    got = {r["id"]: r["x"] for r in rows.select("id", T.letters(F.col("t")).alias("x")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == [float((t or "").lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def test_few_texts_of_a_batch_are_objects_at_once():
+    seen = []
+
+    class Watched:
+        def __len__(self):
+            return 1000
+
+        def slice(self, k, n):
+            seen.append(min(n, 1000 - k))
+            return pa.array(["É"] * seen[-1])
+
+    assert T.mapped(Watched(), str.lower).to_pylist() == ["é"] * 1000
+    assert max(seen) <= T.SLICE < 1000
+    assert T.mapped(pa.array(["A", None]), str.lower).to_pylist() == ["a", None] and len(T.mapped(pa.array([], pa.string()), str)) == 0
