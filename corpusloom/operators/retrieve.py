@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 20_000
+#: Rows of a block, and scores that a task holds at once.
+BLOCK_ROWS, SCORES = 20_000, 500_000
 
 
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
@@ -49,10 +50,11 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
         if len(q) and len(i):
             order = np.argsort(i)
             i, y = i[order], y[order]
-            for s in range(0, len(q), 500):
-                scores = x[s : s + 500] @ y.T
+            step = max(1, SCORES // len(i))
+            for s in range(0, len(q), step):
+                scores = x[s : s + step] @ y.T
                 best = best_of(scores, k)
-                parts.append(pd.DataFrame({"q": np.repeat(q[s : s + 500], best.shape[1]), "i": i[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+                parts.append(pd.DataFrame({"q": np.repeat(q[s : s + step], best.shape[1]), "i": i[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "score": []}).astype({"q": "int64", "i": "int64"})
 
     found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(nearest, "q long, i long, score double")
