@@ -53,3 +53,20 @@ def test_lines_of_word_pairs_go_into_prompts(spark):
     row = rows.where("id = 1").select(retrieve.word_pair_prompt(F.lit("x → y"), F.col("a")).alias("a"), retrieve.word_pair_prompt(F.lit(None), F.col("a")).alias("b"), retrieve.instruction_prompt(F.lit("Do so."), F.col("a")).alias("c")).first()
     assert row["a"] == "[Word pairs]: x → y\nSource: The w2 unknown w1 w2\nEnglish:"
     assert row["b"] == "Source: The w2 unknown w1 w2\nEnglish:" and row["c"] == "Do so.\n\nSource: The w2 unknown w1 w2\nEnglish:"
+
+
+@pytest.mark.parametrize("held", [7, 1_000_000])
+def test_words_that_meet_are_not_shuffled_and_the_likeliest_are_those_of_all(spark, monkeypatch, held):
+    rows, _ = corpus()
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    monkeypatch.setattr(lexicon, "MEETINGS", held)
+    p = {k: round(x, 9) for k, x in brute(rows, 3).items()}
+    want = {}
+    for (s, t), x in p.items():
+        want.setdefault(s, []).append((-x, t))
+    want = {(s, t, k + 1): pytest.approx(-x, abs=2e-9) for s, own in want.items() for k, (x, t) in enumerate(sorted(own)[:3])}
+    assert {(r["s"], r["t"], r["rank"]): r["p"] for r in lexicon.likeliest(df, "a", "b", 3, 3).collect()} == want
+    table = lexicon.dealt(df, "a", "b")
+    given = lexicon.summed(table, 3, 1)
+    assert given.count() == given.select("shard", "s").distinct().count()
+    assert lexicon._ranked(table, given, 3, 1, 9).count() < lexicon.translations(df, "a", "b", 3).count() / 2
