@@ -544,7 +544,7 @@ TRANSLATED = f"{ASSOCIATED}, best AS (SELECT s, t, round(p, 9) AS p, row_number(
 @query(f"{PAIRS}, {TRANSLATED} SELECT s, t, p, rank FROM best WHERE rank <= 3")
 def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three likeliest words of answers for each word of questions, as if these were translations."""
-    return lexicon.word_pairs(lexicon.translations(pairs(spark, sf_dir), "input", "output", ROUNDS), 3)
+    return lexicon.likeliest(pairs(spark, sf_dir), "input", "output", ROUNDS, 3)
 
 
 @query(
@@ -554,7 +554,7 @@ SELECT conv_id, turn, sha256(string_agg(s || ' → ' || t, ' | ' ORDER BY list_p
 def word_pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of word pairs that goes before a question in a prompt."""
     rows = pairs(spark, sf_dir).withColumn("row", F.struct("conv_id", "turn"))
-    best = lexicon.word_pairs(lexicon.translations(rows, "input", "output", ROUNDS), 1)
+    best = lexicon.likeliest(rows, "input", "output", ROUNDS, 1)
     return lexicon.pair_lines(rows, "row", "input", best).select("row.conv_id", "row.turn", F.sha2("word_pairs", 256).alias("word_pairs_sha256"))
 
 
