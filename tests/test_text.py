@@ -1,4 +1,5 @@
 import math
+import re
 import statistics
 
 import pyarrow as pa
@@ -70,3 +71,9 @@ def test_few_texts_of_a_batch_are_objects_at_once():
     assert T.mapped(Watched(), str.lower).to_pylist() == ["é"] * 1000
     assert max(seen) <= T.SLICE < 1000
     assert T.mapped(pa.array(["A", None]), str.lower).to_pylist() == ["a", None] and len(T.mapped(pa.array([], pa.string()), str)) == 0
+
+
+def test_tokens_are_those_of_the_regular_expression():
+    texts = ["", None, "abcd12345 x", "é日本, a-b\t\r\nabcde\u3000\U0001f600!", "a" * 9, "\n", "Zz[`{@/:", " ab"] * 70
+    want = [len(re.findall(r"[A-Za-z0-9]{1,4}|[^A-Za-z0-9 \t\n\r]", t or "")) for t in texts]
+    assert T.pieces(pa.array(texts)).tolist() == want and T.pieces(pa.array([], pa.string())).tolist() == []
