@@ -98,13 +98,18 @@ def register_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.centroid(evaluate.featured(docs)))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' features without their texts, worked out once for all that reads them."""
+    return checkpointed(evaluate.featured(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", *T.FEATURES), "features")
+
+
 @query(
     f"{FEATURED}, r AS (SELECT source, {MEANS} FROM f GROUP BY source), c AS (SELECT {CENTER} FROM f WHERE lang = 'en') SELECT source, round(sqrt("
     + " + ".join(f"pow((r.{f}_mean - c.{f}_mean) / c.{f}_std, 2)" for f in T.FEATURES)
     + "), 4) AS stylo_dist FROM r, c"
 )
 def register_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evaluate.featured(table(spark, sf_dir, "documents"))
+    rows = stored_features(spark, sf_dir)
     out = evaluate.with_distance(evaluate.report(rows, "source"), evaluate.centroid(rows.where("lang = 'en'")))
     return rounded(out.select("source", "stylo_dist"))
 
@@ -424,7 +429,7 @@ def profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["register_distance"])
 def written_centroid_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As register_distance, with a centroid that is written and read back."""
-    rows, path = evaluate.featured(table(spark, sf_dir, "documents")), scratch(spark, "centroid")
+    rows, path = stored_features(spark, sf_dir), scratch(spark, "centroid")
     artifacts.write_centroid(evaluate.centroid(rows.where("lang = 'en'")), path)
     out = evaluate.with_distance(evaluate.report(rows, "source"), artifacts.read_centroid(spark, path))
     return rounded(out.select("source", "stylo_dist"))
@@ -578,7 +583,7 @@ SELECT query_id, row_id, round(value, 4) AS value, row_number() OVER (PARTITION
 )
 def style_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours whose documents are nearer to the register of the English ones come first."""
-    rows = evaluate.featured(table(spark, sf_dir, "documents"))
+    rows = stored_features(spark, sf_dir)
     own = rows.select(F.col("doc_id").alias("row_id"), *(F.col(f).alias(f"{f}_mean") for f in T.FEATURES))
     style = evaluate.with_distance(own, evaluate.centroid(rows.where("lang = 'en'"))).select("row_id", F.col("stylo_dist").alias("style"))
     return rounded(retrieve.style_rerank(neighbours(spark, sf_dir, 8), style, 0.01).select("query_id", "row_id", "value", "rank"))
