@@ -52,7 +52,8 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
             i, y = i[order], y[order]
             step = max(1, SCORES // len(i))
             for s in range(0, len(q), step):
-                scores = x[s : s + step] @ y.T
+                # A matrix product may give equal vectors scores that differ in the last bits, which would decide ties.
+                scores = np.round(x[s : s + step] @ y.T, 12)
                 best = best_of(scores, k)
                 parts.append(pd.DataFrame({"q": np.repeat(q[s : s + step], best.shape[1]), "i": i[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "score": []}).astype({"q": "int64", "i": "int64"})
