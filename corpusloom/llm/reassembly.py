@@ -172,6 +172,9 @@ def events(rows: DataFrame, batches: int = BATCHES, span: int = SPAN) -> DataFra
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores, no space ahead of their use
+    # A start has one micro-batch, and stores of its own: each is closed by the task that commits it. Open ones would stay for a minute,
+    # those of all partitions and starts at once, some megabytes of an executor each.
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
 
     def start() -> None:
         """Takes what is new in the input folder; the state and what was read are those of the checkpoint."""

@@ -93,3 +93,14 @@ def test_gates_open_behind_runs_of_full_blocks(spark, monkeypatch, size):
     got = {(r["conv"], r["block"]): r["gate"] for r in reassembly.gates(spark.createDataFrame(full, "conv string, block long, batch int")).collect()}
     want = {("a", k + 1): max((3 * j) % 5 for j in range(k + 1)) for k in range(20)} | {("c", k + 1): k for k in range(8)}
     assert got == want
+
+
+def test_no_state_store_stays_open(spark):
+    kind = spark._jvm.Thread.currentThread().getContextClassLoader().loadClass("org.apache.spark.sql.execution.streaming.state.StateStore$")
+    held = kind.getDeclaredField("loadedProviders")
+    held.setAccessible(True)
+    still_open = lambda: held.get(kind.getField("MODULE$").get(None)).size()
+    before = still_open()
+    rows = [(c, t, "user", f"{c} {t}") for c in range(20) for t in range(5)]
+    reassembly.events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count()
+    assert still_open() <= before
