@@ -44,6 +44,20 @@ def _nfkc_casefold(texts: pa.Array) -> pa.Array:
     return mapped(texts, lambda x: unicodedata.normalize("NFKC", x).casefold())
 
 
+#: All but ASCII and the letters of Latin-1, which NFKC leaves as they are; no text without these needs Python.
+FOREIGN = r"[^\x{0}-\x{7f}\x{c0}-\x{ff}]"
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC of a text that is not null."""
+    return F.coalesce(_nfkc(F.when(c.rlike(FOREIGN), c)), c)
+
+
+def nfkc_casefold(c: Column) -> Column:
+    """NFKC of a text that is not null, case-folded."""
+    return F.coalesce(_nfkc_casefold(F.when(c.rlike(FOREIGN), c)), F.replace(F.lower(c), F.lit("ß"), F.lit("ss")))
+
+
 def counted(texts: pa.Array) -> np.ndarray:
     """How often each of a to z is in each text; a null text has none."""
     out = np.zeros((len(texts), 26))
@@ -73,7 +87,7 @@ def collapse(c: Column) -> Column:
 
 def normalize_text(c: Column, is_source: bool = True) -> Column:
     """Normal form of a text; null counts as empty."""
-    c = F.translate(_nfkc(F.coalesce(c, F.lit(""))), "﻿​", "")
+    c = F.translate(nfkc(F.coalesce(c, F.lit(""))), "﻿​", "")
     c = F.regexp_replace(c, "\r\n?|\n", " ")
     if is_source:
         c = F.translate(c, "يكـ", "یک")
@@ -86,7 +100,7 @@ def normalize_text(c: Column, is_source: bool = True) -> Column:
 
 def normalize_key(c: Column) -> Column:
     """Match key: case and punctuation do not count; a text of punctuation only has the empty key."""
-    c = _nfkc_casefold(F.coalesce(c, F.lit("")))
+    c = nfkc_casefold(F.coalesce(c, F.lit("")))
     return collapse(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{WS[1:-1]}{DIACRITICS}]", " "))
 
 

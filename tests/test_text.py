@@ -1,6 +1,7 @@
 import math
 import re
 import statistics
+import unicodedata
 
 import pyarrow as pa
 import pytest
@@ -77,3 +78,23 @@ def test_tokens_are_those_of_the_regular_expression():
     texts = ["", None, "abcd12345 x", "é日本, a-b\t\r\nabcde\u3000\U0001f600!", "a" * 9, "\n", "Zz[`{@/:", " ab"] * 70
     want = [len(re.findall(r"[A-Za-z0-9]{1,4}|[^A-Za-z0-9 \t\n\r]", t or "")) for t in texts]
     assert T.pieces(pa.array(texts)).tolist() == want and T.pieces(pa.array([], pa.string())).tolist() == []
+
+
+def test_python_normalizes_foreign_texts_only(spark, monkeypatch):
+    """Texts of ASCII and Latin-1 letters never go to Python, and come out as if they did."""
+    latin = [chr(k) for k in [*range(1, 128), *range(0xC0, 0x100)]]
+    texts = [None, "", "".join(latin), "Straße ÉÀ İ", "ﬁ é µ ²", "كتاب ي", "Σίσυφος", *(f"a{chr(k)}b" for k in range(0x80, 0x250))]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *latin])], "k long, t string")
+    shown = lambda rows: [tuple(r) for r in rows.select("k", T.nfkc(F.coalesce("t", F.lit(""))), T.nfkc_casefold(F.coalesce("t", F.lit("")))).orderBy("k").collect()]
+    normal = lambda t: unicodedata.normalize("NFKC", t or "")
+    assert shown(rows) == [(k, normal(t), normal(t).casefold()) for k, t in enumerate([*texts, *latin])]
+
+    @F.arrow_udf("string")
+    def nothing(texts: pa.Array) -> pa.Array:
+        assert texts.null_count == len(texts)
+        return texts
+
+    monkeypatch.setattr(T, "_nfkc", nothing)
+    monkeypatch.setattr(T, "_nfkc_casefold", nothing)
+    plain = rows.where(F.col("t").isin(latin) | F.col("t").isNull() | (F.col("k") == 2))
+    assert len(plain.select(T.normalize_text(F.col("t")), T.normalize_key(F.col("t"))).collect()) == len(latin) + 2
