@@ -27,6 +27,8 @@ from corpusloom.operators.lineage import checkpointed
 #: Splits that are known to all tasks; more of them are joined by a shuffle of the lines.
 BROADCAST_SPLITS = 100_000
 BARE_CR = re.compile("(?<=\r)(?!$)")
+#: Lines or records that are Python's at once, and the characters of the records.
+ROWS, CHARACTERS = 256, 1 << 20
 
 
 def inside_after(line: str, inside: bool) -> bool:
@@ -55,7 +57,7 @@ def inside_after(line: str, inside: bool) -> bool:
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, str]]:
     """The columns but value of each line, and the line with its end; a CR inside a line ends it too."""
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         values = batch.column("value").to_pylist()
         others = batch.drop_columns("value").to_pylist()
         for value, other in zip(values, others, strict=True):
@@ -129,7 +131,7 @@ def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts.append(line)
         if '"' in line:
             inside = inside_after(line, inside)
-        if size > 4 << 20:
+        if size > CHARACTERS or len(out) >= ROWS:
             yield pa.RecordBatch.from_pylist(out, _RECORDS)
             out, size = [], 0
     put(inside)
@@ -137,7 +139,7 @@ def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
         yield pa.RecordBatch.from_pylist([{"file": r["file"], "record": r["record"], "cells": cells_of(r["part"])} for r in batch.to_pylist()], pa.schema([_RECORDS.field(c) for c in ("file", "record", "cells")]))
 
 

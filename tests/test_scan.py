@@ -1,6 +1,7 @@
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 
 from corpusloom.sources import pairs, scan
@@ -91,3 +92,11 @@ def test_the_tree_finds_what_differs_and_does_not_ask_how_rows_are_dealt(spark):
     own = [hashlib.sha256(json.dumps(dict(zip("abc", r)), separators=(",", ":")).encode()).hexdigest() for r in (rows[77], (77, "text 7?", None))]
     assert found == {(0, "")} | {(level, h[:width]) for h in own for level, width in ((1, 1), (2, 3), (3, 5))}
     assert pairs.digest(df.limit(0)).first() == (0, "")
+
+
+def test_few_records_are_held_at_once():
+    n = 10_000
+    lines = pa.RecordBatch.from_pydict({"value": [f"a{k}\tb" for k in range(n)], "file": ["f"] * n, "start": [0] * n, "inside": [False] * n, "before": [0] * n})
+    found = list(scan.recorded(iter([lines])))
+    assert max(b.num_rows for b in found) <= scan.ROWS < n
+    assert [c for b in found for c in b.column("cells").to_pylist()] == [[f"a{k}", "b"] for k in range(n)]
