@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, and scores that a task holds at once.
-BLOCK_ROWS, SCORES = 20_000, 500_000
+#: Rows of a block (of larger tables up to three times as many), scores that a task holds at once, rows of a block that it compares at
+#: once, and digits of scores.
+BLOCK_ROWS, SCORES, ROWS, DIGITS = 20_000, 1_000_000, 2_000, 12
 
 
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
@@ -25,12 +26,39 @@ def best_of(scores: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(at, order, 1)
 
 
+def nearest_rows(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k rows of y that are nearest to each row of x, as (row of x, row of y, cosine); the first row of y at a tie. All have unit length.
+
+    A matrix product in single precision leaves out the rows that can't be among them, by twice what it may be off by. The cosines of the
+    others are added up in doubles, in one order whatever the shape of a block, so that equal vectors tie.
+    """
+    a, b, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    least, size, step = np.full(len(x), -np.inf), max(ROWS, k), max(1, SCORES // y.shape[1])
+    single, slack = x.astype(np.float32), 2 * (y.shape[1] + 4) * 2.0**-24 + 10.0**-DIGITS
+    for s in range(0, len(y), size):
+        rough = single @ y[s : s + size].T.astype(np.float32)
+        if not s and k < rough.shape[1]:
+            least = np.partition(rough, -k, axis=1)[:, -k].astype(np.float64)
+        at = np.flatnonzero(rough >= np.nextafter((least - slack).astype(np.float32), np.float32(-np.inf))[:, None])
+        if not len(at):
+            continue
+        one, other = at // rough.shape[1], at % rough.shape[1] + s
+        found = [(x[one[c : c + step]] * y[other[c : c + step]]).sum(1) for c in range(0, len(at), step)]
+        a, b, score = np.concatenate([a, one]), np.concatenate([b, other]), np.concatenate([score, np.round(np.concatenate(found), DIGITS)])
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        rank = np.arange(len(a)) - np.searchsorted(a, a)
+        least[a[rank == k - 1]] = score[rank == k - 1]
+        a, b, score = a[rank < k], b[rank < k], score[rank < k]
+    return a, b, score
+
+
 def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row_id: str, vector: str = "embedding") -> DataFrame:
     """query_id, row_id, rank (1 is the most similar; ties by row_id), score. Vectors that are null or zero or hold NaN match nothing.
 
-    Blocks of queries meet blocks of the index, BLOCK_ROWS each, and k neighbours a query leave a pair of blocks.
+    Blocks of queries meet blocks of the index, BLOCK_ROWS to three times as many rows each, and k neighbours a query leave a pair of blocks.
     """
-    n_queries, n_rows = (-(-max(1, x.count()) // BLOCK_ROWS) for x in (queries, index))
+    n_queries, n_rows = (-(-max(1, n) // min(max(BLOCK_ROWS, n // 8), 3 * BLOCK_ROWS)) for n in (queries.count(), index.count()))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), block(query_id, n_queries).alias("qb"), every(n_rows).alias("ib"))
@@ -48,16 +76,18 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
         (q, x), (i, y) = units(a, "q"), units(b, "i")
         parts = []
         if len(q) and len(i):
-            order = np.argsort(i)
+            order = np.argsort(i, kind="stable")
+            same = pd.Series([v.tobytes() for v in y[order]])
+            order = order[same.groupby(same).cumcount() < k]  # behind k equal vectors none is among the k nearest
             i, y = i[order], y[order]
-            step = max(1, SCORES // len(i))
+            step = max(1, SCORES // max(ROWS, k))
             for s in range(0, len(q), step):
-                # A matrix product may give equal vectors scores that differ in the last bits, which would decide ties.
-                scores = np.round(x[s : s + step] @ y.T, 12)
-                best = best_of(scores, k)
-                parts.append(pd.DataFrame({"q": np.repeat(q[s : s + step], best.shape[1]), "i": i[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+                one, other, score = nearest_rows(x[s : s + step], y, k)
+                parts.append(pd.DataFrame({"q": q[s + one], "i": i[other], "score": score}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "score": []}).astype({"q": "int64", "i": "int64"})
 
+    # A part for each pair of blocks, which are few and long, so that small tables aren't put together in fewer parts than there are cores.
+    left, right = (side.repartition(n_queries * n_rows, "qb", "ib") for side in (left, right))
     found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(nearest, "q long, i long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "i"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("i").alias("row_id"), "rank", "score")

@@ -211,9 +211,10 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(table(spark, sf_dir, "documents").select(F.expr(SPLIT).alias("split")))
 
 
-def neighbours(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def neighbours(spark: SparkSession, sf_dir: str, k: int, asked: str = "vec_id % 20 = 0") -> DataFrame:
+    """The k nearest of all rows for each row that meets a condition."""
     index = table(spark, sf_dir, "embeddings")
-    return retrieve.cosine_topk(index.where("vec_id % 20 = 0"), index, k, "vec_id", "vec_id")
+    return retrieve.cosine_topk(index.where(asked), index, k, "vec_id", "vec_id")
 
 
 NEAR = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
@@ -245,16 +246,18 @@ def margin_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "row_id", "score", "margin", "rank"))
 
 
+#: As NEAR, for every row.
+EACH_NEAR = NEAR.replace(" WHERE q.vec_id % 20 = 0", "")
 TEXTS = "x AS (SELECT vec_id, 'row ' || vec_id AS input, 'label ' || label AS output FROM embeddings)"
 
 
 @query(
-    f"""{NEAR}, {TEXTS}, g AS (SELECT query_id, string_agg('Source: ' || x.input || chr(10) || 'English: ' || x.output || chr(10), chr(10) ORDER BY rank DESC) AS b FROM t JOIN x ON x.vec_id = row_id WHERE rank <= 4 GROUP BY query_id)
+    f"""{EACH_NEAR}, {TEXTS}, g AS (SELECT query_id, string_agg('Source: ' || x.input || chr(10) || 'English: ' || x.output || chr(10), chr(10) ORDER BY rank DESC) AS b FROM t JOIN x ON x.vec_id = row_id WHERE rank <= 4 GROUP BY query_id)
 SELECT query_id, 'Here are example translations in the required style:' || chr(10) || chr(10) || b || chr(10) || 'Now translate the following text into English in the same style:' || chr(10) || chr(10) || 'Source: ' || x.input || chr(10) || 'English:' AS prompt FROM g JOIN x ON x.vec_id = query_id"""
 )
 def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("row "), F.col("vec_id")).alias("input"), F.concat(F.lit("label "), F.col("label")).alias("output"))
-    found = neighbours(spark, sf_dir, 4).join(texts.withColumnRenamed("vec_id", "row_id"), "row_id")
+    found = neighbours(spark, sf_dir, 4, "true").join(texts.withColumnRenamed("vec_id", "row_id"), "row_id")
     own = F.sort_array(F.collect_list(F.struct("rank", "input", "output")))
     found = found.groupBy("query_id").agg(own.alias("exemplars"))
     out = found.join(texts.select(F.col("vec_id").alias("query_id"), "input"), "query_id")
