@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +65,21 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
     left = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"), block(query_id, n_queries).alias("qb"), every(n_rows).alias("ib"))
     right = index.where(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("i"), F.col(vector).alias("v"), block(row_id, n_rows).alias("ib"), every(n_queries).alias("qb"))
 
-    def units(frame: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
-        if frame.empty:
+    def units(side: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        vectors = side["v"].combine_chunks()
+        if not len(vectors):
             return np.zeros(0, np.int64), np.zeros((0, 1))
-        v = np.stack(frame["v"].to_numpy()).astype(np.float64)
+        sizes = vectors.value_lengths().unique()
+        if len(sizes) > 1:
+            raise ValueError(f"vectors are not of one length: {sorted(sizes.to_pylist())[:5]}")
+        v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), sizes[0].as_py())
         length = np.sqrt((v * v).sum(1))
         good = np.isfinite(length) & (length > 0)
-        return frame[name].to_numpy()[good], v[good] / length[good, None]
+        return side[name].to_numpy()[good], v[good] / length[good, None]
 
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
         (q, x), (i, y) = units(a, "q"), units(b, "i")
-        parts = []
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(i):
             order = np.argsort(i, kind="stable")
             same = pd.Series([v.tobytes() for v in y[order]])
@@ -83,12 +88,13 @@ def cosine_topk(queries: DataFrame, index: DataFrame, k: int, query_id: str, row
             step = max(1, SCORES // max(ROWS, k))
             for s in range(0, len(q), step):
                 one, other, score = nearest_rows(x[s : s + step], y, k)
-                parts.append(pd.DataFrame({"q": q[s + one], "i": i[other], "score": score}))
-        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "i": [], "score": []}).astype({"q": "int64", "i": "int64"})
+                parts.append((q[s + one], i[other], score))
+        kinds = {"q": pa.int64(), "i": pa.int64(), "score": pa.float64()}
+        return pa.table({name: pa.array(np.concatenate(c), kind, from_pandas=True) for (name, kind), c in zip(kinds.items(), zip(*parts))})
 
     # A part for each pair of blocks, which are few and long, so that small tables aren't put together in fewer parts than there are cores.
     left, right = (side.repartition(n_queries * n_rows, "qb", "ib") for side in (left, right))
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(nearest, "q long, i long, score double")
+    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(nearest, "q long, i long, score double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "i"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("i").alias("row_id"), "rank", "score")
 

@@ -43,6 +43,27 @@ def test_every_row_gets_a_prompt(spark, folder, vectors, monkeypatch):
         assert shown == [i for i, _ in reversed(expected[q])] + [q]
 
 
+def test_every_row_gets_margins(spark, folder, vectors, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 30)
+    near = nearest(vectors, 8)
+    mean = {q: sum(s for _, s in own) / 8 for q, own in near.items()}
+    expected = {}
+    for q, own in near.items():
+        margins = [(round(s / ((mean[q] + mean[i]) / 2), 12), i) for i, s in own]
+        expected[q] = [i for _, i in sorted(margins, key=lambda m: (-m[0], m[1]))]
+    got = {}
+    for r in sorted(catalog.margin_topk(spark, folder).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["row_id"])
+        assert r["margin"] == pytest.approx(dict(near[r["query_id"]])[r["row_id"]] * 2 / (mean[r["query_id"]] + mean[r["row_id"]]), abs=1e-4)
+    assert got == expected
+
+
+def test_vectors_of_unlike_lengths_are_an_error(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, [3.0])], "id long, embedding array<float>")
+    with pytest.raises(Exception, match="not of one length"):
+        retrieve.cosine_topk(rows, rows, 2, "id", "id").collect()
+
+
 def test_rows_of_a_block_are_compared_in_parts(vectors, monkeypatch):
     monkeypatch.setattr(retrieve, "ROWS", 7)
     monkeypatch.setattr(retrieve, "SCORES", 40)
