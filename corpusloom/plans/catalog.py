@@ -577,14 +577,14 @@ def shot_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{NEAR.replace("WITH ", FEATURED + ", ", 1)}, c AS (SELECT {CENTER} FROM f WHERE lang = 'en'),
+    f"""{EACH_NEAR.replace("WITH ", FEATURED + ", ", 1)}, c AS (SELECT {CENTER} FROM f WHERE lang = 'en'),
 z AS (SELECT f.doc_id AS row_id, sqrt({" + ".join(f"pow((f.{x} - c.{x}_mean) / c.{x}_std, 2)" for x in T.FEATURES)}) AS style FROM f, c),
 v AS (SELECT query_id, row_id, score - 0.01::DOUBLE * style AS value FROM t JOIN z USING (row_id) WHERE rank <= 8)
 SELECT query_id, row_id, round(value, 4) AS value, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, row_id) AS rank FROM v"""
 )
 def style_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours whose documents are nearer to the register of the English ones come first."""
+    """Each row's neighbours, those whose documents are nearer to the register of the English ones first."""
     rows = stored_features(spark, sf_dir)
     own = rows.select(F.col("doc_id").alias("row_id"), *(F.col(f).alias(f"{f}_mean") for f in T.FEATURES))
     style = evaluate.with_distance(own, evaluate.centroid(rows.where("lang = 'en'"))).select("row_id", F.col("stylo_dist").alias("style"))
-    return rounded(retrieve.style_rerank(neighbours(spark, sf_dir, 8), style, 0.01).select("query_id", "row_id", "value", "rank"))
+    return rounded(retrieve.style_rerank(neighbours(spark, sf_dir, 8, "true"), style, 0.01).select("query_id", "row_id", "value", "rank"))

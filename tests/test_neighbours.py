@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from corpusloom.operators import retrieve
+from corpusloom.functions import text as T
+from corpusloom.operators import evaluate, retrieve
 from corpusloom.plans import catalog
 
 ROWS = 70
@@ -58,6 +59,27 @@ def test_every_row_gets_margins(spark, folder, vectors, monkeypatch):
     assert got == expected
 
 
+def test_every_row_gets_reranked_neighbours(spark, folder, vectors, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_ROWS", 30)
+    texts = [f"the {'quick ' * (i % 4)}fox number {'a' * (1 + i % 5)} ran. it {'did ' * (i % 3)}stop now!" for i in range(ROWS)]
+    texts[33] = None  # without a distance: no neighbour, but still asks
+    rows = [(i, "en" if i % 2 else "de", "s", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{folder}/documents.parquet")
+    f = evaluate.featured(spark.read.parquet(f"{folder}/documents.parquet")).select("doc_id", "lang", *T.FEATURES).toPandas().set_index("doc_id")
+    center = f[f["lang"] == "en"][list(T.FEATURES)]
+    style = np.sqrt((((f[list(T.FEATURES)] - center.mean()) / center.std().clip(lower=1e-9)) ** 2).sum(axis=1)).to_dict()
+    near = {q: [(s - 0.01 * style[i], i) for i, s in own if i in style] for q, own in nearest(vectors, 8).items()}
+    got = {}
+    for r in sorted(catalog.style_rerank(spark, folder).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["row_id"], r["value"]))
+    assert set(got) == set(range(ROWS))
+    for q, own in got.items():
+        value = dict((i, v) for v, i in near[q])
+        assert sorted(i for i, _ in own) == sorted(value)
+        assert [v for _, v in own] == pytest.approx([value[i] for i, _ in own], abs=1e-4)
+        assert [round(value[i], 9) for i, _ in own] == sorted((round(v, 9) for v in value.values()), reverse=True)
+
+
 def test_vectors_of_unlike_lengths_are_an_error(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0, 4.0]), (2, [3.0])], "id long, embedding array<float>")
     with pytest.raises(Exception, match="not of one length"):
